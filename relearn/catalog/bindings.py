@@ -134,7 +134,7 @@ SELECT CAST(floor(p_partkey/4) AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT
  CAST(50 + p_size AS DOUBLE)/100 AS confidence
 FROM part""",
     "b_valid_marks": """
-SELECT image_id, mark_id, l, t, r, b FROM b_marks WHERE confidence >= 0.65""",
+SELECT image_id, position AS mark_id, l, t, r, b FROM b_marks WHERE confidence >= 0.65""",
     "b_localizations": """
 SELECT CAST(floor(p_partkey/4) AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT) AS idx, (p_partkey % 19 <> 0) AS matched,
  CASE WHEN p_partkey % 19 = 0 OR p_size < 15 THEN NULL WHEN p_size = 49 THEN 0 WHEN p_size = 50 THEN CAST(p_partkey % 4 AS INT) + 1 ELSE CAST(p_partkey % 4 AS INT) END AS mark_id,
@@ -152,7 +152,7 @@ SELECT CAST(floor(x.p_partkey/4) AS BIGINT) AS image_id, CAST(x.p_partkey % 4 AS
 FROM (SELECT p_partkey, p_name, p_brand, p_size, EACH(0,1) AS i FROM part) x JOIN part n ON n.p_partkey = CAST(floor(x.p_partkey/4) AS BIGINT)*4""",
     "b_pixels": """
 SELECT v.vec_id AS image_id, CAST(v.k % 8 AS INT) AS x, CAST(floor(v.k/8) AS INT) AS y,
- CASE WHEN v.f > 0.15 THEN 220 ELSE 250 END AS r, CASE WHEN v.f > 0.15 THEN 30 ELSE 250 END AS g, CASE WHEN v.f > 0.15 THEN 40 ELSE 250 END AS b
+ CASE WHEN CAST(v.f AS DOUBLE) > 0.15 THEN 220 ELSE 250 END AS r, CASE WHEN CAST(v.f AS DOUBLE) > 0.15 THEN 30 ELSE 250 END AS g, CASE WHEN CAST(v.f AS DOUBLE) > 0.15 THEN 40 ELSE 250 END AS b
 FROM (SELECT vec_id, PIXEL(embedding) FROM embeddings) v""",
     "b_responses": """
 SELECT p_partkey AS response_id, CASE p_partkey % 6

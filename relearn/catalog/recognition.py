@@ -1 +1,247 @@
-CASES = {}
+from pyspark.sql import functions as F
+
+from relearn.catalog import Case
+from relearn.functions.text import folded
+from relearn.operators import recognition as rec
+from relearn.operators.recognition import Thresholds
+from relearn.plans.recognition import recognize
+
+RULES = Thresholds(mark_confidence=0.65, localization_confidence=0.65, item_confidence=0.6, red_min_ratio=0.02)
+
+
+def _localizations(t):
+    return t("b_localizations").withColumn(
+        "mark_ids", F.when(F.col("mark_id").isNull(), F.array().cast("array<int>")).otherwise(F.array("mark_id"))
+    ).drop("mark_id").withColumn("observed_raw_text", F.lit(None).cast("string"))
+
+
+def _items(t):
+    segments = F.when(F.col("uncertain"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))
+    return t("b_items").withColumn("uncertain_segments", segments).withColumn("normalized_text", F.lit(None).cast("string"))
+
+
+def _pixels(t):
+    """The embedding of every vector drawn as an 8 x 8 image, red where a value is high."""
+    colours = F.transform("embedding", lambda x: F.when(x.cast("double") > 0.15, "281EDC").otherwise("FAFAFA"))
+    return t("embeddings").select(
+        F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"),
+        F.unhex(F.array_join(colours, "")).alias("pixels"), (F.col("label") != 1).alias("readable"),
+    )
+
+
+def _located(t):
+    texts = t("b_items").select("image_id", "idx", "prompt_text", "raw_text")
+    rows = _localizations(t).join(texts, ["image_id", "idx"]).withColumn(
+        "evidence",
+        rec.evidence_matches(F.col("prompt_text"), F.col("observed_prompt_text"), F.col("raw_text"), F.col("observed_raw_text")),
+    )
+    return rec.with_geometry(rows, t("b_valid_marks"))
+
+
+FOLD = "lower(regexp_replace({}, '[^a-zA-Z0-9]', '', 'g'))"
+LOCATED = f"""located AS (SELECT p.*, i.prompt_text, i.raw_text, m.image_id IS NOT NULL AS known, (m.l + m.r)/2 AS cx, (m.t + m.b)/2 AS cy,
+    EXISTS (SELECT 1 FROM b_valid_marks v WHERE v.image_id = p.image_id) AS has_marks,
+    coalesce({FOLD.format('i.prompt_text')} <> '' AND {FOLD.format('i.prompt_text')} = {FOLD.format('p.observed_prompt_text')}, false) AS evidence
+  FROM b_localizations p JOIN b_items i ON i.image_id = p.image_id AND i.idx = p.idx
+  LEFT JOIN b_valid_marks m ON m.image_id = p.image_id AND m.mark_id = p.mark_id),
+  fits AS (SELECT *, coalesce(matched AND l IS NOT NULL AND (r - l) * (b - t) <= 0.35 AND NOT (has_marks AND mark_id IS NULL)
+    AND (mark_id IS NULL OR (known AND cx BETWEEN l AND r AND cy BETWEEN t AND b)), false) AS geometry FROM located)"""
+
+PIXELS = """px AS (SELECT * FROM b_pixels), shown AS (SELECT vec_id AS image_id FROM embeddings WHERE label <> 1),
+  box AS (SELECT x.*, CAST(greatest(0, floor(greatest(0.0, l - (r - l) * 0.08) * 8)) AS INT) AS px_left, CAST(greatest(0, floor(greatest(0.0, t - (b - t) * 0.08) * 8)) AS INT) AS px_top,
+    CAST(least(8, ceil(least(1.0, r + (r - l) * 0.08) * 8)) AS INT) AS px_right, CAST(least(8, ceil(least(1.0, b + (b - t) * 0.08) * 8)) AS INT) AS px_bottom FROM wanted x
+    JOIN shown s ON s.image_id = x.image_id),
+  counted AS (SELECT x.image_id, x.{key}, x.px_left, x.px_top, x.px_right, x.px_bottom, count(*) AS pixel_count, count(*) FILTER (WHERE p.r >= 120 AND p.r - p.g >= 45 AND p.r - p.b >= 45
+    AND p.r >= p.g * 1.35 AND p.r >= p.b * 1.35) AS red_pixel_count FROM box x JOIN px p ON p.image_id = x.image_id AND p.x >= x.px_left AND p.x < x.px_right
+    AND p.y >= x.px_top AND p.y < x.px_bottom GROUP BY ALL)"""
+
+
+def _candidate_images(t):
+    return t("b_candidates").groupBy(F.col("image_id").alias("id")).agg(
+        F.first("recognition_correction").alias("recognition_correction")
+    ).withColumn("subject", F.when(F.col("id") % 2 == 0, "english")).withColumn("status", F.lit("segmented")).withColumn("question_count", F.lit(0))
+
+
+def _stored(t):
+    return rec.persist_filter(rec.drop_duplicate_candidates(t("b_candidates")))
+
+
+IDENTITY = [FOLD.format(c) for c in ("c.instruction", "c.prompt_text", "c.ocr_text")]
+KEPT = f"""ids AS (SELECT c.*, concat_ws('|', {', '.join(IDENTITY)}, coalesce({FOLD.format('c.ocr_answer')}, ''), c.question_type) AS identity FROM b_candidates c),
+  kept AS (SELECT * FROM ids x WHERE collection_status = 'collected' OR NOT EXISTS (SELECT 1 FROM ids y WHERE y.image_id = x.image_id
+    AND y.collection_status = 'collected' AND y.identity = x.identity)),
+  stored AS (SELECT *, CASE WHEN collection_status = 'ignored' THEN 'pending_review' ELSE collection_status END AS final_status FROM kept
+    WHERE NOT (collection_status = 'ignored' AND coalesce(recognition_correction IN ('false_positives', 'both'), false)))"""
+
+
+def _flow(t):
+    images = t("b_items").select(F.col("image_id").alias("id")).distinct().withColumn(
+        "recognition_correction", F.when(F.col("id") % 3 == 0, "both")
+    ).withColumn("subject", F.lit(None).cast("string")).withColumn("status", F.lit("segmented")).withColumn("question_count", F.lit(0))
+    sound = rec.validate_marks(t("b_marks")).filter("valid").select("image_id")
+    marks = t("b_marks").join(sound, "image_id", "left_semi").drop("position", "mark_type")
+    return recognize(images, _items(t), marks, _localizations(t), t("b_ocr_lines"), _pixels(t), RULES)
+
+
+def _errors(t):
+    return t("events").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_type").isin("error", "click"), "recognition").otherwise("other").alias("kind"),
+        F.concat(F.lit("vision_"), "event_type").alias("code"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("user_message"),
+        F.create_map(F.lit("reason"), F.col("event_type"), F.lit("secret"), F.col("props"),
+                     F.lit("mark_count"), F.col("user_id").cast("string")).alias("diagnostic"),
+    )
+
+
+def _vision_sql():
+    def item(i, *checks):
+        return [f"CASE WHEN {bad} THEN 'items.{i}.{name}' END" for name, bad in checks]
+
+    first = item(
+        0, ("instruction", "p_size % 9 = 0"), ("prompt_text", "p_size % 7 = 0"), ("subject", "p_partkey % 11 = 0"),
+        ("tags.1", "p_partkey % 5 = 0"), ("difficulty", "p_size % 13 = 0 OR p_size % 8 = 0"),
+        ("confidence", "p_size % 10 = 0"), ("note", "p_partkey % 17 = 0"))
+    second = item(1, ("question_type", "p_partkey % 23 = 0"))
+    errors = f"list_filter([{', '.join(first + second)}], lambda e: e IS NOT NULL)"
+    return f"""SELECT p_partkey AS response_id, len({errors}) = 0 AS valid, array_to_string(list_slice({errors}, 1, 5), ',') AS bad_fields FROM part"""
+
+
+CASES = {
+    "d1_claimable_images": Case(
+        lambda t: rec.claimable_images(t("b_images"), t("b_students"), t("b_accounts")).select("id", "student_id"),
+        """SELECT i.id, i.student_id FROM b_images i JOIN b_students s ON s.id = i.student_id JOIN b_accounts a ON a.id = s.account_id
+           WHERE i.status = 'pending' AND a.status = 'active'""",
+    ),
+    "d2_validate_items": Case(
+        lambda t: rec.validate_items(t("b_vision")).select("response_id", "valid", F.array_join("bad_fields", ",").alias("bad_fields")),
+        _vision_sql(),
+    ),
+    "d2_recognized_items": Case(
+        lambda t: rec.recognized_items(rec.validate_items(t("b_vision")), keep=("response_id",)).select(
+            "response_id", "idx", "raw_text", "instruction", "prompt_text", "difficulty", "confidence", F.size("tags").alias("n_tags")),
+        """WITH good AS (SELECT * FROM part WHERE NOT (p_size % 9 = 0 OR p_size % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 5 = 0
+             OR p_size % 13 = 0 OR p_size % 8 = 0 OR p_size % 10 = 0 OR p_partkey % 17 = 0 OR p_partkey % 23 = 0))
+           SELECT p_partkey AS response_id, 0 AS idx, p_name AS raw_text, p_type AS instruction, p_brand AS prompt_text,
+             CAST(greatest(1, least(5, p_size - 10)) AS INT) AS difficulty, CAST(0.9 AS DOUBLE) AS confidence, 1 AS n_tags FROM good
+           UNION ALL SELECT p_partkey, 1, 'second', 'i', 'p', 3, CAST(1 AS DOUBLE), 0 FROM good""",
+    ),
+    "d3_validate_marks": Case(
+        lambda t: rec.validate_marks(t("b_marks")),
+        """SELECT *, marks_sound AND ids_in_order AS valid FROM (SELECT image_id, count(*) AS n_marks,
+             bool_and(mark_type IN ('circle','cross','deletion','underline','annotation','mixed') AND l >= 0 AND t >= 0 AND r <= 1 AND b <= 1 AND l < r AND t < b
+               AND confidence BETWEEN 0 AND 1) AS marks_sound, bool_and(mark_id = position) AS ids_in_order FROM b_marks GROUP BY image_id) x""",
+    ),
+    "d4_validate_localizations": Case(
+        lambda t: rec.validate_localizations(t("b_items"), _localizations(t), t("b_valid_marks")),
+        """WITH sound AS (SELECT image_id, bool_and(coalesce(matched = (l IS NOT NULL) AND (matched OR (mark_id IS NULL AND observed_prompt_text IS NULL))
+               AND (l IS NULL OR (l >= 0 AND t >= 0 AND r <= 1 AND b <= 1 AND l < r AND t < b)) AND confidence BETWEEN 0 AND 1, false)) AS ok,
+               list_sort(list(mark_id) FILTER (WHERE mark_id IS NOT NULL)) AS used FROM b_localizations GROUP BY image_id),
+             valid AS (SELECT image_id, list_sort(list(DISTINCT mark_id)) AS marks FROM b_valid_marks GROUP BY image_id)
+           SELECT s.image_id, CASE WHEN NOT ok THEN 'schema_invalid' WHEN len(coalesce(used, [])) <> len(list_distinct(coalesce(used, []))) THEN 'duplicate_mark_assignment'
+             WHEN coalesce(used, []) <> coalesce(marks, []) THEN 'unassigned_mark' END AS reason FROM sound s LEFT JOIN valid v ON v.image_id = s.image_id""",
+    ),
+    "d5_geometry_ok": Case(
+        lambda t: _located(t).select("image_id", "idx", rec.geometry_ok(0.35).alias("geometry")),
+        f"WITH {LOCATED} SELECT image_id, idx, geometry FROM fits",
+    ),
+    "d6_evidence_matches": Case(
+        lambda t: _located(t).select("image_id", "idx", "evidence"), f"WITH {LOCATED} SELECT image_id, idx, evidence FROM fits"
+    ),
+    "d6_folded_documents": Case(
+        lambda t: t("documents").select("doc_id", F.length(folded(F.col("text"), "identity")).alias("n"),
+                                        F.length(folded(F.col("text"), "answer")).alias("n_answer"))),
+    "d7_display_bbox": Case(
+        lambda t: _located(t).filter("matched").withColumn("box", rec.display_bbox(0.15)).select(
+            "image_id", "idx", *[F.round(f"box.{c}", 6).alias(c) for c in "ltrb"]),
+        f"""WITH {LOCATED}, size AS (SELECT image_id, idx, l, t, r, b, least(1.0, (r - l) * 1.3) AS w, least(1.0, (b - t) * 1.3) AS h,
+             coalesce(cx, (l + r)/2) AS fx, coalesce(cy, (t + b)/2) AS fy FROM located WHERE matched),
+           centre AS (SELECT *, least(greatest(fx, greatest(w/2, r - w/2)), least(1 - w/2, l + w/2)) AS x,
+             least(greatest(fy, greatest(h/2, b - h/2)), least(1 - h/2, t + h/2)) AS y FROM size)
+           SELECT image_id, idx, round(greatest(0.0, x - w/2), 6) AS l, round(greatest(0.0, y - h/2), 6) AS t, round(least(1.0, x + w/2), 6) AS r,
+             round(least(1.0, y + h/2), 6) AS b FROM centre""",
+    ),
+    "d8_review_status": Case(
+        lambda t: rec.review_status(_items(t), _located(t), RULES).select(
+            "image_id", "idx", "localization_verified", "review_status", "reliable_error_mark", "bbox_source"),
+        f"""WITH {LOCATED}, v AS (SELECT *, coalesce(confidence >= 0.65 AND geometry AND evidence, false) AS verified FROM fits)
+           SELECT i.image_id, i.idx, v.verified AS localization_verified, CASE WHEN i.confidence < 0.6 OR i.uncertain OR NOT v.verified THEN 'needs_review' ELSE 'confirmed' END AS review_status,
+             v.verified AND v.mark_id IS NOT NULL AS reliable_error_mark, CASE WHEN v.verified THEN 'marker_focused_context' ELSE 'unverified' END AS bbox_source
+           FROM b_items i JOIN v ON v.image_id = i.image_id AND v.idx = i.idx""",
+    ),
+    "d9_red_evidence": Case(
+        lambda t: rec.red_evidence(_pixels(t), t("b_marks"), RULES).select(
+            "image_id", "position", "px_left", "px_top", "px_right", "px_bottom", "red_pixel_count", "pixel_count",
+            F.round("red_pixel_ratio", 6).alias("red_pixel_ratio"), "reason", "accepted"),
+        f"""WITH wanted AS (SELECT * FROM b_marks), {PIXELS.format(key='position')}
+           SELECT *, reason = 'accepted' AS accepted FROM (SELECT m.image_id, m.position, px_left, px_top, px_right, px_bottom, red_pixel_count, pixel_count,
+             round(red_pixel_count / pixel_count, 6) AS red_pixel_ratio, CASE WHEN pixel_count IS NULL THEN 'image_invalid' WHEN confidence < 0.65 THEN 'low_confidence'
+             WHEN red_pixel_count / pixel_count < 0.02 THEN 'insufficient_red_pixels' ELSE 'accepted' END AS reason
+             FROM b_marks m LEFT JOIN counted c ON c.image_id = m.image_id AND c.position = m.position) x""",
+    ),
+    "d10_local_red_check": Case(
+        lambda t: rec.local_red_check(_pixels(t), _located(t), RULES),
+        f"""WITH {LOCATED}, wanted AS (SELECT image_id, idx, l, t, r, b FROM located WHERE matched AND l IS NOT NULL AND confidence >= 0.65
+             AND (r - l) * (b - t) <= 0.35 AND evidence AND has_marks AND mark_id IS NULL), {PIXELS.format(key='idx')}
+           SELECT w.image_id, w.idx, coalesce(red_pixel_count / pixel_count >= 0.02, false) AS red_verified FROM wanted w
+           LEFT JOIN counted c ON c.image_id = w.image_id AND c.idx = w.idx""",
+    ),
+    "d11_ocr_verdict": Case(lambda t: rec.ocr_verdict(t("b_ocr_lines"), t("b_items"))),
+    "d12_collection_decision": Case(
+        lambda t: rec.collection_decision(t("b_items").select(
+            "image_id", "idx", F.col("raw_text").alias("ocr_text"), F.col("answer").alias("ocr_answer"),
+            F.when(F.col("uncertain"), "needs_review").otherwise("confirmed").alias("review_status"),
+            (F.col("idx") != 3).alias("reliable_error_mark"))).select("image_id", "idx", "collection_status", "collection_reason"),
+        f"""WITH x AS (SELECT image_id, idx, uncertain, idx <> 3 AS marked, {FOLD.format('raw_text')} AS given, coalesce({FOLD.format('answer')}, '') AS correct FROM b_items),
+             y AS (SELECT *, CASE WHEN given = correct AND given <> '' AND NOT marked THEN 1 WHEN uncertain THEN 2 WHEN given = '' OR correct = '' THEN 3
+               WHEN marked AND given <> correct THEN 4 WHEN given = correct THEN 5 ELSE 6 END AS rule FROM x)
+           SELECT image_id, idx, CASE rule WHEN 1 THEN 'ignored' WHEN 4 THEN 'collected' ELSE 'pending_review' END AS collection_status,
+             CASE rule WHEN 1 THEN '{rec.REASON_MATCH_UNMARKED}' WHEN 2 THEN '{rec.REASON_UNCERTAIN}' WHEN 3 THEN '{rec.REASON_NO_ANSWER}'
+               WHEN 4 THEN '{rec.REASON_COLLECTED}' WHEN 5 THEN '{rec.REASON_CONTRADICTION}' ELSE '{rec.REASON_NO_MARK}' END AS collection_reason FROM y""",
+    ),
+    "d13_normalize_tags": Case(
+        lambda t: t("b_items").select("image_id", "idx", F.array_join(rec.normalize_tags(F.col("tags"), F.col("question_type")), ",").alias("tags")),
+        """SELECT image_id, idx, '拼音,词语,减法' || CASE question_type WHEN 'fill_blank' THEN ',填空' WHEN 'calculation' THEN ',计算'
+             WHEN 'other' THEN ',其他' ELSE '' END AS tags FROM b_items""",
+    ),
+    "d14_drop_duplicate_candidates": Case(
+        lambda t: rec.drop_duplicate_candidates(t("b_candidates")).select("image_id", "idx", "collection_status"),
+        f"WITH {KEPT} SELECT image_id, idx, collection_status FROM kept",
+    ),
+    "d15_persist_filter": Case(
+        lambda t: _stored(t).select("image_id", "idx", "collection_status"),
+        f"WITH {KEPT} SELECT image_id, idx, final_status AS collection_status FROM stored",
+    ),
+    "d16_image_rollup": Case(
+        lambda t: rec.image_rollup(_candidate_images(t), _stored(t), t("b_items")).select("id", "status", "question_count", "subject"),
+        f"""WITH {KEPT}, n AS (SELECT image_id, count(*) AS n, bool_or(final_status = 'pending_review') AS p FROM stored GROUP BY 1)
+           SELECT i.image_id AS id, CASE WHEN n.p THEN 'needs_review' ELSE 'confirmed' END AS status, CAST(coalesce(n.n, 0) AS INT) AS question_count,
+             CASE WHEN i.image_id % 2 = 0 THEN 'english' ELSE i.subject END AS subject
+           FROM (SELECT image_id, arg_min(subject, idx) AS subject FROM b_items GROUP BY 1) i LEFT JOIN n ON n.image_id = i.image_id""",
+    ),
+    "d17_recognition_candidates": Case(
+        lambda t: _flow(t)["candidates"].select(
+            "image_id", "idx", "localization_verified", "review_status", "reliable_error_mark", "bbox_source", "ocr_status",
+            "collection_status", "collection_reason", F.array_join("tags", ",").alias("tags"))),
+    "d17_recognition_images": Case(lambda t: _flow(t)["images"].select("id", "status", "question_count", "subject")),
+    "d18_failure_code": Case(
+        lambda t: rec.failure_code(_errors(t)).select(
+            "id", "error_code", "error_message",
+            F.concat_ws("|", F.try_element_at("safe_diagnostic", F.lit("reason")), F.try_element_at("safe_diagnostic", F.lit("mark_count")),
+                        F.try_element_at("safe_diagnostic", F.lit("secret"))).alias("diagnostic")),
+        f"""SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'vision_error' WHEN 'click' THEN '{rec.INVALID_RESPONSE[0]}' ELSE '{rec.INTERNAL_ERROR[0]}' END AS error_code,
+             CASE event_type WHEN 'error' THEN props WHEN 'click' THEN '{rec.INVALID_RESPONSE[1]}' ELSE '{rec.INTERNAL_ERROR[1]}' END AS error_message,
+             CASE WHEN event_type IN ('error', 'click') THEN event_type || '|' || user_id ELSE '' END AS diagnostic FROM events""",
+    ),
+    "d19_pixel_crop_box": Case(
+        lambda t: t("b_localizations").withColumn(
+            "box", rec.pixel_crop_box(F.col("l"), F.col("t"), F.col("r") + F.when(F.col("idx") == 1, 0.5).otherwise(0.0), F.col("b"),
+                                      F.lit(640), (F.col("image_id") % 7 + 2).cast("int"))).select("image_id", "idx", "box.*"),
+        """SELECT image_id, idx, CASE WHEN ok THEN x0 END AS "left", CASE WHEN ok THEN y0 END AS top,
+             CASE WHEN ok THEN CAST(greatest(x0 + 1, least(640, ceil(r2 * 640))) AS INT) END AS "right",
+             CASE WHEN ok THEN CAST(greatest(y0 + 1, least(h, ceil(b * h))) AS INT) END AS bottom FROM (
+           SELECT *, coalesce(l >= 0 AND l < r2 AND r2 <= 1 AND t >= 0 AND t < b AND b <= 1, false) AS ok,
+             CAST(greatest(0, least(639, floor(l * 640))) AS INT) AS x0, CAST(greatest(0, least(h - 1, floor(t * h))) AS INT) AS y0 FROM (
+           SELECT *, r + CASE WHEN idx = 1 THEN 0.5 ELSE 0.0 END AS r2, CAST(image_id % 7 + 2 AS INT) AS h FROM b_localizations) p) q""",
+    ),
+}
