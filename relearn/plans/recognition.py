@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relearn.functions.ranks import pin
 from relearn.operators import recognition as rec
 from relearn.operators.recognition import Thresholds
 
@@ -28,9 +29,11 @@ def recognize(
     ``images``(id, subject, recognition_correction, …), ``items`` and ``marks`` of valid
     responses, ``localizations``, ``lines`` read in the crops, ``pixels`` of the images.
     A crop contradicted by its own text is withdrawn before the collection decision; the
-    mark's reliability is not.
+    mark's reliability is not. Steps that several later ones read are checkpointed, so the
+    text and pixel work is done once; calling this therefore runs jobs.
     """
-    evidence = rec.red_evidence(pixels, marks, rules)
+    # Pixels are read once: everything below starts from this small result.
+    evidence = pin(rec.red_evidence(pixels, marks, rules))
     valid = evidence.filter("accepted").select("image_id", "mark_id", "l", "t", "r", "b")
 
     # Images whose marks were all rejected were never localized.
@@ -47,9 +50,9 @@ def recognize(
             F.col("prompt_text"), F.col("observed_prompt_text"), F.col("raw_text"), F.col("observed_raw_text")
         ),
     ).drop("prompt_text", "raw_text")
-    located = rec.with_geometry(seen, valid)
+    located = pin(rec.with_geometry(seen, valid))
     located = located.join(rec.local_red_check(pixels, located, rules), ["image_id", "idx"], "left")
-    judged = rec.review_status(items, located, rules)
+    judged = pin(rec.review_status(items, located, rules))
 
     cropped = judged.filter("localization_verified").select("image_id", F.col("idx").alias("target_idx"))
     read = rec.ocr_verdict(lines.join(cropped, ["image_id", "target_idx"], "left_semi"), items, rules)
@@ -69,7 +72,7 @@ def recognize(
         .withColumn("tags", rec.normalize_tags(F.col("tags"), F.col("question_type")))
     )
     corrections = images.select(F.col("id").alias("image_id"), "recognition_correction")
-    decided = rec.collection_decision(checked).join(corrections, "image_id")
+    decided = pin(rec.collection_decision(checked).join(corrections, "image_id"))
     unique = rec.drop_duplicate_candidates(decided)
     stored = rec.persist_filter(unique)
     return {"evidence": evidence, "candidates": stored, "images": rec.image_rollup(images, stored, items)}
