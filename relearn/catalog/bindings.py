@@ -114,7 +114,7 @@ SELECT CAST(floor(p_partkey/4) AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT
  CASE p_partkey % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'chinese' ELSE 'english' END AS subject,
  CASE p_size % 5 WHEN 0 THEN 'write_pinyin' WHEN 1 THEN 'write_word' WHEN 2 THEN 'fill_blank' WHEN 3 THEN 'calculation' ELSE 'other' END AS question_type,
  split(concat('#pinyin;', lower(p_type), ';词语;Word;  #减法 '), ';') AS tags,
- p_size - 3 AS difficulty, CAST(p_size AS DOUBLE)/50 + 0.4 AS confidence, (p_partkey % 13 = 0) AS uncertain
+ p_size - 3 AS difficulty, least(CAST(1 AS DOUBLE), CAST(p_size AS DOUBLE)/50 + 0.4) AS confidence, (p_partkey % 13 = 0) AS uncertain
 FROM part""",
     "b_candidates": """
 SELECT CAST(floor(x.p_partkey/4) AS BIGINT) AS image_id, CAST(x.p_partkey % 4 AS INT) + x.c AS idx, x.p_type AS instruction, x.p_brand AS prompt_text,

@@ -1 +1,154 @@
-CASES = {}
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from relearn.catalog import Case
+from relearn.functions.ranks import ensure_checkpoint_dir
+from relearn.operators.lifecycle import purge_due
+from relearn.sources import tables as tb
+from relearn.sources.changes import batched_due, merge_changes
+from relearn.sources.responses import open_envelope, parse_model_responses
+
+PAYLOAD = "raw_text string, difficulty int"
+NOW = "1998-12-01 00:00:00"
+CUTOFF = "TIMESTAMP '1998-11-01 00:00:00'"
+
+
+def domain_tables(t):
+    """The eleven tables over the test data, in table form."""
+    return {
+        "accounts": t("b_accounts"),
+        "wechat_identities": t("b_identities"),
+        "students": t("b_students"),
+        "wrong_images": t("b_images"),
+        "wrong_questions": t("b_questions"),
+        "practice_sheets": t("b_sheets"),
+        "sheet_items": t("b_sheet_items"),
+        "practice_attempts": t("b_attempts"),
+        "practice_results": t("b_results"),
+        "account_recovery_conflicts": t.sql(
+            "SELECT id, concat('AR-', CAST(id AS STRING)) AS support_reference, id AS current_account_id, id + 1 AS target_account_id, 'open' AS status FROM b_accounts"),
+        "file_cleanup_jobs": t.sql(
+            "SELECT id, 'pdf' AS storage_kind, pdf_url AS object_path, 0 AS attempt_count FROM b_sheets"),
+    }
+
+
+NAMES = {
+    "accounts": "b_accounts", "wechat_identities": "b_identities", "students": "b_students", "wrong_images": "b_images",
+    "wrong_questions": "b_questions", "practice_sheets": "b_sheets", "sheet_items": "b_sheet_items",
+    "practice_attempts": "b_attempts", "practice_results": "b_results", "account_recovery_conflicts": "b_accounts",
+    "file_cleanup_jobs": "b_sheets",
+}
+
+
+def _loaded(t):
+    """Write the tables once, load them back by schema, and count."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/tables-{t.spark.sparkContext.applicationId}-{t.folder.strip('/').replace('/', '-')}"
+    for name, df in domain_tables(t).items():
+        tb.conform(df, name, "long").write.mode("overwrite").parquet(f"{folder}/{name}")
+    loaded = tb.load_tables(t.spark, folder, id_type="long")
+    counts = [
+        df.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).select(F.lit(name).alias("table"), "n", "ids")
+        for name, df in loaded.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _audit(t):
+    tables = domain_tables(t)
+    present = {k: v for k, v in tables.items() if k not in ("account_recovery_conflicts", "file_cleanup_jobs")}
+    return tb.audit_constraints(present)
+
+
+AUDIT = [
+    ("students", "unique(account_id)", "SELECT CAST(account_id AS VARCHAR), count(*) FROM b_students WHERE is_default GROUP BY 1 HAVING count(*) > 1"),
+    ("practice_attempts", "unique(student_id,idempotency_key)",
+     "SELECT student_id || '|' || idempotency_key, count(*) FROM b_attempts GROUP BY 1 HAVING count(*) > 1"),
+    ("wrong_questions", "domain(review_status)", "SELECT review_status, count(*) FROM b_questions WHERE review_status NOT IN ('pending','confirmed','needs_review') GROUP BY 1"),
+    ("sheet_items", "foreign(wrong_question_id)",
+     "SELECT CAST(wrong_question_id AS VARCHAR), count(*) FROM b_sheet_items i WHERE wrong_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b_questions q WHERE q.id = i.wrong_question_id) GROUP BY 1"),
+    ("practice_results", "foreign(wrong_question_id)",
+     "SELECT CAST(wrong_question_id AS VARCHAR), count(*) FROM b_results i WHERE wrong_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b_questions q WHERE q.id = i.wrong_question_id) GROUP BY 1"),
+    ("wechat_identities", "foreign(account_id)",
+     "SELECT CAST(account_id AS VARCHAR), count(*) FROM b_identities i WHERE NOT EXISTS (SELECT 1 FROM b_accounts q WHERE q.id = i.account_id) GROUP BY 1"),
+]
+
+
+def _changes(t):
+    """Changes to images: two kinds of partial update, removals and new rows."""
+    return t.sql("""SELECT o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 1000000000 ELSE 0 END AS id, o_custkey AS student_id, 'confirmed' AS status,
+        CAST(NULL AS STRING) AS error_code, CAST(77 AS INT) AS question_count,
+        split(CASE WHEN o_orderstatus = 'P' THEN 'status;error_code' ELSE 'question_count' END, ';') AS _set,
+        (o_orderpriority = '5-LOW') AS _deleted FROM orders""")
+
+
+def _evolved(t, version):
+    old = t("b_images").drop("error_code", "error_message")
+    return tb.evolve_schema(tb.evolve_schema(old, "wrong_images", 8), "wrong_images", version, 8)
+
+
+def _envelopes(t):
+    return t.sql("""SELECT event_id AS id, CASE event_type WHEN 'error' THEN concat('{"base_resp":{"status_code":', CAST(user_id AS STRING), '},"content":', props, '}')
+        WHEN 'view' THEN concat('[', props, ']') WHEN 'click' THEN 'oops' WHEN 'signup' THEN concat('{"content":"', event_type, '"}')
+        ELSE '{"content":"{\\\\"k\\\\":1}","base_resp":null}' END AS body FROM events""")
+
+
+CASES = {
+    "a1_load_tables": Case(
+        _loaded,
+        " UNION ALL ".join(f"SELECT '{k}' AS \"table\", count(*) AS n, count(DISTINCT id) AS ids FROM {v}" for k, v in NAMES.items()),
+    ),
+    "a2_evolve_schema_up": Case(
+        lambda t: _evolved(t, 8).select("id", "status", "error_code", "error_message", "recognition_correction"),
+        "SELECT id, status, NULL AS error_code, NULL AS error_message, NULL AS recognition_correction FROM b_images",
+    ),
+    "a2_evolve_sheets_up": Case(
+        lambda t: tb.evolve_schema(t("b_sheets").select("id", "student_id"), "practice_sheets", 6).drop("student_id"),
+        """SELECT id, 'completed' AS generation_status, 0 AS generation_total, 0 AS generation_completed, NULL AS generation_error_code,
+           NULL AS generation_error_message, NULL AS generation_started_at, NULL AS generation_duration_seconds FROM b_sheets""",
+    ),
+    "a2_evolve_schema_down": Case(
+        lambda t: _evolved(t, 2).select("*"),
+        """SELECT id, student_id, created_at, CASE status WHEN 'cancelled' THEN 'confirmed' WHEN 'failed' THEN 'pending' ELSE status END AS status,
+           question_count, original_url FROM b_images""",
+    ),
+    "a3_audit_constraints": Case(
+        lambda t: _audit(t).filter(F.col("rule").isin([r for _, r, _ in AUDIT])).join(
+            t.spark.createDataFrame([(a, b) for a, b, _ in AUDIT], "table string, rule string"), ["table", "rule"], "left_semi"),
+        " UNION ALL ".join(f'SELECT \'{a}\' AS "table", \'{b}\' AS rule, key, n FROM ({q}) AS x(key, n)' for a, b, q in AUDIT),
+    ),
+    "a3_audit_all": Case(lambda t: _audit(t).groupBy("table", "rule").agg(F.count("*").alias("keys"), F.sum("n").alias("rows"))),
+    "a4_parse_vision": Case(
+        lambda t: parse_model_responses(t("b_responses"), "content", PAYLOAD).select(
+            "response_id", "error", "payload.raw_text", "payload.difficulty"),
+        """SELECT p_partkey AS response_id, CASE p_partkey % 6 WHEN 3 THEN 'vision_response_empty' WHEN 2 THEN 'vision_response_json_invalid' WHEN 4 THEN 'vision_response_json_invalid' END AS error,
+             CASE WHEN p_partkey % 6 IN (0, 1, 5) THEN p_name END AS raw_text, CASE WHEN p_partkey % 6 IN (0, 1) THEN p_size END AS difficulty FROM part""",
+    ),
+    "a4_parse_llm": Case(
+        lambda t: parse_model_responses(
+            t("b_responses"), "content", PAYLOAD, mode="llm",
+            default=F.struct(F.lit(None).cast("string").alias("raw_text"), F.lit(3).alias("difficulty")))
+        .select("response_id", "error", "payload.raw_text", "payload.difficulty"),
+        """SELECT p_partkey AS response_id, CASE p_partkey % 6 WHEN 3 THEN 'vision_response_empty' WHEN 4 THEN 'vision_response_json_invalid' END AS error,
+             CASE WHEN p_partkey % 6 IN (0, 1, 2, 5) THEN p_name END AS raw_text, CASE WHEN p_partkey % 6 IN (0, 1) THEN p_size WHEN p_partkey % 6 IN (3, 4) THEN 3 END AS difficulty FROM part""",
+    ),
+    "a4_open_envelope": Case(
+        lambda t: parse_model_responses(open_envelope(_envelopes(t), "body"), "content", "k int").select("id", "error", "payload.k"),
+        """SELECT event_id AS id, CASE event_type WHEN 'error' THEN CASE WHEN user_id = 0 THEN 'vision_response_empty' ELSE 'vision_upstream_rejected' END WHEN 'view' THEN 'vision_response_envelope_invalid'
+             WHEN 'click' THEN 'vision_response_envelope_invalid' WHEN 'signup' THEN 'vision_response_json_invalid' END AS error, CASE WHEN event_type = 'purchase' THEN 1 END AS k FROM events""",
+    ),
+    "a6_merge_changes": Case(
+        lambda t: merge_changes(t("b_images"), _changes(t)).select("id", "student_id", "status", "error_code", "question_count", "original_url"),
+        """WITH o AS (SELECT * FROM orders JOIN b_images i ON i.id = o_orderkey)
+           SELECT id, student_id, CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P' THEN 'confirmed' ELSE status END AS status,
+             CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P' THEN NULL ELSE error_code END AS error_code,
+             CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P' THEN 77 ELSE question_count END AS question_count, original_url FROM o WHERE o_orderpriority <> '5-LOW'
+           UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'confirmed', NULL, 77, NULL FROM o WHERE o_orderpriority = '1-URGENT'""",
+    ),
+    "a7_batched_due": Case(
+        lambda t: batched_due(t("b_questions"), purge_due(NOW), ["deleted_at", "id"], 100).select("id", "deleted_at", "batch_no"),
+        f"""SELECT id, deleted_at, CAST(floor((row_number() OVER (ORDER BY deleted_at ASC NULLS LAST, id) - 1) / 100) AS BIGINT) AS batch_no FROM b_questions
+           WHERE coalesce(deleted_at < {CUTOFF}, false) OR (collection_status = 'ignored' AND updated_at < {CUTOFF})""",
+    ),
+}

@@ -1 +1,151 @@
-CASES = {}
+import uuid
+
+from pyspark.sql import functions as F
+
+from relearn.catalog import Case
+from relearn.catalog import lifecycle as life
+from relearn.catalog.practice import COVERAGE, _items
+from relearn.catalog.recognition import RULES, _localizations, _pixels
+from relearn.catalog.sources import domain_tables
+from relearn.functions.ranks import ensure_checkpoint_dir
+from relearn.operators import recognition as rec
+from relearn.plans.grading import ATTEMPT_COLUMNS, RESULT_COLUMNS
+from relearn.plans.recognition import recognize
+from relearn.plans.retention import run_retention
+from relearn.streaming.jobs import Snapshots, read_arrivals, run_available, stream_attempts, stream_recognition
+
+NOW = "1998-12-01 00:00:00"
+
+
+def _run_folder(t):
+    """A folder of its own for this run, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+
+
+def responses(t):
+    """Responses per image as JSON documents; an image has four items and four marks here."""
+    item = F.struct(
+        "raw_text", "instruction", "prompt_text", "answer", "subject", "question_type", "tags", "difficulty", "confidence",
+        F.when(F.col("uncertain"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>")).alias("uncertain_segments"))
+    mark = F.struct("mark_id", "mark_type", F.array("l", "t", "r", "b").alias("bbox"), "confidence")
+    items = t("b_items").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", item.alias("v")))).alias("i"))
+    marks = t("b_marks").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("position", mark.alias("v")))).alias("m"))
+    body = F.struct(F.transform("i", lambda x: x["v"]).alias("items"), F.transform("m", lambda x: x["v"]).alias("error_marks"))
+    return items.join(marks, "image_id").select("image_id", F.to_json(body).alias("payload_json"))
+
+
+def _recognition(t):
+    folder = _run_folder(t)
+    responses(t).repartition(2).write.parquet(f"{folder}/arrivals")
+    snapshots = Snapshots(t.spark, f"{folder}/state")
+    snapshots.write("images", t.spark.createDataFrame([], "id long, status string, question_count int, subject string"), -1)
+
+    def process(batch):
+        checked = rec.validate_items(batch)
+        items = rec.recognized_items(checked).withColumn("normalized_text", F.lit(None).cast("string"))
+        marks = rec.recognized_marks(checked).drop("position", "mark_type")
+        ids = batch.select("image_id")
+        images = ids.select(F.col("image_id").alias("id"), F.lit(None).cast("string").alias("subject"),
+                            F.lit(None).cast("string").alias("recognition_correction"),
+                            F.lit("segmented").alias("status"), F.lit(0).alias("question_count"))
+        out = recognize(images, items, marks, _localizations(t).join(ids, "image_id", "left_semi"), t("b_ocr_lines"), _pixels(t), RULES)
+        return {
+            "candidates": out["candidates"].select("image_id", "idx", "collection_status", "review_status", "reliable_error_mark"),
+            "images": out["images"].select("id", "status", "question_count", "subject"),
+        }
+
+    arrivals = read_arrivals(t.spark, f"{folder}/arrivals", "image_id long, payload_json string")
+    stream_recognition(arrivals, process, snapshots, f"{folder}/checkpoint").awaitTermination()
+    return snapshots.everything("images")
+
+
+def _attempts(t):
+    folder = _run_folder(t)
+    answers = t("b_answers").groupBy("attempt_id").agg(F.collect_list(F.struct("sheet_item_id", "is_correct")).alias("answers"))
+    rows = t("b_attempts").drop("attempt_no", "accuracy", "updated_at").join(answers.withColumnRenamed("attempt_id", "id"), "id", "left")
+    rows.repartitionByRange(2, "created_at").write.parquet(f"{folder}/arrivals")
+    snapshots = Snapshots(t.spark, f"{folder}/state")
+    none = t("b_attempts").limit(0)
+    snapshots.write("practice_sheets", t("b_sheets"), -1)
+    snapshots.write("sheet_items", _items(t), -1)
+    snapshots.write("wrong_questions", t("b_practised"), -1)
+    empty = none.withColumn("correct_count", F.lit(0)).withColumn("total_count", F.lit(0)).select(*ATTEMPT_COLUMNS)
+    snapshots.write("practice_attempts", empty, -1)
+    results = t("b_results").limit(0).withColumn("derived_count", F.lit(0)).select(*RESULT_COLUMNS)
+    snapshots.write("practice_results", results, -1)
+
+    def split(batch):
+        flat = batch.select(F.col("id").alias("attempt_id"), F.inline("answers"))
+        return batch.drop("answers"), flat
+
+    arrivals = read_arrivals(t.spark, f"{folder}/arrivals", rows.schema)
+    stream_attempts(arrivals, split, snapshots, f"{folder}/checkpoint").awaitTermination()
+    return snapshots
+
+
+def _attempt_verdicts(t):
+    done = _attempts(t)
+    numbers = done.everything("practice_attempts").select("id", "attempt_no", "correct_count", "accuracy")
+    return done.everything("verdicts").join(numbers, "id", "left")
+
+
+ATTEMPT_SQL = f"""WITH {COVERAGE},
+  judged AS (SELECT a.*, CASE WHEN s.generation_status <> 'completed' THEN 'sheet_not_ready' WHEN v.verdict <> 'ok' THEN v.verdict END AS problem
+    FROM b_attempts a JOIN b_sheets s ON s.id = a.sheet_id JOIN verdicts v ON v.attempt_id = a.id),
+  owners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student_id, idempotency_key ORDER BY created_at, id) AS rn FROM judged WHERE problem IS NULL) x WHERE rn = 1),
+  outcome AS (SELECT j.id, j.sheet_id, j.created_at, CASE WHEN o.id = j.id THEN 'accepted' WHEN o.id IS NOT NULL AND (j.created_at > o.created_at OR (j.created_at = o.created_at AND j.id > o.id))
+      THEN CASE WHEN o.sheet_id = j.sheet_id THEN 'replay' ELSE 'conflict' END ELSE j.problem END AS verdict, o.id AS owner_id
+    FROM judged j LEFT JOIN owners o ON o.student_id = j.student_id AND o.idempotency_key = j.idempotency_key),
+  numbered AS (SELECT id, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY created_at, id) AS INT) AS attempt_no FROM outcome WHERE verdict = 'accepted'),
+  summed AS (SELECT attempt_id AS id, CAST(count(*) FILTER (WHERE is_correct) AS INT) AS correct_count,
+    CAST(round(count(*) FILTER (WHERE is_correct) / count(*), 4) AS DECIMAL(5,4)) AS accuracy FROM b_answers GROUP BY 1)
+  SELECT o.id, o.verdict, CASE WHEN o.verdict IN ('accepted', 'replay', 'conflict') THEN o.owner_id END AS recorded_id, n.attempt_no,
+    CASE WHEN n.id IS NOT NULL THEN s.correct_count END AS correct_count, CASE WHEN n.id IS NOT NULL THEN s.accuracy END AS accuracy
+  FROM outcome o LEFT JOIN numbered n ON n.id = o.id LEFT JOIN summed s ON s.id = o.id"""
+
+
+def _forever_keys(t):
+    """Keys seen for the first time, remembered by the stream's own state."""
+    folder = _run_folder(t)
+    t("b_attempts").select("id", "student_id", "idempotency_key").repartition(2).write.parquet(f"{folder}/arrivals")
+    seen = read_arrivals(t.spark, f"{folder}/arrivals", "id long, student_id long, idempotency_key string").dropDuplicates(["student_id", "idempotency_key"])
+    snapshots = Snapshots(t.spark, f"{folder}/state")
+    run_available(seen, lambda df, n: snapshots.append("keys", df.drop("id"), n), f"{folder}/checkpoint").awaitTermination()
+    return snapshots.everything("keys")
+
+
+def _retention_inputs(t):
+    tables = domain_tables(t)
+    tables["file_cleanup_jobs"] = t.sql(life.JOBS).select(
+        F.col("id").cast("string").alias("id"), F.lit("upload").alias("storage_kind"),
+        F.concat(F.lit("/uploads/e"), F.col("id").cast("string")).alias("object_path"), "attempt_count", "last_error", "next_attempt_at")
+    old = t.sql(life.OUTCOMES).select(F.lit("upload").alias("storage_kind"), F.concat(F.lit("/uploads/e"), F.col("id").cast("string")).alias("object_path"), "ok", "error")
+    pdfs = t("b_sheets").filter("pdf_url IS NOT NULL").select(
+        F.lit("pdf").alias("storage_kind"), F.col("pdf_url").alias("object_path"), (F.col("id") % 2 == 0).alias("ok"), F.lit("OSError").alias("error"))
+    return tables, old.unionByName(pdfs)
+
+
+def _retention(t):
+    tables, outcomes = _retention_inputs(t)
+    return run_retention(tables, outcomes, "2024-01-04 00:00:00")[1]
+
+
+RETENTION_SQL = """WITH gone AS (SELECT id FROM b_accounts WHERE status = 'pending_deletion' AND deletion_due_at <= TIMESTAMP '2024-01-04 00:00:00'),
+  pupils AS (SELECT id FROM b_students WHERE account_id IN (SELECT id FROM gone)),
+  cut AS (SELECT id, image_id FROM b_questions WHERE coalesce(deleted_at < TIMESTAMP '2023-12-05 00:00:00', false) OR (collection_status = 'ignored' AND updated_at < TIMESTAMP '2023-12-05 00:00:00')),
+  orphans AS (SELECT id FROM b_images i WHERE created_at < TIMESTAMP '2023-12-05 00:00:00' AND NOT EXISTS (SELECT 1 FROM b_questions q WHERE q.image_id = i.id AND q.id NOT IN (SELECT id FROM cut))),
+  queued AS (SELECT avatar_object_key AS p, true AS ok, true AS skip FROM b_accounts WHERE id IN (SELECT id FROM gone) AND avatar_object_key IS NOT NULL
+    UNION ALL SELECT pdf_url, id % 2 = 0, false FROM b_sheets WHERE student_id IN (SELECT id FROM pupils) AND pdf_url IS NOT NULL
+    UNION ALL SELECT original_url, true, true FROM b_images WHERE student_id IN (SELECT id FROM pupils) AND original_url NOT LIKE '%/x.jpg' AND id NOT IN (SELECT id FROM orphans)),
+  old AS (SELECT value > 30 AS ok FROM events WHERE event_type <> 'click' AND (event_type = 'view' OR ts <= TIMESTAMP '2024-01-04 00:00:00'))
+  SELECT 'questions_deleted' AS counter, count(*) AS n FROM cut UNION ALL SELECT 'images_deleted', count(*) FROM orphans
+  UNION ALL SELECT 'accounts_deleted', count(*) FROM gone UNION ALL SELECT 'files_queued', count(*) FROM queued
+  UNION ALL SELECT 'files_deleted', (SELECT count(*) FROM queued WHERE NOT skip AND ok) + (SELECT count(*) FROM old WHERE ok)
+  UNION ALL SELECT 'file_failures', (SELECT count(*) FROM queued WHERE NOT skip AND NOT ok) + (SELECT count(*) FROM old WHERE NOT ok)"""
+
+CASES = {
+    "h1_stream_recognition": Case(_recognition),
+    "h2_stream_attempts": Case(_attempt_verdicts, ATTEMPT_SQL),
+    "h2_stream_keys": Case(_forever_keys, "SELECT DISTINCT student_id, idempotency_key FROM b_attempts"),
+    "h3_retention": Case(_retention, RETENTION_SQL),
+}

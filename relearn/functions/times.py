@@ -45,4 +45,5 @@ def days_after(now: Column | datetime | str, days: int) -> Column:
 def whole_seconds_between(start: Column, end: Column) -> Column:
     """ceil(max(0, end - start)) in seconds, null when either side is missing."""
     micros = F.timestamp_diff("MICROSECOND", start, end)
-    return F.ceil(F.greatest(micros, F.lit(0)) / F.lit(1_000_000)).cast("int")
+    seconds = F.ceil(F.greatest(micros, F.lit(0)) / F.lit(1_000_000)).cast("int")
+    return F.when(micros.isNotNull(), seconds)

@@ -42,7 +42,9 @@ def open_envelope(df: DataFrame, body: str, content: str = "content", error: str
         F.when(F.coalesce(variant_kind(parsed) != "OBJECT", F.lit(True)), ENVELOPE_INVALID)
         .when(code.isNotNull() & (code != 0), UPSTREAM_REJECTED)
     )
-    text = F.when(bad.isNull(), F.coalesce(F.try_variant_get(parsed, "$.content", "string"), F.lit("")))
+    is_text = variant_kind(F.try_variant_get(parsed, "$.content", "variant")) == "STRING"
+    found = F.when(is_text, F.try_variant_get(parsed, "$.content", "string"))
+    text = F.when(bad.isNull(), F.coalesce(found, F.lit("")))
     return df.withColumn(content, text).withColumn(error, bad)
 
 
