@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,10 +105,12 @@ LATEST_VERSION = 8
 
 
 def _columns(table: str) -> list[tuple[str, str, bool]]:
+    """(name, Spark type, required) of a table's columns."""
     out = []
-    for part in TABLES[table].replace("\n", " ").split(", "):
+    for part in re.split(r",\s+", TABLES[table]):
         name, kind = part.split()
-        out.append((name, kind.rstrip("!").replace("ts", "timestamp_ntz") if kind.startswith("ts") else kind.rstrip("!"), kind.endswith("!")))
+        plain = kind.rstrip("!")
+        out.append((name, "timestamp_ntz" if plain == "ts" else plain, kind.endswith("!")))
     return out
 
 
@@ -173,48 +176,65 @@ def evolve_schema(df: DataFrame, table: str, version: int, from_version: int = 2
     return df.drop(*[n for at, owner, n, _, _ in ADDED if owner == table and version < at])
 
 
-def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations as (table, rule, key, n): not-null, unique, foreign key and domain rules.
+def _key_text(columns: list[str]) -> Column:
+    """Key columns as one text; separators inside a composite key are escaped."""
+    if len(columns) == 1:
+        return F.col(columns[0]).cast("string")
+    parts = [F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return F.concat_ws("|", *parts)
+
+
+def _rule_hits(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per (rule, key) that a row of ``table`` takes part in.
 
-    Every check first counts per key value, so a hot value is one row by the time it is joined.
+    ``about`` names the table whose ids the key belongs to, for id and foreign-key rules.
     """
+    have = set(df.columns)
 
-    def report(rows: DataFrame, table: str, rule: str, key, n) -> DataFrame:
-        return rows.select(
-            F.lit(table).alias("table"), F.lit(rule).alias("rule"),
-            key.cast("string").alias("key"), n.cast("long").alias("n"),
+    def hit(condition: Column, rule: str, key: Column, about: str | None = None) -> Column:
+        return F.when(
+            condition, F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(about).cast("string").alias("about"))
         )
 
-    found = []
-    for table, df in tables.items():
-        required = [n for n, _, needed in _columns(table) if needed and n in df.columns]
-        if required:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
-            pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in required]))
-            flat = nulls.select(pairs.alias("x")).filter("x.n > 0")
-            found.append(report(flat, table, "not_null", F.col("x.c"), F.col("x.n")))
-    for table, keys, condition in UNIQUE:
-        df = tables.get(table)
-        if df is None or not set(keys) <= set(df.columns):
-            continue
-        rows = df.dropna(subset=keys)
-        if condition:
-            rows = rows.filter(condition)
-        twice = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-        found.append(report(twice, table, "unique(" + ",".join(keys) + ")", F.concat_ws("|", *keys), F.col("_n")))
-    for table, column, parent in FOREIGN:
-        if table not in tables or parent not in tables or column not in tables[table].columns:
-            continue
-        used = (
-            tables[table].groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("_n"))
-            .filter("_k IS NOT NULL")
-        )
-        known = tables[parent].select(F.col("id").alias("_k"))
-        lost = used.join(known, "_k", "left_anti")
-        found.append(report(lost, table, f"foreign({column})", F.col("_k"), F.col("_n")))
-    for table, column, allowed in DOMAINS:
-        if table not in tables or column not in tables[table].columns:
-            continue
-        odd = tables[table].filter(~F.col(column).isin(allowed)).groupBy(column).agg(F.count("*").alias("_n"))
-        found.append(report(odd, table, f"domain({column})", F.col(column), F.col("_n")))
-    return reduce(DataFrame.unionByName, found)
+    hits = []
+    for name, _, needed in _columns(table):
+        if needed and name in have:
+            hits.append(hit(F.col(name).isNull(), "not_null", F.lit(name)))
+    for owner, keys, condition in UNIQUE:
+        if owner == table and set(keys) <= have:
+            present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+            present = present & F.col(condition) if condition else present
+            hits.append(hit(present, f"unique({','.join(keys)})", _key_text(keys), table if keys == ["id"] else None))
+    for owner, name, parent in FOREIGN:
+        if owner == table and name in have and parent in tables:
+            hits.append(hit(F.col(name).isNotNull(), f"foreign({name})", _key_text([name]), parent))
+    for owner, name, allowed in DOMAINS:
+        if owner == table and name in have:
+            hits.append(hit(~F.col(name).isin(allowed), f"domain({name})", F.col(name)))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return df.select(F.lit(table).alias("table"), F.explode(found).alias("_h")).select("table", "_h.*")
+
+
+def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations as (table, rule, key, n): not-null, unique, foreign key and domain rules.
+
+    Each table is scanned once. Rows are counted per (rule, key) before anything else, so a
+    value that fills a table is one row from then on; ids and the keys that refer to them
+    then meet in a second count, which holds at most one entry per rule.
+    """
+    hits = reduce(DataFrame.unionByName, [_rule_hits(name, df, tables) for name, df in tables.items()])
+    counted = hits.groupBy("table", "rule", "key", "about").agg(F.count("*").alias("n"))
+    is_id = F.col("rule") == "unique(id)"
+    # Keys without ``about`` need no partner; keeping their rule in the group spreads them.
+    apart = F.when(F.col("about").isNull(), F.concat("table", "rule"))
+    meeting = counted.groupBy("about", apart.alias("_apart"), "key").agg(
+        F.bool_or(is_id).alias("_exists"), F.collect_list(F.struct("table", "rule", "n")).alias("_rules")
+    )
+    rows = meeting.select("key", "_exists", F.explode("_rules").alias("_r")).select("key", "_exists", "_r.*")
+    broken = (
+        (F.col("rule").startswith("unique") & (F.col("n") > 1))
+        | (F.col("rule").startswith("foreign") & ~F.col("_exists"))
+        | F.col("rule").startswith("domain")
+        | (F.col("rule") == "not_null")
+    )
+    return rows.filter(broken).select("table", "rule", "key", "n")
