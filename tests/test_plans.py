@@ -29,6 +29,7 @@ def test_pages_limit_before_the_shuffle(spark, tables):
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path, tables):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     path = str(tmp_path / "q")
     tables("b_questions").write.parquet(path)
     df = lib.list_questions(spark.read.parquet(path), subject="math", limit=5).select("id")
