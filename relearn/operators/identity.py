@@ -146,11 +146,8 @@ def resolve_phone_bindings(
     claims = asked.filter("_valid").groupBy("_print").agg(
         F.min(F.struct("requested_at", "request_id", "account_id")).alias("_claim")
     )
-    joined = (
-        asked.join(stored, "_print", "left")
-        .join(claims, "_print", "left")
-        .join(business, "account_id", "left")
-    )
+    owners = stored.join(claims, "_print", "full_outer")
+    joined = asked.join(owners, "_print", "left").join(business, "account_id", "left")
     owner = F.coalesce("_stored_owner", "_claim.account_id")
     owner_status = F.coalesce("_stored_status", F.lit("active"))
     outcome = (

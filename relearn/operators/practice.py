@@ -34,12 +34,15 @@ def answer_coverage(attempts: DataFrame, items: DataFrame, answers: DataFrame) -
     known = items.select(F.col("id").alias("sheet_item_id"), F.col("sheet_id").alias("_home"))
     heads = attempts.select(F.col("id").alias("attempt_id"), "sheet_id")
     per_item = answers.groupBy("attempt_id", "sheet_item_id").agg(F.count("*").alias("_n"))
-    placed = per_item.join(known, "sheet_item_id", "left").join(heads, "attempt_id")
+    # An attempt is down to one row per sheet its answers point at before it meets its own sheet.
+    per_home = per_item.join(known, "sheet_item_id", "left").groupBy("attempt_id", "_home").agg(
+        F.max("_n").alias("_n"), F.count("*").alias("_items")
+    )
     hit = F.col("_home").eqNullSafe(F.col("sheet_id"))
-    counts = placed.groupBy("attempt_id").agg(
+    counts = per_home.join(heads, "attempt_id").groupBy("attempt_id").agg(
         F.max("_n").alias("_most"),
-        F.count_if(hit).alias("_hits"),
-        F.count_if(~hit).alias("_extra"),
+        F.sum(F.when(hit, F.col("_items")).otherwise(0)).alias("_hits"),
+        F.sum(F.when(hit, 0).otherwise(F.col("_items"))).alias("_extra"),
     )
     verdict = (
         F.when(F.col("_most").isNull() | F.col("n_items").isNull(), "empty")
@@ -193,13 +196,15 @@ def mastery_state(
     if "previous_correct" not in groups.columns:
         groups = groups.withColumn("previous_correct", F.lit(None).cast("boolean"))
     heads = recorded.select(F.col("id").alias("attempt_id"), "student_id", "completed_at")
+    # Meeting on question and attempt together spreads a busy question over its attempts.
+    newest = latest.select("question_id", F.col("latest_attempt_id").alias("attempt_id"), F.lit(True).alias("_newest"))
     touched = (
         groups.filter(F.col("source_question_id").isNotNull())
         .withColumnRenamed("source_question_id", "question_id")
         .join(heads, "attempt_id")
-        .join(latest, "question_id", "left")
+        .join(newest, ["question_id", "attempt_id"], "left")
     )
-    is_latest = F.col("attempt_id") == F.col("latest_attempt_id")
+    is_latest = F.col("_newest")
     change = wrong_count_delta(F.col("previous_correct"), F.col("all_correct"))
     per_question = touched.groupBy("question_id", "student_id").agg(
         F.sum(change).alias("_delta"),

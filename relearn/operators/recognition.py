@@ -472,6 +472,8 @@ def count_red_pixels(pixels: DataFrame, boxes: DataFrame, expansion: float) -> D
     packs = (
         distinct.join(crowd, "image_id")
         .withColumn("_pack", F.pmod(F.xxhash64("l", "t", "r", "b"), F.col("_packs")))
+        # Without this the join's partitioning by image would be kept for the grouping.
+        .repartition("image_id", "_pack")
         .groupBy("image_id", "_pack")
         .agg(F.collect_list(F.struct("l", "t", "r", "b")).alias("boxes"))
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from relearn.functions.ranks import pin
 from relearn.operators import practice as pr
 from relearn.operators.library import practice_ready
-from relearn.sources.changes import overlay
 
 ATTEMPT_COLUMNS = [
     "id", "sheet_id", "student_id", "attempt_no", "idempotency_key", "correct_count", "total_count",
@@ -31,7 +30,8 @@ def record_attempts(
     A verdict per attempt, in order: replay or conflict of its key, sheet_not_found,
     sheet_not_ready, then the coverage verdict; ok ones are stored. An attempt that is
     refused leaves its key free for the next arrival, so keys are settled among the
-    gradable attempts only. Arrival order decides numbers.
+    gradable attempts only. Arrival order decides numbers. ``updates`` are the changed
+    fields of questions, to be laid over the table.
     """
     ready = practice_ready(sheets).select(F.col("id").alias("sheet_id"), "student_id", "ready")
     placed = new.join(ready, ["sheet_id", "student_id"], "left")
@@ -45,7 +45,9 @@ def record_attempts(
     # The stored attempt owns its key; otherwise the first gradable arrival does, and whatever
     # arrives after the owner only repeats it, gradable or not.
     key = ["student_id", "idempotency_key"]
-    stored = attempts.select(*key, F.col("id").alias("_stored_id"), F.col("sheet_id").alias("_stored_sheet"))
+    stored = attempts.join(new.select(*key).distinct(), key, "left_semi").select(
+        *key, F.col("id").alias("_stored_id"), F.col("sheet_id").alias("_stored_sheet")
+    )
     first = judged.filter("_problem IS NULL").groupBy(*key).agg(
         F.min(F.struct("created_at", "id", "sheet_id")).alias("_first")
     )
@@ -73,7 +75,8 @@ def record_attempts(
     graded = pin(answers.join(accepted_ids, "attempt_id", "left_semi").join(facts, "sheet_item_id"))
     groups = pr.group_results(graded)
     summary = pr.attempt_summary(graded).withColumnRenamed("attempt_id", "id")
-    numbered = pr.number_attempts(accepted, attempts).join(summary, "id")
+    same_sheets = attempts.join(accepted.select("sheet_id").distinct(), "sheet_id", "left_semi")
+    numbered = pr.number_attempts(accepted, same_sheets).join(summary, "id")
     numbered = pin(
         numbered.withColumn("updated_at", F.col("created_at"))
         .withColumn("correct_count", F.col("correct_count").cast("int"))
@@ -82,14 +85,18 @@ def record_attempts(
     )
     times = numbered.select(F.col("id").alias("attempt_id"), "created_at")
     new_results = pr.build_results(graded, groups).join(times, "attempt_id").select(*RESULT_COLUMNS)
-    all_attempts = attempts.select("id", "created_at").union(numbered.select("id", "created_at"))
-    all_results = results.select("attempt_id", "wrong_question_id").union(new_results.select("attempt_id", "wrong_question_id"))
-    latest = pr.latest_attempt_by_question(all_attempts, all_results)
+    # Only the history of the questions at hand matters; their ids are few next to it.
+    asked = graded.select(F.col("source_question_id").alias("wrong_question_id")).distinct()
+    past = results.select("attempt_id", "wrong_question_id").join(asked, "wrong_question_id", "left_semi")
+    past_attempts = attempts.join(past.select(F.col("attempt_id").alias("id")).distinct(), "id", "left_semi")
+    latest = pr.latest_attempt_by_question(
+        past_attempts.select("id", "created_at").union(numbered.select("id", "created_at")),
+        past.select("attempt_id", "wrong_question_id").union(new_results.select("attempt_id", "wrong_question_id")),
+    )
     updates = pr.mastery_state(questions, numbered, groups, latest)
     return {
         "verdicts": verdicts,
         "attempts": numbered,
         "results": new_results,
         "updates": updates,
-        "questions": overlay(questions, updates),
     }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relearn.plans.grading import record_attempts
+from relearn.sources.changes import overlay
 
 
 class Snapshots:
@@ -65,6 +66,20 @@ class Snapshots:
     def everything(self, name: str) -> DataFrame:
         return self.upto(name, 1 << 62)
 
+    def current(self, name: str, updates: str, version: int = 1 << 62, key: str = "id") -> DataFrame:
+        """The table ``name`` under the newest of the ``updates`` appended before ``version``.
+
+        A batch thus writes what it changed, not the table; folding the updates into a new
+        first version now and then keeps reading cheap.
+        """
+        base = self.latest(name)
+        if not [v for v in self._versions(updates) if v < version]:
+            return base
+        changed = self.upto(updates, version)
+        fields = [c for c in changed.columns if c not in (key, "batch_id")]
+        newest = changed.groupBy(key).agg(F.max_by(F.struct(*fields), "batch_id").alias("_u"))
+        return overlay(base, newest.select(key, "_u.*"), key)
+
 
 def read_arrivals(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, **options: str) -> DataFrame:
     """A stream of parquet files dropped into ``path``."""
@@ -92,9 +107,9 @@ def stream_attempts(
 ) -> StreamingQuery:
     """Grade arriving attempts against the stored ones and move the questions' state.
 
-    ``split`` turns a batch into attempts and answers. Attempts and results are appended per
-    batch, so the state that grows is written once; sheets, items and questions come from
-    their snapshots. Keys are remembered for ever, as stored attempts.
+    ``split`` turns a batch into attempts and answers. Attempts, results and changed question
+    fields are appended per batch, so what a batch writes grows with the batch; sheets, items
+    and questions come from their snapshots. Keys are remembered for ever, as stored attempts.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -105,12 +120,13 @@ def stream_attempts(
             snapshots.latest("sheet_items"),
             snapshots.upto("practice_attempts", batch_id),
             snapshots.upto("practice_results", batch_id),
-            snapshots.before("wrong_questions", batch_id),
+            snapshots.current("wrong_questions", "question_updates", batch_id),
         )
         snapshots.append("verdicts", out["verdicts"], batch_id)
         snapshots.append("practice_attempts", out["attempts"], batch_id)
         snapshots.append("practice_results", out["results"], batch_id)
-        snapshots.write("wrong_questions", out["questions"], batch_id)
+        updates = out["updates"].withColumn("batch_id", F.lit(batch_id).cast("long"))
+        snapshots.append("question_updates", updates, batch_id)
 
     return run_available(arrivals, each, checkpoint)
 

@@ -33,7 +33,7 @@ def test_attempts_delivered_twice_count_once(spark, tables, tmp_path):
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "arrivals"))
         stream = read_arrivals(spark, str(tmp_path / "arrivals"), rows.schema)
         stream_attempts(stream, split, state, str(tmp_path / "checkpoint")).awaitTermination()
-        return rows_of(state.latest("wrong_questions")), rows_of(state.everything("practice_attempts"))
+        return rows_of(state.current("wrong_questions", "question_updates")), rows_of(state.everything("practice_attempts"))
 
     first = deliver("one")
     assert len(first[1]) > 0
