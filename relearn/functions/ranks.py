@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
+ROWS_PER_PARTITION = 1_000_000
+BROADCAST_ROWS = 100_000
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 GROUP_LIMIT_ROWS = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -40,32 +42,40 @@ def null_safe_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, s
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def global_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Zero-based position of every row in one total order; ``order`` must end in a unique column."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def global_position(
+    df: DataFrame, order: Sequence[Column], name: str = "position", rows: int | None = None
+) -> DataFrame:
+    """Zero-based position of every row in one total order; ``order`` must end in a unique column.
+
+    ``rows``, counted if not given, sizes the range partitions.
+    """
+    rows = df.count() if rows is None else rows
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
     laid_out = pin(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     part = F.shiftrightunsigned("_at", LOCAL_BITS)
-    # One row per range partition, so both the single-task window and the broadcast are bounded.
+    # One row per range partition, so the single-task window is bounded, and so is the broadcast.
     sizes = laid_out.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    if parts <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return (
         laid_out.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(name, F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
         .drop("_part", "_at", "_offset")
     )
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
-    """True when a key exceeds ``hot_rows``: one pre-aggregated pass over the key columns."""
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key and of all keys: one pre-aggregated pass over the key columns."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return bool(sizes.filter(F.col("_n") > hot_rows).take(1))
+    found = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
+    return found.largest or 0, found.total or 0
 
 
 def rank_rows(
@@ -76,10 +86,11 @@ def rank_rows(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One-based row number inside ``keys``; ``order`` must be total inside a key."""
-    if not has_hot_key(df, keys, hot_rows):
+    largest, total = key_sizes(df, keys)
+    if largest <= hot_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
-    placed = global_position(df, [F.col(k).asc() for k in keys] + list(order), "_g")
+    placed = global_position(df, [F.col(k).asc() for k in keys] + list(order), "_g", total)
     firsts = placed.groupBy(*keys).agg(F.min("_g").alias("_first"))
     renamed = firsts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
     on = null_safe_on(placed, renamed, [(k, f"_k{i}") for i, k in enumerate(keys)])
@@ -130,7 +141,7 @@ def running_sum_and_floor(
     what precedes them.
     """
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if not has_hot_key(df, keys, hot_rows):
+    if key_sizes(df, keys)[0] <= hot_rows:
         rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
         summed = df.withColumn(sum_name, F.sum(value).over(rows))
         return summed.withColumn(floor_name, F.min(sum_name).over(rows))
