@@ -150,7 +150,10 @@ CASES = {
     ),
     "d6_folded_documents": Case(
         lambda t: t("documents").select("doc_id", F.length(folded(F.col("text"), "identity")).alias("n"),
-                                        F.length(folded(F.col("text"), "answer")).alias("n_answer"))),
+                                        F.length(folded(F.col("text"), "answer")).alias("n_answer")),
+        r"""SELECT doc_id, length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS n,
+             length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]', '', 'g')) AS n_answer FROM documents""",
+    ),
     "d7_display_bbox": Case(
         lambda t: _located(t).filter("matched").withColumn("box", rec.display_bbox(0.15)).select(
             "image_id", "idx", *[F.round(f"box.{c}", 6).alias(c) for c in "ltrb"]),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.functions.ranks import HOT_ROWS, null_safe_on, page_rows, rank_rows, running_sum_and_floor
+from relearn.functions.ranks import HOT_ROWS, null_safe_on, page_rows, pin, rank_rows, running_sum_and_floor
 from relearn.operators.lifecycle import cleanup_jobs_for
 from relearn.sources.changes import overlay
 
@@ -231,7 +231,7 @@ def edit_attempts(
 
     An edit counts only if it saw the stored version, the attempt is its sheet's latest, and
     both the stored and the new answers cover the sheet. Returns verdicts, the new summaries
-    and the group changes.
+    and the group changes. The verdicts are checkpointed, so calling this runs jobs.
     """
     newest = attempts.groupBy("sheet_id").agg(F.max_by("id", "attempt_no").alias("_newest"))
     stored = attempts.select(
@@ -249,7 +249,8 @@ def edit_attempts(
     )
     covered = answer_coverage(current, items, after).select("attempt_id", F.col("verdict").alias("_after"))
     held = answer_coverage(current, items, before).select("attempt_id", F.col("verdict").alias("_before"))
-    verdicts = (
+    # Read four times below; the coverage counts behind it are made once.
+    verdicts = pin(
         asked.join(covered, "attempt_id", "left")
         .join(held, "attempt_id", "left")
         .select(

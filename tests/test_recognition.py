@@ -3,6 +3,7 @@ import struct
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,27 @@ def test_scanned_images_and_red_marks(spark, tmp_path):
     assert (first.red_pixel_count, first.pixel_count) == (10 * 8, 13 * 8)
 
 
+def test_crowded_image_equals_brute_force(spark):
+    """More boxes than one pack holds, half of them copies of one another."""
+    size, rng = 40, np.random.default_rng(5)
+    image = rng.integers(0, 256, (size, size, 3), dtype=np.uint8)
+    boxes = []
+    for n in range(900):
+        l, t = rng.integers(0, 30, 2) / 40
+        boxes.append((1, n, float(l), float(t), float(l) + (n % 9 + 1) / 40, float(t) + (n % 7 + 1) / 40, 0.9))
+    boxes += [(1, 900 + n, *boxes[0][2:]) for n in range(900)]
+    pixels = spark.createDataFrame([(1, size, size, 3, bytearray(image.tobytes()), True)],
+                                   "image_id int, height int, width int, channels int, pixels binary, readable boolean")
+    marks = spark.createDataFrame(boxes, "image_id int, mark_id int, l double, t double, r double, b double, confidence double")
+    got = rec.red_evidence(pixels, marks, Thresholds(red_expansion=0.0)).collect()
+    assert len(got) == 1800
+    b, g, r = (image[..., c].astype(int) for c in range(3))
+    red = (r >= 120) & (r - g >= 45) & (r - b >= 45) & (r >= 1.35 * g) & (r >= 1.35 * b)
+    for row in got:
+        inside = red[row.px_top:row.px_bottom, row.px_left:row.px_right]
+        assert (row.red_pixel_count, row.pixel_count) == (inside.sum(), inside.size)
+
+
 def brute_verdicts(lines, items, rules):
     """The verdict rule written as loops over everything."""
 
