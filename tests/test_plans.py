@@ -1,27 +1,14 @@
 """What the plans must look like at scale."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from relearn import catalog
 from relearn.operators import library as lib
-from conftest import DATA
-
-# These run jobs while they are built; their parts are covered by the other cases.
-EAGER = ("a1_", "d17_", "g7_", "h1_", "h2_")
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(catalog.queries()) if not n.startswith(EAGER)])
-def test_no_cross_products(spark, name):
-    plan = plan_of(catalog.queries()[name](spark, DATA))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-
-
 def test_pages_limit_before_the_shuffle(spark, tables):
     plan = plan_of(lib.incomplete_images(tables("b_images"), 3))
     assert plan.count("WindowGroupLimit") == 2
