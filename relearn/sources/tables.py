@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,16 +184,24 @@ def _key_text(columns: list[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def _rule_hits(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per (rule, key) that a row of ``table`` takes part in.
+def _rule_hits(
+    table: str, df: DataFrame, tables: dict[str, DataFrame], rules: list[tuple[str, str]]
+) -> DataFrame:
+    """One row (code, key, about) per rule that a row of ``table`` takes part in.
 
-    ``about`` names the table whose ids the key belongs to, for id and foreign-key rules.
+    ``code`` is the rule's place in ``rules``, which grows here. ``about`` numbers the table
+    whose ids the key belongs to, for id and foreign-key rules.
     """
-    have = set(df.columns)
+    have, names = set(df.columns), list(TABLES)
 
     def hit(condition: Column, rule: str, key: Column, about: str | None = None) -> Column:
+        rules.append((table, rule))
+        number = None if about is None else names.index(about)
         return F.when(
-            condition, F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.lit(about).cast("string").alias("about"))
+            condition,
+            F.struct(
+                F.lit(len(rules) - 1).alias("code"), key.alias("key"), F.lit(number).cast("int").alias("about")
+            ),
         )
 
     hits = []
@@ -212,29 +220,32 @@ def _rule_hits(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> DataF
         if owner == table and name in have:
             hits.append(hit(~F.col(name).isin(allowed), f"domain({name})", F.col(name)))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return df.select(F.lit(table).alias("table"), F.explode(found).alias("_h")).select("table", "_h.*")
+    return df.select(F.explode(found).alias("_h")).select("_h.*")
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations as (table, rule, key, n): not-null, unique, foreign key and domain rules.
 
     Each table is scanned once. Rows are counted per (rule, key) before anything else, so a
-    value that fills a table is one row from then on; ids and the keys that refer to them
-    then meet in a second count, which holds at most one entry per rule.
+    value that fills a table is one row from then on; an id and the keys that refer to it
+    then meet in a window of at most one row per rule.
     """
-    hits = reduce(DataFrame.unionByName, [_rule_hits(name, df, tables) for name, df in tables.items()])
-    counted = hits.groupBy("table", "rule", "key", "about").agg(F.count("*").alias("n"))
-    is_id = F.col("rule") == "unique(id)"
-    # Keys without ``about`` need no partner; keeping their rule in the group spreads them.
-    apart = F.when(F.col("about").isNull(), F.concat("table", "rule"))
-    meeting = counted.groupBy("about", apart.alias("_apart"), "key").agg(
-        F.bool_or(is_id).alias("_exists"), F.collect_list(F.struct("table", "rule", "n")).alias("_rules")
-    )
-    rows = meeting.select("key", "_exists", F.explode("_rules").alias("_r")).select("key", "_exists", "_r.*")
+    rules: list[tuple[str, str]] = []
+    parts = [_rule_hits(name, df, tables, rules) for name, df in tables.items()]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("code", "about", "key").agg(F.count("*").alias("n"))
+
+    def of_kind(start: str) -> Column:
+        return F.col("code").isin([i for i, (_, rule) in enumerate(rules) if rule.startswith(start)])
+
+    # Keys without a partner keep their rule in the partition, which spreads them.
+    apart = F.when(F.col("about").isNull(), F.col("code"))
+    meeting = Window.partitionBy("about", apart, "key")
+    known = counted.withColumn("_exists", F.max(of_kind("unique(id)")).over(meeting))
     broken = (
-        (F.col("rule").startswith("unique") & (F.col("n") > 1))
-        | (F.col("rule").startswith("foreign") & ~F.col("_exists"))
-        | F.col("rule").startswith("domain")
-        | (F.col("rule") == "not_null")
+        (of_kind("unique") & (F.col("n") > 1))
+        | (of_kind("foreign") & ~F.col("_exists"))
+        | of_kind("domain")
+        | of_kind("not_null")
     )
-    return rows.filter(broken).select("table", "rule", "key", "n")
+    names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(r).alias("rule")) for t, r in rules])
+    return known.filter(broken).select(F.get(names, F.col("code")).alias("_r"), "key", "n").select("_r.*", "key", "n")
