@@ -15,8 +15,8 @@ from relearn.llm.common import pin
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]"
-#: Fence = max(floor, q75 + reach * (q75 - q25)); a floor is the value that no clean text is judged by.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.15, "word_length": 14.0}
+#: Fence = max(floor, q75 + reach * (q75 - q25)). A floor holds where most texts have none of what is measured.
+FLOORS = {"symbol_share": 0.03, "dup_line_share": 0.30, "repeat_share": 0.25, "word_length": 0.0}
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
