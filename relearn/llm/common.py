@@ -48,9 +48,9 @@ def map_rows(
     its result is passed to ``work`` as a second argument.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
-    fields = to_arrow_schema(_parse_datatype_string(schema))
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = (start(),) if start else ()
@@ -68,6 +68,19 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+#: Ids up to this number may be sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def sent_if_small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (narrow rows, cheap to count) with a broadcast hint if there are at most ``most``."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a, b): columns node, component.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows
+from relearn.llm.common import map_rows, schema_text
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -246,3 +246,21 @@ def find_leaks(
         part = map_rows(rows, work, schema, start=lambda sent=sent: sent.value)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5,
+    half: int = 64, index_bytes: int = INDEX_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` without a verified hit; same columns."""
+    schema = schema_text(docs)
+    for index in benchmark_indexes(benchmark, index_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(index)  # at most index_bytes of item texts
+
+        def work(batch: pa.RecordBatch, index: Index) -> dict:
+            texts = batch.column("text").to_pylist()
+            kept = batch.filter(pa.array([not text_hits(index, t, half, threshold, question, answer) for t in texts], type=pa.bool_()))
+            return {name: kept.column(name) for name in kept.schema.names}
+
+        docs = map_rows(docs, work, schema, start=lambda sent=sent: sent.value)
+    return docs

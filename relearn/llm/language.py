@@ -7,12 +7,14 @@ the sum of the unit vectors of its training texts. Texts get the language with t
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows
+from relearn.llm.common import map_rows, schema_text
 
 DIMENSIONS = 1024
 CODES = 0x110000
@@ -81,6 +83,12 @@ class Profiles:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
+@cache
+def profiles_at() -> Profiles:
+    """Kept from task to task in one Python worker."""
+    return Profiles()
+
+
 def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 30_000, most_languages: int = 256) -> dict[str, np.ndarray]:
     """Unit prototype by language from about ``most`` of the ``allowed`` rows at most, drawn by a hash of doc_id.
 
@@ -102,7 +110,7 @@ def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 30_000, most_
         }
 
     texts = drawn.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = map_rows(texts, work, "lang string, n long, sums array<float>", rows=128, start=Profiles)
+    sums = map_rows(texts, work, "lang string, n long, sums array<float>", rows=128, start=profiles_at)
     totals = (
         sums.select("lang", "n", F.posexplode("sums").alias("at", "x"))
         .groupBy("lang", "at")
@@ -144,4 +152,17 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> Dat
         }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, work, "doc_id long, lang_pred string, score double", rows=64, start=Profiles)
+    return map_rows(rows, work, "doc_id long, lang_pred string, score double", rows=64, start=profiles_at)
+
+
+def in_known_language(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: not ``und``, and a cosine of ``least`` or more; same columns."""
+    names = sorted(prototypes)
+    table = np.stack([prototypes[x] for x in names]) if names else np.zeros((1, DIMENSIONS), dtype=np.float32)
+
+    def work(batch: pa.RecordBatch, profiles: Profiles) -> dict:
+        best = (profiles.of_texts(batch.column("text").to_pylist()) @ table.T).max(axis=1)
+        kept = batch.filter(pa.array(best >= least))
+        return {name: kept.column(name) for name in kept.schema.names}
+
+    return map_rows(docs, work, schema_text(docs), rows=64, start=profiles_at)

@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relearn.llm.common import components, map_rows, pin
+from relearn.llm.common import components, map_rows, pin, sent_if_small
 
 # Odd multipliers of the 64-bit mixing steps.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 CACHED_WORDS = 400_000
-#: Ids up to this number are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 class Shingler:
@@ -92,15 +90,12 @@ def shingle_sketch(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node and its whole shingle set, for the ids in ``nodes`` only."""
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = F.broadcast(nodes) if few else nodes
-
     def work(batch: pa.RecordBatch, shingler: Shingler) -> dict:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         return {"node": batch.column("node"), "tokens": lists([shingler.hashes(x) for x in texts])}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(
-        wanted, "node", "left_semi"
+        sent_if_small(nodes), "node", "left_semi"
     )
     return map_rows(rows, work, "node long, tokens array<long>", start=lambda: Shingler(words))
 
@@ -377,3 +372,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rare: in
     return members.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id; same columns.
+
+    Of rows that repeat this doc_id one stays. Rows without doc_id stay.
+    """
+    near = pin(near_duplicates(docs, words, percent), "near")
+    late = near.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(sent_if_small(late), "doc_id", "left_anti").select(*docs.columns)
+    twice = near.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    twice = sent_if_small(pin(twice, "twice"))
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(
+        left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    )

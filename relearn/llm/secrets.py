@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import pin
+from relearn.llm.common import pin, sent_if_small
 
 # Kinds in the order in which spans of one start are listed, with their patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,59 +96,69 @@ def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     return met.select("id", "no_id", "print", "start", "end", "rank", "kind", "m").distinct()
 
 
-def scan_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
-    """doc_id, base (certain spans), linked (weak parts that met a complementary one) for every row.
+NONE = "array<struct<start:long,rank:int,kind:string,end:long,m:string>>"
 
-    Spans are structs (start, rank, kind, end, m) in code points, end exclusive, ordered by start and
-    kind. A null or empty text has none. Repeated rows give repeated rows; rows of one doc_id but
-    other texts are kept apart. Other columns of ``docs`` are not read. Intermediate rows hold spans,
-    never texts, and are written to the shared folder.
-    """
+
+def found_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, print (of the text), base and weak spans of every row, written to the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = pin(
-        rows.select(
-            "doc_id", F.struct(F.xxhash64("text").alias("x"), F.crc32("text").alias("y")).alias("print"),
-            base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak"),
-        ),
-        "spans",
-    )
+    spans_of = rows.select("doc_id", text_print("text").alias("print"), base_spans(F.col("text")).alias("base"), weak_spans(F.col("text")).alias("weak"))
+    return pin(spans_of, "spans")
+
+
+def text_print(text: Column | str) -> Column:
+    return F.struct(F.xxhash64(text).alias("x"), F.crc32(text).alias("y"))
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
+
+
+def linked_spans(found: DataFrame, scope: int) -> DataFrame:
+    """id, no_id, print and linked: the weak spans of each text that met a complementary part."""
     several = found.where("size(weak) > 0 AND size(weak) + size(base) > 1").dropDuplicates(["doc_id", "print"])
     parts = several.select("doc_id", "print", F.explode(F.concat("base", "weak")).alias("x")).select("doc_id", "print", "x.*")
-    spans_of = (
+    # A text's spans are no more than the text itself, so one row holds them.
+    return (
         linked_parts(parts, scope)
         .groupBy("id", "no_id", "print")
         .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "m"))).alias("linked"))
     )
-    keyed = found.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
-    none = F.array().cast("array<struct<start:long,rank:int,kind:string,end:long,m:string>>")
-    return keyed.join(spans_of, ["id", "no_id", "print"], "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))
+
+
+def scan_secrets(docs: DataFrame, scope: int = 300) -> DataFrame:
+    """doc_id, base (certain spans), linked (weak parts that met a complementary one) for every row.
+
+    Spans are structs (start, rank, kind, end, m) in code points, end exclusive, ordered by start and
+    kind. A null or empty text has none. Repeated rows give repeated rows; rows of one doc_id but
+    other texts are kept apart. Other columns of ``docs`` are not read. Intermediate rows hold spans,
+    never texts, and are written to the shared folder.
+    """
+    found = found_spans(docs)
+    joined = keyed(found).join(linked_spans(found, scope), ["id", "no_id", "print"], "left")
+    return joined.select("doc_id", "base", F.coalesce("linked", F.array().cast(NONE)).alias("linked"))
 
 
 def redacted(docs: DataFrame, scope: int = 300, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with all certain and linked spans of its text replaced by ``mask``; same columns and rows.
+    """``docs`` with all certain and linked spans of its texts replaced by ``mask``; same columns and rows.
 
-    Rows are matched by doc_id and text, which the spans were found in.
+    Overlapping spans are masked as one. A null text stays null.
     """
-    own = scan_secrets(docs, scope).where("doc_id IS NOT NULL AND size(base) + size(linked) > 0")
-    # Rows of one doc_id whose texts differ would mix spans: each match carries its own text, so it is checked in place.
-    per = own.select("doc_id", F.explode(F.concat("base", "linked")).alias("x")).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("x")).alias("_found")
+    linked = pin(linked_spans(found_spans(docs), scope), "linked").select("id", "no_id", "print", "linked")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), text_print(text).alias("print")
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    true = F.filter(F.col("_found"), lambda x: F.substr(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")) == x["m"])
+    joined = keyed(rows).join(sent_if_small(linked), ["id", "no_id", "print"], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(true, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    renamed = per.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(renamed, docs.doc_id == F.col("_id"), "left")
-    columns = [
-        F.when(F.size("_found") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns
-    ]
-    return joined.select(*columns)
+    spans_of = F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("linked", F.array().cast(NONE))))
+    clean = F.aggregate(spans_of, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
+    new = F.when(F.col("row.text").isNotNull(), clean)
+    return joined.select(*[new.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

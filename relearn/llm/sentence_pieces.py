@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from relearn.llm.common import map_rows
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
-CACHED_EDGES = 4_000_000
+CACHED_EDGES = 6_000_000
 # Constants of the splitmix64 generator.
 GAMMA, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 TURNS = np.arange(1, 4097, dtype=np.uint64) * GAMMA
@@ -39,16 +39,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """A model's pieces with spaces for word starts, Zipf weights and byte pieces."""
+    """A model's pieces with spaces for word starts, Zipf weights to the power ``alpha``, and byte pieces."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, alpha: float = 0.5) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         norm = math.log(sum(1 / (r + 10) for r in range(n)))
         self.weight: dict[str, tuple[int, float]] = {}
         self.byte: dict[int, int] = {}
         self.text: list[bytes] = [b""] * n
-        self.low = -math.log(n + 10) - norm
+        self.low = alpha * (-math.log(n + 10) - norm)
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -57,7 +57,7 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 text = piece.replace("▁", " ")
                 rank = min(max(-model.get_score(i), 0.0), n)
-                self.weight[text] = (i, -math.log(rank + 10) - norm)
+                self.weight[text] = (i, alpha * (-math.log(rank + 10) - norm))
                 self.text[i] = text.encode()
         self.trie()
         self.kind = np.dtype("<u2" if n <= 65536 else "<u4")
@@ -85,8 +85,8 @@ class Pieces:
 
 
 @cache
-def pieces_at(path: str) -> Pieces:
-    return Pieces(path)
+def pieces_at(path: str, alpha: float = 0.5) -> Pieces:
+    return Pieces(path, alpha)
 
 
 class Grown:
@@ -111,9 +111,9 @@ class Lattices:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.first, self.next, self.piece = Grown(np.int64), Grown(np.int64), Grown(np.int64)
-        self.log, self.sum = Grown(np.float64), Grown(np.float64)  # sum: of a node's probabilities up to the edge
-        self.first.add(np.zeros(1, dtype=np.int64))
+        self.first, self.next, self.piece = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self.log, self.sum = Grown(np.float32), Grown(np.float32)  # sum: of a node's probabilities up to the edge
+        self.first.add(np.zeros(1, dtype=np.int32))
 
     def add(self, units: list[str]) -> None:
         """Lattices of new words, all at once."""
@@ -187,6 +187,12 @@ class Lattices:
         return [np.array([known[u] for u in units], dtype=np.int64) for units in split]
 
 
+@cache
+def lattices_at(path: str, alpha: float) -> Lattices:
+    """Kept from task to task in one Python worker."""
+    return Lattices(pieces_at(path, alpha))
+
+
 def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarray, early: np.ndarray):
     """Follow the largest child from each start node to the end of its word, all words in step.
 
@@ -202,7 +208,7 @@ def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarr
     while len(word):
         x = mixed(salt[word] + TURNS[step % 4096] + np.uint64(step))
         u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        edge = first[node]
+        edge = first[node].astype(np.int64)
         late = np.flatnonzero(sums[edge] <= u)
         while len(late):
             edge[late] += 1
@@ -210,7 +216,7 @@ def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarr
         taken.append((word, np.full(len(word), step), edge))
         mine = np.flatnonzero(early[word])
         if len(mine):
-            lo = first[node[mine]]
+            lo = first[node[mine]].astype(np.int64)
             n = first[node[mine] + 1] - lo
             own = np.repeat(mine, n)
             place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -218,9 +224,9 @@ def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarr
             rest = each != edge[own]
             own, place, each = own[rest], place[rest], each[rest]
             y = mixed(x[own] + (place + 1).astype(np.uint64) * MIX_B)
-            gap = -np.log(((y >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * np.exp(-logs[each])
+            gap = -np.log(((y >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * np.exp(-logs[each].astype(np.float64))
             others.append((word[own], np.full(len(own), step), each, gap))
-        node = nexts[edge]
+        node = nexts[edge].astype(np.int64)
         word, node = word[node >= 0], node[node >= 0]
         step += 1
     words, steps, edges = (np.concatenate(x) for x in zip(*taken, strict=True))
@@ -234,7 +240,7 @@ def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarr
 
 
 #: Words at the start of what a search walks whose other edges are looked at first; see Search.close.
-EARLY = 128
+EARLY = 160
 #: No perturbed value lies further above its own log probability: the smallest draw is 2**-53, about exp(-36.7).
 REACH = 37.0
 
@@ -270,7 +276,7 @@ class Search:
         """
         g, phi, prefix, _, _ = self.open
         nexts, logs = lattices.next.data, lattices.log.data
-        own = logs[path]
+        own = logs[path].astype(np.float64)
         word, step, edge, gap = others
         base = phi + np.cumsum(own[: begin[seen] if seen < len(begin) else len(own)])
         spot = begin[word] + step
@@ -316,9 +322,11 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
             own = [x[cuts[t] : cuts[t + 1]] for x in others]
             own[0] = own[0] - ends[t]
             part, first = path[edges[t] : edges[t + 1]], begin[ends[t] : ends[t + 1]] - edges[t]
-            if not s.close(lattices, part, first, rows, own, k, min(EARLY, len(rows))):
-                part, first, own = walk(lattices, nodes, rows, np.full(len(rows), s.salt(number), dtype=np.uint64), np.ones(len(rows), dtype=bool))
-                s.close(lattices, part, first, rows, own, k, len(rows))
+            seen = min(EARLY, len(rows))
+            while not s.close(lattices, part, first, rows, own, k, seen):
+                seen = min(4 * seen, len(rows))  # draws depend on word and step only, so they come out as before
+                salts = np.full(seen, s.salt(number), dtype=np.uint64)
+                own = walk(lattices, nodes[:seen], rows[:seen], salts, np.ones(seen, dtype=bool))[2]
         if number < k - 1:
             active = [s for s in active if s.next()]
     ids, byte = lattices.piece.data, lattices.pieces.byte
@@ -327,7 +335,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
         samples = []
         bar = -s.queue[0][0] if s and s.queue and len(s.done) == k else -math.inf
         for g, total, path in s.done if s else []:
-            pieces = ids[path]
+            pieces = ids[path].astype(np.int64)
             if len(pieces) and pieces.min() < 0:
                 pieces = np.array([i for p in pieces.tolist() for i in ([p] if p >= 0 else [byte[b] for b in chr(-p).encode()])], dtype=np.int64)
             inclusion = 1.0 if bar == -math.inf else -math.expm1(-math.exp(min(total - bar, 700)))
@@ -336,7 +344,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
     return out
 
 
-def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, batch: int = 48) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha: float = 0.5, batch: int = 48) -> DataFrame:
     """k distinct sampled segmentations of every text, one row each.
 
     doc_id, sample (0 has the largest perturbed value), n_pieces, log_prob, perturbed, inclusion (chance
@@ -361,7 +369,7 @@ def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, batch
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, pieces binary, round_trip boolean"
-    return map_rows(rows, work, schema, rows=batch, start=lambda: Lattices(pieces_at(model)))
+    return map_rows(rows, work, schema, rows=batch, start=lambda: lattices_at(model, alpha))
 
 
 def decode_pieces(samples: DataFrame, model: str) -> DataFrame:
