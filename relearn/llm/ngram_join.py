@@ -151,17 +151,16 @@ def pairs_within(rows: DataFrame, key: str) -> DataFrame:
 def combinations(rows: DataFrame) -> DataFrame:
     """Keys of two frequent tokens of one hash class: node, key.
 
-    ``rows``: node, tokens (frequent prefix tokens), q (least number of common ones, 2 or more).
-    With g a power of two below q, two of q common tokens share a class. Similar sets have q within
-    a third of each other, so each indexes its own g and half of it.
+    ``rows``: node, tokens (frequent prefix tokens), q (least number of common ones, 2 or more) and
+    low (that of the smallest similar set). With g a power of two below q, two of q common tokens
+    share a class. Two sets meet at the g of the smaller one, so each indexes its own g and that of low.
     """
 
     def work(batch: pa.RecordBatch) -> dict:
         nodes, keys = [], []
-        for node, tokens, q in zip(*(batch.column(c).to_pylist() for c in ("node", "tokens", "q")), strict=True):
+        for node, tokens, q, low in zip(*(batch.column(c).to_pylist() for c in ("node", "tokens", "q", "low")), strict=True):
             t = np.unique(np.array(tokens, dtype=np.int64)).view(np.uint64)
-            level = (q - 1).bit_length() - 1
-            for g in {1 << level, 1 << max(level - 1, 0)}:
+            for g in {1 << (x - 1).bit_length() - 1 for x in range(low, q + 1)}:
                 mixed = (t ^ (t >> np.uint64(31))) * MULTIPLIERS[1]
                 spot = (mixed >> np.uint64(40)) % np.uint64(g)
                 order = np.argsort(spot, kind="stable")
@@ -176,7 +175,7 @@ def combinations(rows: DataFrame) -> DataFrame:
         joined = lambda x, kind: np.concatenate(x).view(np.int64) if x else np.empty(0, dtype=kind)
         return {"node": joined(nodes, np.int64), "key": joined(keys, np.int64)}
 
-    return map_rows(rows.select("node", "tokens", "q"), work, "node long, key long", rows=64)
+    return map_rows(rows.select("node", "tokens", "q", "low"), work, "node long, key long", rows=64)
 
 
 def proposals(full: DataFrame, sets: DataFrame) -> DataFrame:
@@ -280,8 +279,10 @@ def ngram_jaccard_join(
     seen = pairs_within(common.where(F.col("df") <= rare), "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("r"))
     single = possible(seen, stats, F.col("r") + F.least("h_a", "h_b"), percent)
 
-    least = (2 + F.floor(F.ceil(F.col("n") * percent / 100) / 16)).cast("int")
-    rich = stats.select("node", "n", least.alias("q")).where(stats.h >= least)
+    smaller = lambda n: F.ceil(n * percent / 100)  # noqa: E731  the smallest set similar to one of n
+    common_to = lambda n: (2 + F.floor(smaller(n) / 16)).cast("int")
+    least = common_to(F.col("n"))
+    rich = stats.select("node", "n", least.alias("q"), common_to(smaller(F.col("n"))).alias("low")).where(stats.h >= least)
     rich = pin(rich, "rich")
     single = pin(single, "single")
     wanted = pin(single.select(F.col("a").alias("node")).union(single.select("b")).union(rich.select("node")).distinct(), "wanted")
@@ -302,7 +303,7 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
     made of frequent tokens by three quarters reach frequent ones. Prefixes are long enough for q
     common tokens.
     """
-    postings = rich.join(sets, "node").select("node", "n", "q", F.explode("tokens").alias("token"))
+    postings = rich.join(sets, "node").select("node", "n", "q", "low", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("node").orderBy("df", "token")
     prefix = pin(
@@ -316,7 +317,7 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
     near = pairs_within(prefix.where(F.col("df") <= rare), "token").distinct()
     full = pin(
         prefix.where(F.col("df") > rare)
-        .groupBy("node", "n", "q")
+        .groupBy("node", "n", "q", "low")
         .agg(F.collect_set("token").alias("tokens"))
         .where(F.size("tokens") > 1),
         "full",
@@ -327,12 +328,11 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
         combinations(full).join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")),
         "keyed",
     )
-    # Groups within one component so far need nothing more.
-    mixed = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("part").alias("x"), F.max("part").alias("y"), F.min("node").alias("head")
-    )
-    bridging = pin(keyed.join(mixed.where("x <> y").select("key", "size", "head"), "key"), "bridging")
-    few = bridging.where(F.col("size") <= crowded)
+    # Groups within one component so far need nothing more. Components stand for their nodes.
+    parts = pin(keyed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("part").alias("head"), F.max("part").alias("last"))
+    mixed = pin(mixed.where("head <> last"), "mixed")
+    few = keyed.join(mixed.where(F.col("size") <= crowded).select("key"), "key")
     other = few.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"))
     small = (
         few.select("key", F.col("node").alias("a"), "part")
@@ -342,12 +342,13 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
     )
     checks = sized(near.select("a", "b").union(small).distinct(), sizes, percent)
 
-    # Crowded groups that share members are one crowd.
-    large = bridging.where(F.col("size") > crowded)
-    crowd = components(large.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    # Crowded groups that share components are one crowd.
+    large = parts.join(mixed.where(F.col("size") > crowded).select("key", "head"), "key")
+    crowd = components(large.select(F.col("part").alias("a"), F.col("head").alias("b")).distinct())
     rows = (
-        large.select("node", "part").distinct()
-        .join(crowd.withColumnRenamed("component", "crowd"), "node")
+        full.select("node").join(joined, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("part"))
+        .join(crowd.select(F.col("node").alias("part"), F.col("component").alias("crowd")), "part")
         .join(sets, "node")
     )
     return [
