@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows, new_folder, pin
+from relearn.llm.common import map_rows, new_folder, pin, sent_if_small
 
 END = b"\r\n\r\n"
 PIECE = 1 << 20
@@ -45,7 +45,7 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
         .where("first < last")
         .select("digest", "first")
     )
-    joined = rows.join(firsts, "digest", "left")
+    joined = rows.join(sent_if_small(pin(firsts, "firsts")), "digest", "left")
     again = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
     clean = F.regexp_replace("url", r"[\r\n]+", " ")
     head = F.concat_ws(
@@ -63,11 +63,15 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """gzip archives of about ``archive_bytes`` payload each; ``records``: page_id, size, record."""
-    total = records.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-int(total) // archive_bytes))
-    spread = records.repartition(parts, F.xxhash64("page_id", F.hash("record")))
-    spread.select("record").write.option("compression", "gzip").option("lineSep", END.decode()).text(folder)
+    """gzip archives of about ``archive_bytes`` payload each at most; ``records``: page_id, size, record.
+
+    Tasks write what they read, without a shuffle, and begin a new archive after a number of
+    records that their mean size gives.
+    """
+    mean = records.agg(F.avg("size")).first()[0] or 0
+    most = max(1, int(archive_bytes // max(mean, 1)))
+    writer = records.select("record").write.option("compression", "gzip").option("lineSep", END.decode())
+    writer.option("maxRecordsPerFile", most).text(folder)
 
 
 def inflated(data: bytes) -> Iterator[bytes]:
