@@ -112,11 +112,12 @@ def fences(metrics: DataFrame, reach: float = 6.0, least: int = 200) -> DataFram
 
     groups = level(parts, ["lang", "source"], "own").withColumnRenamed("n", "n_own").alias("g")
     wide = level(langs, ["lang"], "wide").withColumnRenamed("n", "n_wide").alias("w")
-    everything = level(total, [], "everything").drop("n").where("everything IS NOT NULL").withColumn("one", F.lit(1))
-    joined = groups.join(wide, F.col("g.lang").eqNullSafe(F.col("w.lang")), "left").withColumn("one", F.lit(1))
-    chosen = joined.join(everything, "one").select(
+    whole = total.where("n > 0").select(F.struct(*[cut(c) for c in names]).alias("x")).first()  # one number a metric
+    everything = F.struct(*[F.lit(whole.x[c] if whole else FLOORS[c]).cast("double").alias(c) for c in names])
+    joined = groups.join(wide, F.col("g.lang").eqNullSafe(F.col("w.lang")), "left")
+    chosen = joined.select(
         F.col("g.lang").alias("lang"), F.col("g.source").alias("source"),
-        F.when(F.col("n_own") >= least, F.col("own")).when(F.col("n_wide") >= least, F.col("wide")).otherwise(F.col("everything")).alias("fence"),
+        F.when(F.col("n_own") >= least, F.col("own")).when(F.col("n_wide") >= least, F.col("wide")).otherwise(everything).alias("fence"),
     )
     return chosen
 
