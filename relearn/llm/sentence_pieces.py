@@ -63,7 +63,10 @@ class Pieces:
         self.kind = np.dtype("<u2" if n <= 65536 else "<u4")
 
     def trie(self) -> None:
-        """States are piece beginnings; ``keys`` (state, letter) lead to ``targets``, the first letter by ``root``."""
+        """States are piece beginnings: ``root`` leads from a first letter, ``follow`` from (state, letter) to the next.
+
+        The second is a table with open addressing, so that many steps are looked up at once.
+        """
         states = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
         number = {x: i for i, x in enumerate(sorted(states))}
         self.root = np.full(0x110000, -1, dtype=np.int32)
@@ -73,12 +76,36 @@ class Pieces:
                 self.root[ord(x)] = i
             else:
                 steps.append((number[x[:-1]] << 21 | ord(x[-1]), i))
-        steps.sort()
-        self.keys = np.array([a for a, _ in steps], dtype=np.int64)
-        self.targets = np.array([b for _, b in steps], dtype=np.int64)
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.targets = np.zeros(1 << self.bits, dtype=np.int64)
+        keys, targets = (np.array(x, dtype=np.int64) for x in (zip(*steps, strict=True) if steps else ((), ())))
+        spot = self.spots(keys)
+        while len(keys):  # the first key of each free spot is placed, the others move on
+            free = self.keys[spot] == -1
+            first = np.zeros(len(keys), dtype=bool)
+            first[np.unique(spot, return_index=True)[1]] = True
+            placed = free & first
+            self.keys[spot[placed]], self.targets[spot[placed]] = keys[placed], targets[placed]
+            keys, targets, spot = keys[~placed], targets[~placed], spot[~placed]
+            spot = np.where(self.keys[spot] == -1, spot, (spot + 1) & (len(self.keys) - 1))
         self.state_piece = np.array([self.weight.get(x, (-1, 0.0))[0] for x in number], dtype=np.int64)
         self.state_weight = np.array([self.weight.get(x, (-1, 0.0))[1] for x in number])
 
+    def spots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * GAMMA >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """Next state of each (state << 21 | letter), -1 if there is none."""
+        out, left, spot = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), self.spots(keys)
+        while len(left):
+            there = self.keys[spot]
+            same = there == keys[left]
+            out[left[same]] = self.targets[spot[same]]
+            on = ~same & (there != -1)
+            left, spot = left[on], (spot[on] + 1) & (len(self.keys) - 1)
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of piece ids; the space that encoding puts in front is dropped."""
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -134,24 +161,32 @@ class Lattices:
                 single[at[hit]] = True
             more = at + n < end[at]
             at, state = at[more], state[more]
-            key = state << 21 | letters[at + n]
-            spot = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-            same = p.keys[spot] == key
-            at, state = at[same], p.targets[spot[same]]
+            state = p.follow(state << 21 | letters[at + n])
+            at, state = at[state >= 0], state[state >= 0]
             n += 1
         bare = np.flatnonzero(~single)
         code = letters[bare]
         size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         as_byte = np.array([p.byte[c] if c < 0x80 else -c for c in code.tolist()], dtype=np.int64)
-        found.append((bare, np.ones(len(bare), dtype=np.int64), as_byte, p.low * size))
-        at, n, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.insert(1, (bare, np.ones(len(bare), dtype=np.int64), as_byte, p.low * size))
+        # Edges in order of their start, the longest first: each start occurs once among those of a length.
+        spots, cursor = [], np.zeros(len(letters) + 1, dtype=np.int64)
+        for part in found:
+            cursor[part[0] + 1] += 1
+        cursor = np.cumsum(cursor)[:-1]
+        for part in reversed(found):
+            spots.append(cursor[part[0]])
+            cursor[part[0]] += 1
+        spot = np.concatenate(spots)
+        columns = [np.concatenate(x) for x in zip(*reversed(found), strict=True)]
+        at, n, piece, weight = (np.empty_like(x) for x in columns)
+        for column, new in zip(columns, (at, n, piece, weight), strict=True):
+            new[spot] = column
         left = end[at] - at
-        order = np.argsort(at * 64 - n)  # longest pieces first
-        at, n, piece, weight, left = at[order], n[order], piece[order], weight[order], left[order]
         # Backward sums, nodes with fewest letters left first.
         back = np.zeros(len(letters) + 1)
         target = np.where(at + n == end[at], len(letters), at + n)
-        by_left = np.argsort(left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if left.max() < 65536 else left, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(left[by_left]) > 0, True])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_left[lo:hi]
@@ -180,11 +215,14 @@ class Lattices:
         if self.next.n > CACHED_EDGES:
             self.forget()
         split = [UNIT.findall(f" {t}") for t in texts]
-        known = self.known
-        new = list({u for units in split for u in units if u not in known})
-        if new:
-            self.add(new)
-        return [np.array([known[u] for u in units], dtype=np.int64) for units in split]
+        get = self.known.get
+        nodes = [list(map(get, units)) for units in split]
+        lacking = [k for k, own in enumerate(nodes) if None in own]
+        if lacking:
+            self.add(list({u for k in lacking for u, at in zip(split[k], nodes[k], strict=True) if at is None}))
+            for k in lacking:
+                nodes[k] = list(map(get, split[k]))
+        return [np.array(own, dtype=np.int64) for own in nodes]
 
 
 @cache
