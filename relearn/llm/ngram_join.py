@@ -67,6 +67,10 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
 
 
+def digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def shingle_sketch(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, key (digest of the whole set) and prefix (its smallest hashes)."""
 
@@ -75,7 +79,7 @@ def shingle_sketch(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             h = shingler.hashes(text)
             n = len(h)
-            keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            keys.append(digest(h))
             sizes.append(n)
             prefixes.append(h[: min(n, n - -(-percent * n // 100) + 2 + n // 16)])
         return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "key": keys, "prefix": lists(prefixes)}
@@ -88,16 +92,17 @@ def shingle_sketch(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     )
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and its whole shingle set, for the ids in ``nodes`` only."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and its whole shingle set; ``wanted``: node, key, rep (a doc_id with that set)."""
+
     def work(batch: pa.RecordBatch, shingler: Shingler) -> dict:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        return {"node": batch.column("node"), "tokens": lists([shingler.hashes(x) for x in texts])}
+        found = [shingler.hashes(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        return {"key": [digest(h) for h in found], "tokens": lists(found)}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(
-        sent_if_small(nodes), "node", "left_semi"
-    )
-    return map_rows(rows, work, "node long, tokens array<long>", start=lambda: Shingler(words))
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = map_rows(rows.join(sent_if_small(ids), "doc_id", "left_semi"), work, "key binary, tokens array<long>", start=lambda: Shingler(words))
+    return found.join(wanted.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "tokens")
 
 
 def similar(percent: int | float, shared: str = "shared", a: str = "n_a", b: str = "n_b") -> Column:
@@ -245,27 +250,33 @@ def ngram_jaccard_join(
 ) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n_shingles, node) and links (a, b) between nodes whose sets are similar.
 
-    A node is the smallest doc_id of the documents with one shingle set. Rows without doc_id keep a
-    null node and link with nothing; rows of one doc_id count as one node. Texts without words have
-    no shingle and no node of their own but their doc_id. Links suffice for the components: within
-    crowded groups not every pair is listed. Runs jobs when called; intermediate tables go to the
-    shared folder.
+    A node stands for one shingle set: the smallest doc_id that has it. Where rows of one doc_id have
+    several sets, all but one of these get a negative node made from the set's digest. Rows without
+    doc_id keep a null node and link with nothing. Texts without words have no shingle and no node
+    but their doc_id. Links suffice for the components: within crowded groups not every pair is
+    listed. Runs jobs when called; intermediate tables go to the shared folder.
     """
     sketch = pin(shingle_sketch(docs, words, percent), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = filled.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
+    reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    made = F.xxhash64("key").bitwiseOR(F.lit(-(2**63)))
+    own = F.col("key") == F.min("key").over(Window.partitionBy("rep"))
+    nodes = pin(reps.select("key", "rep", F.when(own, F.col("rep")).otherwise(made).alias("node")), "nodes")
     members = sketch.select("doc_id", "n_shingles", "key").join(nodes.select("key", "node"), "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
     )
-    # Fewer than three shingles: no other set can reach the threshold.
-    prefixes = filled.where(f"n_shingles > {max(1, percent // (100 - percent)) - 1 if percent < 100 else 1}").select(
-        "key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "prefix"
+    # Of one or two shingles, no other set can be similar enough at three quarters.
+    least = 3 if percent >= 75 else 1
+    prefixes = (
+        filled.where(F.col("n_shingles") >= least)
+        .groupBy("key")
+        .agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        .join(nodes.select("key", "node"), "key")
+        .drop("key")
     )
-    firsts = nodes.select("key", "node")
-    prefixes = prefixes.join(firsts, ["key", "node"], "left_semi").drop("key")
     postings = prefixes.select("node", F.explode("prefix").alias("token"))
     known = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = pin(postings.join(known, "token").distinct(), "common")
+    common = pin(postings.join(known, "token"), "common")
 
     held = common.groupBy("node").agg(F.sum((F.col("df") > rare).cast("long")).alias("h"))
     stats = pin(
@@ -285,7 +296,8 @@ def ngram_jaccard_join(
     rich = stats.select("node", "n", least.alias("q"), common_to(smaller(F.col("n"))).alias("low")).where(stats.h >= least)
     rich = pin(rich, "rich")
     single = pin(single, "single")
-    wanted = pin(single.select(F.col("a").alias("node")).union(single.select("b")).union(rich.select("node")).distinct(), "wanted")
+    wanted = single.select(F.col("a").alias("node")).union(single.select("b")).union(rich.select("node")).distinct()
+    wanted = pin(wanted.join(nodes, "node"), "wanted")
     sets = pin(shingle_sets(docs, wanted, words), "sets")
     links = [measured(single, sets).where(similar(percent)).select("a", "b")]
     if not rich.isEmpty():
@@ -366,13 +378,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rare: in
     columns of ``docs`` are not read. An empty table gives no row.
     """
     members, links = ngram_jaccard_join(docs, words, percent, rare, crowded)
-    # Classes of rows that share a doc_id with another class meet in that doc_id.
-    own = members.where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    twice = own.join(links.select(F.col("a")).union(links.select("b")).distinct(), "a", "left_semi")
-    labels = components(links.union(twice))
-    return members.join(labels, "node", "left").select(
+    # Rows of one doc_id are one document, whatever their texts.
+    several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    several = pin(several, "several")
+    none = several.isEmpty()
+    if not none:
+        links = links.union(members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).distinct())
+    labelled = members.join(components(links), "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
     )
+    if none:
+        return labelled
+    # Made nodes are no doc_ids: name each component after its smallest one.
+    labelled = pin(labelled, "labelled")
+    names = labelled.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    return labelled.join(names, "component_id", "left").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:

@@ -84,7 +84,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, stay: float =
     targets by n. Each round pre-aggregates the shares by target; tables hold one row a host.
     """
     out = edges.groupBy("kind", "source").agg(F.sum("n").alias("total"))
-    shares = pin(edges.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share")), "edges")
+    shares = pin(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("total")).alias("share")), "edges")
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = pin(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")), "seeds")
     score = start.select("kind", "host", F.col("seed").alias("score"))
@@ -92,8 +92,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, stay: float =
         return score.withColumn("score", F.col("score") * (1 - stay))
     for step in range(rounds):
         sent = (
-            score.join(shares, (score.kind == shares.kind) & (score.host == shares.source))
-            .groupBy(shares.kind, F.col("target").alias("host"))
+            score.join(shares, ["kind", "host"])
+            .groupBy("kind", F.col("target").alias("host"))
             .agg((stay * F.sum(F.col("score") * F.col("share"))).alias("score"))
         )
         kept = start.select("kind", "host", ((1 - stay) * F.col("seed")).alias("score"))

@@ -80,7 +80,7 @@ def inflated(data: bytes) -> Iterator[bytes]:
     while at < len(data) or tool.unconsumed_tail:
         rest = tool.unconsumed_tail
         if not rest:
-            rest, at = data[at : at + PIECE], at + PIECE
+            rest, at = data[at : at + PIECE], min(at + PIECE, len(data))
         yield tool.decompress(rest, PIECE)
         if tool.eof:
             at -= len(tool.unused_data)
