@@ -68,6 +68,17 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+_HELD: list = []
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept from task to task in one Python worker until another key is asked for."""
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        _HELD.extend((key, make()))
+    return _HELD[1]
+
+
 def schema_text(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

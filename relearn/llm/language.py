@@ -7,18 +7,16 @@ the sum of the unit vectors of its training texts. Texts get the language with t
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows, schema_text
+from relearn.llm.common import held, map_rows, schema_text
 
 DIMENSIONS = 1024
 CODES = 0x110000
-CACHED_TRIGRAMS = 60_000
+CACHED_TRIGRAMS = 30_000
 
 
 class Profiles:
@@ -83,10 +81,8 @@ class Profiles:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-@cache
 def profiles_at() -> Profiles:
-    """Kept from task to task in one Python worker."""
-    return Profiles()
+    return held(("profiles",), Profiles)
 
 
 def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 30_000, most_languages: int = 256) -> dict[str, np.ndarray]:

@@ -72,22 +72,29 @@ def digest(h: np.ndarray) -> bytes:
 
 
 def shingle_sketch(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the whole set) and prefix (its smallest hashes)."""
+    """doc_id, n_shingles, key (digest of the whole set), prefix (its smallest hashes), its size and last hash.
+
+    A prefix that is the whole set ends behind all hashes.
+    """
 
     def work(batch: pa.RecordBatch, shingler: Shingler) -> dict:
-        keys, sizes, prefixes = [], [], []
+        keys, sizes, prefixes, last = [], [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             h = shingler.hashes(text)
             n = len(h)
             keys.append(digest(h))
             sizes.append(n)
             prefixes.append(h[: min(n, n - -(-percent * n // 100) + 2 + n // 16)])
-        return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "key": keys, "prefix": lists(prefixes)}
+            last.append(int(prefixes[-1][-1]) if 0 < len(prefixes[-1]) < n else 2**63 - 1)
+        return {
+            "doc_id": batch.column("doc_id"), "n_shingles": sizes, "key": keys,
+            "prefix": lists(prefixes), "p": [len(x) for x in prefixes], "last": last,
+        }
 
     return map_rows(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
         work,
-        "doc_id long, n_shingles long, key binary, prefix array<long>",
+        "doc_id long, n_shingles long, key binary, prefix array<long>, p long, last long",
         start=lambda: Shingler(words),
     )
 
@@ -258,10 +265,11 @@ def ngram_jaccard_join(
     """
     sketch = pin(shingle_sketch(docs, words, percent), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    same = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("p", "p"), ("last", "last"))]  # equal for equal sets
+    reps = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), *same)
     made = F.xxhash64("key").bitwiseOR(F.lit(-(2**63)))
     own = F.col("key") == F.min("key").over(Window.partitionBy("rep"))
-    nodes = pin(reps.select("key", "rep", F.when(own, F.col("rep")).otherwise(made).alias("node")), "nodes")
+    nodes = pin(reps.select("key", "rep", "n", "p", "last", F.when(own, F.col("rep")).otherwise(made).alias("node")), "nodes")
     members = sketch.select("doc_id", "n_shingles", "key").join(nodes.select("key", "node"), "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
     )
@@ -270,7 +278,7 @@ def ngram_jaccard_join(
     prefixes = (
         filled.where(F.col("n_shingles") >= least)
         .groupBy("key")
-        .agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        .agg(F.first("prefix").alias("prefix"))
         .join(nodes.select("key", "node"), "key")
         .drop("key")
     )
@@ -279,14 +287,7 @@ def ngram_jaccard_join(
     common = pin(postings.join(known, "token"), "common")
 
     held = common.groupBy("node").agg(F.sum((F.col("df") > rare).cast("long")).alias("h"))
-    stats = pin(
-        prefixes.join(held, "node").select(
-            "node", "n", "h",
-            F.size("prefix").cast("long").alias("p"),
-            F.when(F.size("prefix") < F.col("n"), F.array_max("prefix")).otherwise(2**63 - 1).alias("last"),
-        ),
-        "stats",
-    )
+    stats = pin(nodes.join(held, "node").select("node", "n", "p", "last", "h"), "stats")
     seen = pairs_within(common.where(F.col("df") <= rare), "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("r"))
     single = possible(seen, stats, F.col("r") + F.least("h_a", "h_b"), percent)
 

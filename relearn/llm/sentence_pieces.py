@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows
+from relearn.llm.common import held, map_rows
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 CACHED_EDGES = 6_000_000
@@ -111,9 +110,8 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-@cache
 def pieces_at(path: str, alpha: float = 0.5) -> Pieces:
-    return Pieces(path, alpha)
+    return held(("pieces", path, alpha), lambda: Pieces(path, alpha))
 
 
 class Grown:
@@ -124,7 +122,7 @@ class Grown:
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.data):
-            self.data = np.concatenate([self.data[: self.n], np.empty(max(len(self.data), len(more)), dtype=self.data.dtype)])
+            self.data = np.concatenate([self.data[: self.n], np.empty(max(len(self.data) // 2, len(more)), dtype=self.data.dtype)])
         self.data[self.n : self.n + len(more)] = more
         self.n += len(more)
 
@@ -225,10 +223,8 @@ class Lattices:
         return [np.array(own, dtype=np.int64) for own in nodes]
 
 
-@cache
 def lattices_at(path: str, alpha: float) -> Lattices:
-    """Kept from task to task in one Python worker."""
-    return Lattices(pieces_at(path, alpha))
+    return held(("lattices", path, alpha), lambda: Lattices(Pieces(path, alpha)))
 
 
 def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarray, early: np.ndarray):
@@ -382,7 +378,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
     return out
 
 
-def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha: float = 0.5, batch: int = 48) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha: float = 0.5, batch_chars: int = 400_000) -> DataFrame:
     """k distinct sampled segmentations of every text, one row each.
 
     doc_id, sample (0 has the largest perturbed value), n_pieces, log_prob, perturbed, inclusion (chance
@@ -397,7 +393,13 @@ def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha
         ids, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
         keys = mixed(np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in ids], dtype=np.uint64) + np.uint64(seed) * MIX_A + GAMMA)
         out: dict[str, list] = {c: [] for c in ("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "pieces", "round_trip")}
-        for doc, text, samples in zip(ids, texts, sample_texts(lattices, texts, keys.tolist(), k), strict=True):
+        # Texts are walked together up to a number of characters; a longer one goes alone.
+        group = np.cumsum([len(t) for t in texts]) // batch_chars
+        cuts = np.flatnonzero(np.r_[True, np.diff(group) > 0, True])
+        sampled = (
+            x for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in sample_texts(lattices, texts[a:b], keys[a:b].tolist(), k)
+        )
+        for doc, text, samples in zip(ids, texts, sampled, strict=True):
             for number, (pieces, total, g, inclusion) in enumerate(samples or [(np.empty(0, dtype=np.int64), 0.0, 0.0, 1.0)]):
                 same = lattices.pieces.decode(pieces) == text
                 packed = pieces.astype(lattices.pieces.kind).tobytes()
@@ -407,7 +409,7 @@ def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, pieces binary, round_trip boolean"
-    return map_rows(rows, work, schema, rows=batch, start=lambda: lattices_at(model, alpha))
+    return map_rows(rows, work, schema, rows=256, start=lambda: lattices_at(model, alpha))
 
 
 def decode_pieces(samples: DataFrame, model: str) -> DataFrame:

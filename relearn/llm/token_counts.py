@@ -10,7 +10,6 @@ the text is cut as before. Only those leaves get new counts, and their sums are
 from __future__ import annotations
 
 import base64
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import map_rows, schema_text
+from relearn.llm.common import held, map_rows, schema_text
 
 # Fixed value: the pre-token pattern that the byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,10 +48,8 @@ class Counter:
         return [known[p] for p in pretokens]
 
 
-@cache
 def counter_at(ranks: str) -> Counter:
-    """Kept from task to task in one Python worker."""
-    return Counter(ranks)
+    return held(("counter", ranks), lambda: Counter(ranks))
 
 
 class Tree:
