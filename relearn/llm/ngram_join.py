@@ -235,7 +235,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     crowds = parts.groupBy("crowd").agg(
         F.sum("count").alias("all"), F.max("count").alias("most"), F.max_by("part", F.struct("count", "part")).alias("giant")
     )
-    near = rows.join(crowds, "crowd")
+    near = rows.join(sent_if_small(pin(crowds, "sizes")), "crowd")  # one row a crowd
     blocks = lambda n: F.ceil(n / BLOCK)
     into = lambda n: F.pmod(F.xxhash64("node"), n).alias("block")
     one = F.collect_list(F.struct("node", "part", "tokens"))
