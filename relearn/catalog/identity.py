@@ -51,6 +51,17 @@ def _business(t):
     )
 
 
+def _all_business(t):
+    """Whether an account has any data, over whole tables."""
+    return ident.has_business_data(
+        t("b_accounts"), t("b_students"), t("b_images"), t("b_questions"), t("b_sheets"), t("b_attempts"))
+
+
+ALL_BUSINESS_SQL = """busy AS (SELECT student_id FROM b_images UNION SELECT student_id FROM b_questions
+    UNION SELECT student_id FROM b_sheets UNION SELECT student_id FROM b_attempts),
+  business AS (SELECT a.id AS account_id, coalesce(bool_or(s.id IN (SELECT student_id FROM busy) OR NOT s.is_default), false) AS has_data
+    FROM b_accounts a LEFT JOIN b_students s ON s.account_id = a.id GROUP BY a.id)"""
+
 BUSINESS_SQL = """busy AS (SELECT student_id FROM b_images WHERE status = 'failed' AND question_count = 4
     UNION SELECT student_id FROM b_questions WHERE subject = 'english' AND mastery_status = 'mastered' AND semester = 2 AND grade = 6
     UNION SELECT student_id FROM b_sheets WHERE generation_status = 'failed' UNION SELECT student_id FROM b_attempts WHERE accuracy = 0 AND attempt_no = 2),
@@ -159,7 +170,7 @@ CASES = {
         f"""WITH {NEW} SELECT sha256(concat_ws(chr(31), 'student', sha256(concat_ws(chr(31), 'account', appid, openid)))) AS id,
            sha256(concat_ws(chr(31), 'account', appid, openid)) AS account_id, true AS is_default, false AS profile_completed FROM fresh""",
     ),
-    "g5_has_business_data": Case(_business, f"WITH {BUSINESS_SQL} SELECT * FROM business"),
+    "g5_has_business_data": Case(_all_business, f"WITH {ALL_BUSINESS_SQL} SELECT * FROM business"),
     "g6_resolve_phone_bindings": Case(
         _resolved,
         f"""WITH {RESOLVED} SELECT request_id, account_id, outcome, CASE WHEN outcome IN ('owner_pending_deletion', 'merge_required', 'recovery_available') THEN owner END AS target_account_id,

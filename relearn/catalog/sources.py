@@ -56,16 +56,14 @@ def _loaded(t):
 
 
 def _audit(t):
-    tables = domain_tables(t)
-    present = {k: v for k, v in tables.items() if k not in ("account_recovery_conflicts", "file_cleanup_jobs")}
-    return tb.audit_constraints(present)
+    return tb.audit_constraints(domain_tables(t))
 
 
 AUDIT = [
     ("students", "unique(account_id)", "SELECT CAST(account_id AS VARCHAR), count(*) FROM b_students WHERE is_default GROUP BY 1 HAVING count(*) > 1"),
     ("practice_attempts", "unique(student_id,idempotency_key)",
      "SELECT student_id || '|' || idempotency_key, count(*) FROM b_attempts GROUP BY 1 HAVING count(*) > 1"),
-    ("wrong_questions", "domain(review_status)", "SELECT review_status, count(*) FROM b_questions WHERE review_status NOT IN ('pending','confirmed','needs_review') GROUP BY 1"),
+    ("wrong_questions", "domain(review_status)", "SELECT review_status, count(*) FROM b_questions WHERE review_status NOT IN ('pending','processing','confirmed','needs_review') GROUP BY 1"),
     ("sheet_items", "foreign(wrong_question_id)",
      "SELECT CAST(wrong_question_id AS VARCHAR), count(*) FROM b_sheet_items i WHERE wrong_question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b_questions q WHERE q.id = i.wrong_question_id) GROUP BY 1"),
     ("practice_results", "foreign(wrong_question_id)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,11 @@ def mask_phone(clean: Column) -> Column:
 def phone_fingerprint(clean: Column, secret: str) -> Column:
     """HMAC-SHA256 of the number as hex, built from SHA-256 so that it stays in the JVM.
 
-    Keys longer than one block would first have to be hashed; they are refused instead.
+    A key longer than one block is hashed first.
     """
     key = secret.encode("utf-8")
     if len(key) > HMAC_BLOCK:
-        raise ValueError("secret must not exceed 64 bytes")
+        key = hashlib.sha256(key).digest()
     key = key.ljust(HMAC_BLOCK, b"\0")
     inner = F.lit(bytes(b ^ 0x36 for b in key))
     outer = F.lit(bytes(b ^ 0x5C for b in key))

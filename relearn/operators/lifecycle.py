@@ -159,12 +159,13 @@ def reprocess_images(
 ) -> dict[str, DataFrame]:
     """Send images with pending questions through recognition again.
 
-    ``requests``(id, student_id, correction). Pending questions of the student are superseded.
+    ``requests``(id, student_id, correction). Pending questions of the student are superseded. Of several
+    requests for one image the greatest value of each field counts.
     """
     open_images = questions.filter(_pending()).select(F.col("image_id").alias("id"), "student_id").distinct()
     own = images.select("id", "student_id", F.lit(True).alias("_own"))
     outcome = (
-        requests.dropDuplicates(["id", "student_id"])
+        requests.groupBy("id", "student_id").agg(*[F.max(c).alias(c) for c in requests.columns if c not in ("id", "student_id")])
         .join(own, ["id", "student_id"], "left")
         .join(open_images.withColumn("_open", F.lit(True)), ["id", "student_id"], "left")
         .withColumn(

@@ -634,8 +634,9 @@ def ocr_verdict(lines: DataFrame, items: DataFrame, rules: Thresholds = Threshol
     read = _variants(usable, "text", target)
     known = _variants(candidates, "_text", ["image_id", "idx"])
 
-    # The summary holds 200 characters and a line adds four at least, so 64 lines are enough.
-    opening = page_rows(usable, target, [F.col("line_no").asc()], 64, name="_line")
+    # Every line but the first adds its three-character separator at least, so these lines fill the summary.
+    enough = SUMMARY_CHARACTERS // 3 + 2
+    opening = page_rows(usable, target, [F.col("line_no").asc()], enough, name="_line")
     summary = opening.groupBy(*target).agg(
         F.substring(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_line", "text"))), lambda s: s["text"]), " | "),
@@ -780,6 +781,9 @@ def image_rollup(images: DataFrame, persisted: DataFrame, items: DataFrame) -> D
     )
     first = items.groupBy(F.col("image_id").alias("id")).agg(F.min_by("subject", "idx").alias("_subject"))
     done = images.drop("status", "question_count").join(first, "id").join(per_image, "id", "left")
+    if "recognition_correction" in images.columns:  # settled: a later run must not see it
+        kind = images.schema["recognition_correction"].dataType
+        done = done.withColumn("recognition_correction", F.lit(None).cast(kind))
     return (
         done.withColumn("status", F.when(F.col("_pending"), "needs_review").otherwise("confirmed"))
         .withColumn("question_count", F.coalesce("_n", F.lit(0)))

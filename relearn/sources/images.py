@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_PIXELS = 40_000_000
 
-
-def scan_images(spark: SparkSession, path: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+def scan_images(spark: SparkSession, path: str, max_pixels: int | None = None) -> DataFrame:
     """One row per file: object_path, height, width, channels, pixels (BGR), readable.
 
-    Files that do not decode, or exceed the pixel limit, stay as unreadable rows without
-    pixels, since the red-mark rules reject their marks rather than lose them. Spark's reader
+    Files that do not decode, or exceed ``max_pixels`` where a limit is given (cutting crops needs
+    one, the red check does not), stay as unreadable rows without pixels, since the red-mark rules
+    reject their marks rather than lose them. Spark's reader
     applies no EXIF rotation and knows no WebP.
     """
     files = spark.read.format("image").load(path).select("image.*")
-    readable = (F.col("height") > 0) & (F.col("height") * F.col("width") <= max_pixels)
+    readable = F.col("height") > 0
+    if max_pixels is not None:
+        readable = readable & (F.col("height").cast("long") * F.col("width") <= max_pixels)
     return files.select(
         F.col("origin").alias("object_path"),
         "height",

@@ -79,7 +79,7 @@ DOMAINS = [
     ("wrong_images", "subject", ["math", "chinese", "english"]),
     ("wrong_images", "status", ["pending", "segmented", "needs_review", "confirmed", "failed", "cancelled"]),
     ("wrong_questions", "subject", ["math", "chinese", "english"]),
-    ("wrong_questions", "review_status", ["pending", "confirmed", "needs_review"]),
+    ("wrong_questions", "review_status", ["pending", "processing", "confirmed", "needs_review"]),
     ("wrong_questions", "mastery_status", ["learning", "mastered"]),
     ("sheet_items", "question_type", ["original", "derived"]),
     ("account_recovery_conflicts", "status", ["open", "resolved"]),
@@ -224,7 +224,7 @@ def _rule_hits(
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations as (table, rule, key, n): not-null, unique, foreign key and domain rules.
+    """Violations as (table, rule, key, n): missing columns, not-null, unique, foreign key and domain rules.
 
     Each table is scanned once. Rows are counted per (rule, key) before anything else, so a
     value that fills a table is one row from then on; an id and the keys that refer to it
@@ -248,4 +248,13 @@ def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
         | of_kind("not_null")
     )
     names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(r).alias("rule")) for t, r in rules])
-    return known.filter(broken).select(F.get(names, F.col("code")).alias("_r"), "key", "n").select("_r.*", "key", "n")
+    found = known.filter(broken).select(F.get(names, F.col("code")).alias("_r"), "key", "n").select("_r.*", "key", "n")
+    absent = [
+        (table, "missing_column", name, 1)
+        for table, df in tables.items()
+        for name, _, needed in _columns(table)
+        if needed and name not in df.columns
+    ]
+    if not absent:
+        return found
+    return found.unionByName(found.sparkSession.createDataFrame(absent, "table string, rule string, key string, n long"))

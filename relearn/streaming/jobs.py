@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -146,7 +146,10 @@ def stream_recognition(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         done = snapshots.upto("images", batch_id).select(F.col("id").alias("image_id"))
-        fresh = batch.dropDuplicates(["image_id"]).join(done, "image_id", "left_anti")
+        # The first by all other columns, so that a batch run again keeps the same one.
+        order = [c for c in batch.columns if c != "image_id"]
+        first = batch.withColumn("_row", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
+        fresh = first.filter("_row = 1").drop("_row").join(done, "image_id", "left_anti")
         out = process(fresh)
         snapshots.append("candidates", out["candidates"], batch_id)
         snapshots.append("images", out["images"], batch_id)

@@ -214,3 +214,11 @@ def test_evidence_folds_width_and_case(spark):
 def test_unicode_categories_agree():
     sample = [chr(c) for c in range(0x20, 0x3000)]
     assert all(c.isalnum() == (unicodedata.category(c)[0] in "LN") for c in sample)
+
+
+def test_settled_images_lose_their_correction(spark):
+    images = spark.createDataFrame([(1, "pending", 0, "math", "fix")], "id long, status string, question_count int, subject string, recognition_correction string")
+    items = spark.createDataFrame([(1, 0, "math")], "image_id long, idx int, subject string")
+    kept = spark.createDataFrame([(1, "collected")], "image_id long, collection_status string")
+    row = rec.image_rollup(images, kept, items).first()
+    assert row.recognition_correction is None and row.status == "confirmed"
