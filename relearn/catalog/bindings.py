@@ -113,9 +113,26 @@ SELECT CAST(floor(p_partkey/4) AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT
  CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, ' x') ELSE NULL END AS answer,
  CASE p_partkey % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'chinese' ELSE 'english' END AS subject,
  CASE p_size % 5 WHEN 0 THEN 'write_pinyin' WHEN 1 THEN 'write_word' WHEN 2 THEN 'fill_blank' WHEN 3 THEN 'calculation' ELSE 'other' END AS question_type,
- split(concat('#pinyin;', lower(p_type), ';词语;Word;  #减法 '), ';') AS tags,
+ split(CASE p_partkey % 4 WHEN 0 THEN concat('#pinyin;', lower(p_type), ';词语;Word;  #减法 ') WHEN 1 THEN ' '
+  WHEN 2 THEN concat('wrong-character;', p_type, ';## 竖式;竖式;计算') ELSE 'Teacher-Marked;;填空; 其他 ;#' END, ';') AS tags,
  p_size - 3 AS difficulty, least(CAST(1 AS DOUBLE), CAST(p_size AS DOUBLE)/50 + 0.4) AS confidence, (p_partkey % 13 = 0) AS uncertain
 FROM part""",
+    "b_taken": """
+SELECT x.id, x.id*2 AS student_id, CASE WHEN x.id % 11 = 4 THEN 'confirmed' ELSE 'pending' END AS status, CAST(0 AS INT) AS question_count,
+ CASE x.id % 4 WHEN 0 THEN 'english' WHEN 1 THEN '' ELSE NULL END AS subject, CAST(1 + x.id % 6 AS INT) AS grade, CAST(1 + x.id % 2 AS INT) AS semester,
+ CASE x.id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'missed_errors' ELSE NULL END AS recognition_correction
+FROM (SELECT DISTINCT CAST(floor(p_partkey/4) AS BIGINT) AS id FROM part) x""",
+    "b_newcomers": """
+SELECT 10000000 + p_partkey AS id FROM part""",
+    "b_members": """
+SELECT * FROM b_accounts UNION ALL SELECT id, CASE WHEN id % 17 = 0 THEN 'pending_deletion' ELSE 'active' END, CAST(1 + id % 3 AS INT), NULL, NULL,
+ CASE WHEN id % 4 = 0 THEN NULL ELSE concat('/avatars/', CAST(id AS STRING), '.jpg') END, NULL, NULL, NULL, NULL FROM b_newcomers""",
+    "b_member_phones": """
+SELECT * FROM b_phones UNION ALL SELECT id, concat('138', lpad(CAST(id % 500 AS STRING), 8, '0')) FROM b_newcomers""",
+    "b_member_students": """
+SELECT * FROM b_students UNION ALL SELECT id, id, true, CAST(1 AS INT), CAST(1 AS INT), 'new' FROM b_newcomers""",
+    "b_member_identities": """
+SELECT * FROM b_identities UNION ALL SELECT id, id, 'new', concat('u', CAST(id AS STRING)) FROM b_newcomers""",
     "b_candidates": """
 SELECT CAST(floor(x.p_partkey/4) AS BIGINT) AS image_id, CAST(x.p_partkey % 4 AS INT) + x.c AS idx, x.p_type AS instruction, x.p_brand AS prompt_text,
  CASE WHEN x.c = 0 THEN x.p_name ELSE upper(concat(x.p_name, '!')) END AS ocr_text, CASE WHEN x.p_partkey % 7 = 0 THEN NULL ELSE x.p_name END AS ocr_answer,

@@ -31,44 +31,31 @@ def _phones(t):
 
 
 def _accounts(t):
-    """Accounts where the lowest id of a number holds it, unless that id ends the numbering by four in one."""
-    holders = _phones(t).filter("clean IS NOT NULL").groupBy("print").agg(F.min("account_id").alias("id"))
+    """Members where the lowest id of a number holds it, unless that id ends the numbering by four in one."""
+    clean = ident.clean_phone(F.col("phone"))
+    prints = t("b_member_phones").withColumn("print", ident.phone_fingerprint(clean, SECRET))
+    holders = prints.filter("print IS NOT NULL").groupBy("print").agg(F.min("account_id").alias("id"))
     holders = holders.filter("id % 4 <> 1").withColumnRenamed("print", "phone_fingerprint")
-    return t("b_accounts").join(holders, "id", "left")
+    return t("b_members").join(holders, "id", "left")
 
 
+MEMBER_PHONES = CLEAN_PHONES.replace("b_phones", "b_member_phones")
 ACCOUNTS_SQL = """holders AS (SELECT print, min(account_id) AS id FROM prints WHERE clean IS NOT NULL GROUP BY print),
-  accounts AS (SELECT a.*, CASE WHEN h.id % 4 <> 1 THEN h.print END AS phone_fingerprint FROM b_accounts a LEFT JOIN holders h ON h.id = a.id)"""
+  accounts AS (SELECT a.*, CASE WHEN h.id % 4 <> 1 THEN h.print END AS phone_fingerprint FROM b_members a LEFT JOIN holders h ON h.id = a.id)"""
 
 
 def _business(t):
+    """Whether an account has any data, over whole tables; newcomers have none."""
     return ident.has_business_data(
-        t("b_accounts"), t("b_students").withColumn("is_default", F.col("is_default") | F.coalesce(F.col("grade") > 2, F.lit(False))),
-        t("b_images").filter("status = 'failed' AND question_count = 4"),
-        t("b_questions").filter("subject = 'english' AND mastery_status = 'mastered' AND semester = 2 AND grade = 6"),
-        t("b_sheets").filter("generation_status = 'failed'"),
-        t("b_attempts").filter("accuracy = 0 AND attempt_no = 2"),
-    )
-
-
-def _all_business(t):
-    """Whether an account has any data, over whole tables."""
-    return ident.has_business_data(
-        t("b_accounts"), t("b_students"), t("b_images"), t("b_questions"), t("b_sheets"), t("b_attempts"))
+        t("b_members"), t("b_member_students"), t("b_images"), t("b_questions"), t("b_sheets"), t("b_attempts"))
 
 
-ALL_BUSINESS_SQL = """busy AS (SELECT student_id FROM b_images UNION SELECT student_id FROM b_questions
+BUSINESS_SQL = """busy AS (SELECT student_id FROM b_images UNION SELECT student_id FROM b_questions
     UNION SELECT student_id FROM b_sheets UNION SELECT student_id FROM b_attempts),
   business AS (SELECT a.id AS account_id, coalesce(bool_or(s.id IN (SELECT student_id FROM busy) OR NOT s.is_default), false) AS has_data
-    FROM b_accounts a LEFT JOIN b_students s ON s.account_id = a.id GROUP BY a.id)"""
-
-BUSINESS_SQL = """busy AS (SELECT student_id FROM b_images WHERE status = 'failed' AND question_count = 4
-    UNION SELECT student_id FROM b_questions WHERE subject = 'english' AND mastery_status = 'mastered' AND semester = 2 AND grade = 6
-    UNION SELECT student_id FROM b_sheets WHERE generation_status = 'failed' UNION SELECT student_id FROM b_attempts WHERE accuracy = 0 AND attempt_no = 2),
-  business AS (SELECT a.id AS account_id, coalesce(bool_or(s.id IN (SELECT student_id FROM busy) OR NOT (s.is_default OR coalesce(s.grade > 2, false))), false) AS has_data
-    FROM b_accounts a LEFT JOIN b_students s ON s.account_id = a.id GROUP BY a.id)"""
+    FROM b_members a LEFT JOIN b_member_students s ON s.account_id = a.id GROUP BY a.id)"""
 
-REQUESTS = """SELECT p.account_id, p.phone, e.ts AS requested_at, p.account_id AS request_id FROM b_phones p JOIN events e ON e.event_id = p.account_id"""
+REQUESTS = """SELECT p.account_id, p.phone, e.ts AS requested_at, p.account_id AS request_id FROM b_member_phones p JOIN events e ON e.event_id = p.account_id % 10000000"""
 
 
 def _resolved(t, accounts=None, business=None):
@@ -76,7 +63,7 @@ def _resolved(t, accounts=None, business=None):
         accounts or _accounts(t), t.sql(REQUESTS), business or _business(t), SECRET)
 
 
-RESOLVED = f"""{CLEAN_PHONES}, {ACCOUNTS_SQL}, {BUSINESS_SQL},
+RESOLVED = f"""{MEMBER_PHONES}, {ACCOUNTS_SQL}, {BUSINESS_SQL},
   asked AS (SELECT r.*, p.clean, p.print, a.status AS my_status, a.phone_fingerprint AS mine, s.id AS stored, s.status AS stored_status, b.has_data,
       p.clean IS NOT NULL AND a.status = 'active' AS valid FROM ({REQUESTS}) r JOIN prints p ON p.account_id = r.account_id JOIN accounts a ON a.id = r.account_id
     LEFT JOIN accounts s ON s.phone_fingerprint = p.print JOIN business b ON b.account_id = r.account_id),
@@ -99,27 +86,24 @@ def _merged(t):
     held, business = pin(_accounts(t)), pin(_business(t))
     resolved = pin(_resolved(t, held, business))
     accounts = pin(_bound_accounts(held, resolved))
-    free = resolved.filter("outcome = 'recovery_available'").groupBy("target_account_id").agg(F.min("account_id").alias("current_account_id"))
+    free = resolved.filter("outcome = 'recovery_available'").select("target_account_id", F.col("account_id").alias("current_account_id"))
     version = accounts.select("id", "token_version", "phone_fingerprint")
     claims = (
         free.join(version.select(F.col("id").alias("current_account_id"), F.col("token_version").alias("current_version")), "current_account_id")
         .join(version.select(F.col("id").alias("target_account_id"), F.col("token_version").alias("target_version"), "phone_fingerprint"), "target_account_id")
         .withColumn("current_version", F.col("current_version") + F.when(F.col("current_account_id") % 7 == 0, 1).otherwise(0))
     )
-    return ident.merge_empty_accounts(accounts, t("b_identities"), _single_students(t), business, claims)
-
-
-def _single_students(t):
-    """Every account's default student, plus the second ones of the lowest class."""
-    return t("b_students").filter("is_default OR grade = 1")
+    return ident.merge_empty_accounts(accounts, t("b_member_identities"), t("b_member_students"), business, claims)
 
 
-MERGED = f"""{RESOLVED}, claims AS (SELECT owner AS target_account_id, min(account_id) AS current_account_id FROM resolved WHERE outcome = 'recovery_available' GROUP BY owner),
-  pupils AS (SELECT account_id, count(*) AS n, count(*) FILTER (WHERE is_default) AS d FROM b_students WHERE is_default OR grade = 1 GROUP BY 1),
-  judged AS (SELECT c.current_account_id, c.target_account_id, CASE WHEN c.current_account_id % 7 = 0 OR ca.status <> 'active' OR ta.status <> 'active' THEN 'state_changed'
+MERGED = f"""{RESOLVED}, claims AS (SELECT owner AS target_account_id, account_id AS current_account_id FROM resolved WHERE outcome = 'recovery_available'),
+  pupils AS (SELECT account_id, count(*) AS n, count(*) FILTER (WHERE is_default) AS d FROM b_member_students GROUP BY 1),
+  alone AS (SELECT c.current_account_id, c.target_account_id, CASE WHEN c.current_account_id % 7 = 0 OR ca.status <> 'active' OR ta.status <> 'active' THEN 'state_changed'
     WHEN b.has_data THEN 'not_empty' WHEN coalesce(cp.n, 0) <> 1 OR cp.d <> 1 OR coalesce(tp.d, 0) <> 1 THEN 'structure_changed' ELSE 'merged' END AS outcome, ca.avatar_object_key
     FROM claims c JOIN accounts ca ON ca.id = c.current_account_id JOIN accounts ta ON ta.id = c.target_account_id JOIN business b ON b.account_id = c.current_account_id
-    LEFT JOIN pupils cp ON cp.account_id = c.current_account_id LEFT JOIN pupils tp ON tp.account_id = c.target_account_id)"""
+    LEFT JOIN pupils cp ON cp.account_id = c.current_account_id LEFT JOIN pupils tp ON tp.account_id = c.target_account_id),
+  judged AS (SELECT * REPLACE (CASE WHEN outcome = 'merged' AND current_account_id <> min(CASE WHEN outcome = 'merged' THEN current_account_id END)
+    OVER (PARTITION BY target_account_id) THEN 'state_changed' ELSE outcome END AS outcome) FROM alone)"""
 
 UPDATES = """SELECT id AS account_id, CASE id % 4 WHEN 0 THEN '  Nick ' WHEN 1 THEN NULL WHEN 2 THEN concat('n', CAST(id AS STRING)) ELSE CASE WHEN id % 11 = 0 THEN '  ' END END AS nickname,
   CASE WHEN id % 3 = 0 THEN concat(' p', CAST(id AS STRING)) END AS student_name, CAST(CASE WHEN id % 6 = 0 THEN 2 WHEN id % 13 = 0 THEN 7 END AS INT) AS grade,
@@ -170,7 +154,7 @@ CASES = {
         f"""WITH {NEW} SELECT sha256(concat_ws(chr(31), 'student', sha256(concat_ws(chr(31), 'account', appid, openid)))) AS id,
            sha256(concat_ws(chr(31), 'account', appid, openid)) AS account_id, true AS is_default, false AS profile_completed FROM fresh""",
     ),
-    "g5_has_business_data": Case(_all_business, f"WITH {ALL_BUSINESS_SQL} SELECT * FROM business"),
+    "g5_has_business_data": Case(_business, f"WITH {BUSINESS_SQL} SELECT * FROM business"),
     "g6_resolve_phone_bindings": Case(
         _resolved,
         f"""WITH {RESOLVED} SELECT request_id, account_id, outcome, CASE WHEN outcome IN ('owner_pending_deletion', 'merge_required', 'recovery_available') THEN owner END AS target_account_id,
@@ -188,7 +172,7 @@ CASES = {
     ),
     "g7_merged_identities": Case(
         lambda t: _merged(t)["identities"],
-        f"""WITH {MERGED} SELECT i.id, coalesce(j.target_account_id, i.account_id) AS account_id, i.appid, i.openid FROM b_identities i
+        f"""WITH {MERGED} SELECT i.id, coalesce(j.target_account_id, i.account_id) AS account_id, i.appid, i.openid FROM b_member_identities i
            LEFT JOIN judged j ON j.current_account_id = i.account_id AND j.outcome = 'merged'""",
     ),
     "g7_merge_jobs": Case(

@@ -1,10 +1,13 @@
+import re
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from relearn.catalog import Case
 from relearn.functions.text import folded
 from relearn.operators import recognition as rec
 from relearn.operators.recognition import Thresholds
-from relearn.plans.recognition import recognize
+from relearn.plans.recognition import settle_images
 
 RULES = Thresholds(mark_confidence=0.65, localization_confidence=0.65, item_confidence=0.6, red_min_ratio=0.02)
 
@@ -74,13 +77,110 @@ KEPT = f"""ids AS (SELECT c.*, concat_ws('|', {', '.join(IDENTITY)}, coalesce({F
     WHERE NOT (collection_status = 'ignored' AND coalesce(recognition_correction IN ('false_positives', 'both'), false)))"""
 
 
-def _flow(t):
-    images = t("b_items").select(F.col("image_id").alias("id")).distinct().withColumn(
-        "recognition_correction", F.when(F.col("id") % 3 == 0, "both")
-    ).withColumn("subject", F.lit(None).cast("string")).withColumn("status", F.lit("segmented")).withColumn("question_count", F.lit(0))
-    sound = rec.validate_marks(t("b_marks")).filter("valid").select("image_id")
-    marks = t("b_marks").join(sound, "image_id", "left_semi").drop("position", "mark_type")
-    return recognize(images, _items(t), marks, _localizations(t), t("b_ocr_lines"), _pixels(t), RULES)
+def responses(t):
+    """Responses per image as they arrive; an image has four items and four marks here."""
+    item = F.struct(
+        "raw_text", "instruction", "prompt_text", "answer", "subject", "question_type", "tags", "difficulty", "confidence",
+        F.when(F.col("uncertain"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>")).alias("uncertain_segments"))
+    mark = F.struct("mark_id", "mark_type", F.array("l", "t", "r", "b").alias("bbox"), "confidence")
+    items = t("b_items").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", item.alias("v")))).alias("i"))
+    marks = t("b_marks").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("position", mark.alias("v")))).alias("m"))
+    body = F.struct(F.transform("i", lambda x: x["v"]).alias("items"), F.transform("m", lambda x: x["v"]).alias("error_marks"))
+    text = (
+        F.when(F.col("image_id") % 23 == 5, "  ").when(F.col("image_id") % 29 == 7, F.substring(F.to_json(body), 1, 40))
+        .when(F.col("image_id") % 2 == 0, F.concat(F.lit(" <output>"), F.to_json(body), F.lit("</output>"))).otherwise(F.to_json(body)))
+    return items.join(marks, "image_id").select("image_id", text.alias("content"))
+
+
+def settle(t, answers, images, rules=RULES, run=""):
+    return settle_images(
+        images, t("b_students"), t("b_accounts"), answers, _localizations(t), t("b_ocr_lines"), _pixels(t), rules, run=run)
+
+
+def _flow(t, rules=RULES):
+    return settle(t, responses(t), t("b_taken"), rules)
+
+
+DECIDED = ["image_id", "idx", "localization_verified", "review_status", "reliable_error_mark", "bbox_source", "ocr_status",
+           "collection_status", "collection_reason"]
+SETTLED = ["id", "student_id", "status", "question_count", "subject", "recognition_correction", "error_code", "error_message"]
+# A ratio of 1 is equality of the folded texts, which SQL can say.
+EXACT = replace(RULES, support=1.0, contradiction=1.0)
+
+CLAIMED = f"""claimed AS (SELECT i.* FROM b_taken i JOIN b_students s ON s.id = i.student_id JOIN b_accounts a ON a.id = s.account_id
+    WHERE i.status = 'pending' AND a.status = 'active'),
+  refused AS (SELECT id, CASE WHEN id % 23 = 5 THEN '{rec.EMPTY}' WHEN id % 29 = 7 THEN '{rec.JSON_INVALID}'
+    WHEN id IN (SELECT image_id FROM b_marks WHERE mark_id <> position) THEN '{rec.SCHEMA_INVALID}' END AS code FROM claimed),
+  sound AS (SELECT id AS image_id FROM refused WHERE code IS NULL)"""
+
+
+def _reads(lines):
+    """What lines inside a target's region say when only equal texts count."""
+    fold = FOLD.format
+    return f"""heard AS (SELECT DISTINCT image_id, target_idx, {fold('text')} AS f FROM {lines} WHERE confidence >= 0.85 AND length({fold('text')}) >= 2),
+  said AS (SELECT DISTINCT image_id, idx, {fold('w')} AS f FROM (SELECT image_id, idx, unnest([prompt_text, raw_text, answer]) AS w FROM b_items) z
+    WHERE w IS NOT NULL AND {fold('w')} <> ''),
+  met AS (SELECT h.image_id, h.target_idx, bool_or(s.idx = h.target_idx) AS own, min(s.idx) AS first_idx FROM heard h
+    JOIN said s ON s.image_id = h.image_id AND s.f = h.f GROUP BY ALL),
+  reads AS (SELECT a.*, CASE WHEN m.own THEN 'support' WHEN m.image_id IS NOT NULL THEN 'contradict' ELSE 'inconclusive' END AS ocr_status,
+    CAST(CASE WHEN m.own THEN a.target_idx ELSE m.first_idx END AS INT) AS matched_index
+    FROM (SELECT DISTINCT image_id, target_idx FROM {lines}) a LEFT JOIN met m ON m.image_id = a.image_id AND m.target_idx = a.target_idx)"""
+
+
+LOCAL_PIXELS = PIXELS.format(key="idx").split("WHERE label <> 1),")[1]
+for _name in ("box", "counted", "wanted"):
+    LOCAL_PIXELS = re.sub(rf"\b{_name}\b", f"local_{_name}", LOCAL_PIXELS)
+TAGS = """array_to_string(CASE WHEN d IS NULL OR list_contains(k, d) THEN k ELSE list_append(k, d) END, ',')"""
+TAGGED = f"""tagged AS (SELECT image_id, idx, {TAGS} AS tags FROM (SELECT image_id, idx,
+    CASE idx WHEN 0 THEN ['拼音', '词语', '减法'] WHEN 1 THEN CAST([] AS VARCHAR[]) WHEN 2 THEN ['错别字', '竖式', '计算'] ELSE ['老师批改', '填空', '其他'] END AS k,
+    CASE question_type WHEN 'write_pinyin' THEN '拼音' WHEN 'write_word' THEN '词语' WHEN 'fill_blank' THEN '填空' WHEN 'calculation' THEN '计算'
+      WHEN 'other' THEN '其他' END AS d FROM b_items) z)"""
+FLOW = f"""{CLAIMED}, wanted AS (SELECT m.* FROM b_marks m JOIN sound USING (image_id)), {PIXELS.format(key='position')},
+  valid AS (SELECT w.image_id, w.position AS mark_id, w.l, w.t, w.r, w.b FROM wanted w JOIN counted c ON c.image_id = w.image_id AND c.position = w.position
+    WHERE w.confidence >= 0.65 AND red_pixel_count / pixel_count >= 0.02),
+  tried AS (SELECT p.* FROM b_localizations p WHERE image_id IN (SELECT image_id FROM valid)),
+  used AS (SELECT image_id, bool_and(coalesce(matched = (l IS NOT NULL) AND (matched OR (mark_id IS NULL AND observed_prompt_text IS NULL))
+      AND (l IS NULL OR (l >= 0 AND t >= 0 AND r <= 1 AND b <= 1 AND l < r AND t < b)) AND confidence BETWEEN 0 AND 1, false)) AS ok,
+    coalesce(list_sort(list(mark_id) FILTER (WHERE mark_id IS NOT NULL)), []) AS marks FROM tried GROUP BY image_id),
+  standing AS (SELECT u.image_id FROM used u JOIN (SELECT image_id, list_sort(list(mark_id)) AS marks FROM valid GROUP BY 1) v
+    ON v.image_id = u.image_id WHERE u.ok AND u.marks = v.marks),
+  seen AS (SELECT p.*, m.image_id IS NOT NULL AS known, (m.l + m.r)/2 AS cx, (m.t + m.b)/2 AS cy,
+    coalesce({FOLD.format('i.prompt_text')} <> '' AND {FOLD.format('i.prompt_text')} = {FOLD.format('p.observed_prompt_text')}, false) AS evidence
+    FROM tried p JOIN standing s ON s.image_id = p.image_id JOIN b_items i ON i.image_id = p.image_id AND i.idx = p.idx
+    LEFT JOIN valid m ON m.image_id = p.image_id AND m.mark_id = p.mark_id),
+  local_wanted AS (SELECT image_id, idx, l, t, r, b FROM seen WHERE matched AND l IS NOT NULL AND confidence >= 0.65
+    AND (r - l) * (b - t) <= 0.35 AND evidence AND mark_id IS NULL), {LOCAL_PIXELS},
+  fits AS (SELECT s.*, coalesce(c.red_pixel_count / c.pixel_count >= 0.02, false) AS red FROM seen s
+    LEFT JOIN local_counted c ON c.image_id = s.image_id AND c.idx = s.idx),
+  trusted AS (SELECT *, coalesce(confidence >= 0.65 AND evidence AND matched AND l IS NOT NULL AND (r - l) * (b - t) <= 0.35
+    AND (mark_id IS NOT NULL OR red) AND (mark_id IS NULL OR (known AND cx BETWEEN l AND r AND cy BETWEEN t AND b)), false) AS ok FROM fits),
+  judged AS (SELECT i.*, coalesce(v.ok, false) AS verified, coalesce(v.ok AND (v.red OR v.mark_id IS NOT NULL), false) AS marked,
+    CASE WHEN v.ok AND v.red AND v.mark_id IS NULL THEN 'local_red_verified_context' WHEN v.ok THEN 'marker_focused_context' ELSE 'unverified' END AS source
+    FROM b_items i JOIN sound USING (image_id) LEFT JOIN trusted v ON v.image_id = i.image_id AND v.idx = i.idx),
+  cropped AS (SELECT l.* FROM b_ocr_lines l JOIN judged j ON j.image_id = l.image_id AND j.idx = l.target_idx WHERE j.verified),
+  {_reads('cropped')},
+  read AS (SELECT j.*, coalesce(r.ocr_status, 'unavailable') AS ocr_status, CASE WHEN j.confidence < 0.6 OR j.uncertain OR NOT j.verified
+      OR r.ocr_status = 'contradict' THEN 'needs_review' ELSE 'confirmed' END AS review_status, CASE WHEN r.ocr_status = 'contradict' THEN 'unverified' ELSE source END AS bbox_source,
+      {FOLD.format('raw_text')} AS given, coalesce({FOLD.format('answer')}, '') AS correct
+    FROM judged j LEFT JOIN reads r ON r.image_id = j.image_id AND r.target_idx = j.idx),
+  ruled AS (SELECT *, CASE WHEN given = correct AND given <> '' AND NOT marked THEN 1 WHEN review_status <> 'confirmed' THEN 2 WHEN given = '' OR correct = '' THEN 3
+    WHEN marked AND given <> correct THEN 4 WHEN given = correct THEN 5 ELSE 6 END AS rule,
+    concat_ws('|', {FOLD.format('instruction')}, {FOLD.format('prompt_text')}, given, correct, question_type) AS identity FROM read),
+  saved AS (SELECT x.*, c.recognition_correction FROM ruled x JOIN claimed c ON c.id = x.image_id WHERE (rule = 4 OR NOT EXISTS (SELECT 1 FROM ruled y
+      WHERE y.image_id = x.image_id AND y.rule = 4 AND y.identity = x.identity)) AND NOT (rule = 1 AND coalesce(recognition_correction = 'both', false)))"""
+FLOW_CANDIDATES = f"""WITH {FLOW}, {TAGGED} SELECT s.image_id, s.idx, verified AS localization_verified, review_status, marked AS reliable_error_mark, bbox_source, ocr_status,
+  CASE rule WHEN 4 THEN 'collected' ELSE 'pending_review' END AS collection_status,
+  CASE rule WHEN 1 THEN '{rec.REASON_MATCH_UNMARKED}' WHEN 2 THEN '{rec.REASON_UNCERTAIN}' WHEN 3 THEN '{rec.REASON_NO_ANSWER}'
+    WHEN 4 THEN '{rec.REASON_COLLECTED}' WHEN 5 THEN '{rec.REASON_CONTRADICTION}' ELSE '{rec.REASON_NO_MARK}' END AS collection_reason, g.tags
+  FROM saved s JOIN tagged g ON g.image_id = s.image_id AND g.idx = s.idx"""
+_MESSAGES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rec.FAILURE_MESSAGES.items())
+FLOW_IMAGES = f"""WITH {FLOW}, n AS (SELECT image_id, count(*) AS n, bool_or(rule <> 4) AS open FROM saved GROUP BY 1),
+  first_item AS (SELECT image_id, arg_min(subject, idx) AS subject FROM b_items GROUP BY 1)
+  SELECT c.id, c.student_id, CASE WHEN r.code IS NOT NULL THEN 'failed' WHEN n.open THEN 'needs_review' ELSE 'confirmed' END AS status,
+    CAST(coalesce(n.n, 0) AS INT) AS question_count, CASE WHEN r.code IS NOT NULL THEN c.subject ELSE coalesce(nullif(c.subject, ''), f.subject) END AS subject,
+    CASE WHEN r.code IS NOT NULL THEN c.recognition_correction END AS recognition_correction, r.code AS error_code,
+    CASE r.code {_MESSAGES} END AS error_message
+  FROM claimed c JOIN refused r ON r.id = c.id JOIN first_item f ON f.image_id = c.id LEFT JOIN n ON n.image_id = c.id"""
 
 
 def _errors(t):
@@ -149,10 +249,10 @@ CASES = {
         lambda t: _located(t).select("image_id", "idx", "evidence"), f"WITH {LOCATED} SELECT image_id, idx, evidence FROM fits"
     ),
     "d6_folded_documents": Case(
-        lambda t: t("documents").select("doc_id", F.length(folded(F.col("text"), "identity")).alias("n"),
-                                        F.length(folded(F.col("text"), "answer")).alias("n_answer")),
-        r"""SELECT doc_id, length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS n,
-             length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]', '', 'g')) AS n_answer FROM documents""",
+        lambda t: t("documents").select("doc_id", F.sha2(folded(F.col("text"), "identity"), 256).alias("n"),
+                                        F.sha2(folded(F.col("text"), "answer"), 256).alias("n_answer")),
+        r"""SELECT doc_id, sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS n,
+             sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}]', '', 'g')) AS n_answer FROM documents""",
     ),
     "d7_display_bbox": Case(
         lambda t: _located(t).filter("matched").withColumn("box", rec.display_bbox(0.15)).select(
@@ -190,6 +290,9 @@ CASES = {
            LEFT JOIN counted c ON c.image_id = w.image_id AND c.idx = w.idx""",
     ),
     "d11_ocr_verdict": Case(lambda t: rec.ocr_verdict(t("b_ocr_lines"), t("b_items"))),
+    "d11_exact_verdict": Case(
+        lambda t: rec.ocr_verdict(t("b_ocr_lines"), t("b_items"), EXACT).select("image_id", "target_idx", "status", "matched_index"),
+        f"WITH {_reads('b_ocr_lines')} SELECT image_id, target_idx, ocr_status AS status, matched_index FROM reads"),
     "d12_collection_decision": Case(
         lambda t: rec.collection_decision(t("b_items").select(
             "image_id", "idx", F.col("raw_text").alias("ocr_text"), F.col("answer").alias("ocr_answer"),
@@ -204,8 +307,7 @@ CASES = {
     ),
     "d13_normalize_tags": Case(
         lambda t: t("b_items").select("image_id", "idx", F.array_join(rec.normalize_tags(F.col("tags"), F.col("question_type")), ",").alias("tags")),
-        """SELECT image_id, idx, '拼音,词语,减法' || CASE question_type WHEN 'fill_blank' THEN ',填空' WHEN 'calculation' THEN ',计算'
-             WHEN 'other' THEN ',其他' ELSE '' END AS tags FROM b_items""",
+        f"WITH {TAGGED} SELECT * FROM tagged",
     ),
     "d14_drop_duplicate_candidates": Case(
         lambda t: rec.drop_duplicate_candidates(t("b_candidates")).select("image_id", "idx", "collection_status"),
@@ -223,10 +325,20 @@ CASES = {
            FROM (SELECT image_id, arg_min(subject, idx) AS subject FROM b_items GROUP BY 1) i LEFT JOIN n ON n.image_id = i.image_id""",
     ),
     "d17_recognition_candidates": Case(
-        lambda t: _flow(t)["candidates"].select(
-            "image_id", "idx", "localization_verified", "review_status", "reliable_error_mark", "bbox_source", "ocr_status",
-            "collection_status", "collection_reason", F.array_join("tags", ",").alias("tags"))),
-    "d17_recognition_images": Case(lambda t: _flow(t)["images"].select("id", "status", "question_count", "subject")),
+        lambda t: _flow(t)["candidates"].select(*DECIDED, F.array_join("tags", ",").alias("tags"))),
+    "d17_recognition_images": Case(lambda t: _flow(t)["images"].select(*SETTLED)),
+    "d17_exact_candidates": Case(
+        lambda t: _flow(t, EXACT)["candidates"].select(*DECIDED, F.array_join("tags", ",").alias("tags")), FLOW_CANDIDATES),
+    "d17_exact_images": Case(lambda t: _flow(t, EXACT)["images"].select(*SETTLED), FLOW_IMAGES),
+    "d17_question_rows": Case(
+        lambda t: _flow(t, EXACT)["questions"].select(
+            "image_id", "idx", "student_id", "grade", "semester", "collection_status", "crop_region.localization_status",
+            F.col("crop_region.bbox_source").alias("bbox_source"), F.col("ocr_raw_json.prompt_text").alias("prompt_text"),
+            F.col("ocr_raw_json.collection_reason").alias("collection_reason"), F.col("ocr_raw_json.local_ocr.status").alias("ocr_status")),
+        f"""WITH decided AS ({FLOW_CANDIDATES})
+           SELECT d.image_id, d.idx, c.student_id, c.grade, c.semester, d.collection_status, CASE WHEN d.bbox_source = 'unverified' THEN 'needs_review' ELSE 'verified' END AS localization_status,
+             d.bbox_source, i.prompt_text, d.collection_reason, d.ocr_status FROM decided d JOIN b_taken c ON c.id = d.image_id
+             JOIN b_items i ON i.image_id = d.image_id AND i.idx = d.idx"""),
     "d18_failure_code": Case(
         lambda t: rec.failure_code(_errors(t)).select(
             "id", "error_code", "error_message",

@@ -189,8 +189,10 @@ def merge_empty_accounts(
     """Move the login of an empty account to the owner of its phone number.
 
     ``claims``(current_account_id, target_account_id, current_version, target_version,
-    phone_fingerprint), at most one per current account and one per target. Anything that
-    changed since the claim refuses it.
+    phone_fingerprint). Anything that changed since the claim refuses it. A merge changes both
+    its accounts: of several good claims on one target the lowest current account's goes through,
+    an account claiming several targets joins the lowest, one that takes another in is not merged away
+    itself, and the rest find the state changed.
     """
 
     def side(prefix: str) -> DataFrame:
@@ -241,7 +243,15 @@ def merge_empty_accounts(
         .when(~F.coalesce(shape_ok, F.lit(False)), "structure_changed")
         .otherwise("merged")
     )
-    judged = rows.withColumn("outcome", outcome)
+    alone = rows.withColumn("outcome", outcome).dropDuplicates(["current_account_id", "target_account_id"])
+    good = alone.filter("outcome = 'merged'")
+    pairs = good.groupBy("target_account_id").agg(F.min("current_account_id").alias("current_account_id"))
+    pairs = pairs.groupBy("current_account_id").agg(F.min("target_account_id").alias("target_account_id"))
+    takes = pairs.select(F.col("target_account_id").alias("current_account_id"))
+    winners = pairs.join(takes, "current_account_id", "left_anti").withColumn("_wins", F.lit(True))
+    judged = alone.join(winners, ["current_account_id", "target_account_id"], "left").withColumn(
+        "outcome", F.when((F.col("outcome") == "merged") & F.col("_wins").isNull(), "state_changed").otherwise(F.col("outcome"))
+    )
     merged = judged.filter("outcome = 'merged'")
     gone = merged.select(F.col("current_account_id").alias("id"))
     bumped = merged.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relearn.functions.times import days_after, days_before, moment
 from relearn.operators.library import ACTIVE_IMAGE_STATUSES, live
-from relearn.sources.changes import overlay
+from relearn.sources.changes import last_per_key, overlay
 
 Moment = Column | datetime | str
 
@@ -74,9 +74,12 @@ def purge_questions(
 
     def unlink(df: DataFrame, columns: list[str]) -> DataFrame:
         for name in columns:
+            # Rows without a reference have nothing to lose and would all meet in one partition.
             hit = purged.select(F.col("id").alias("_gone"))
-            df = df.join(hit, df[name] == hit["_gone"], "left")
-            df = df.withColumn(name, F.when(F.col("_gone").isNull(), F.col(name))).drop("_gone")
+            bound = df.filter(F.col(name).isNotNull())
+            bound = bound.join(hit, bound[name] == hit["_gone"], "left")
+            bound = bound.withColumn(name, F.when(F.col("_gone").isNull(), F.col(name))).drop("_gone")
+            df = bound.unionByName(df.filter(F.col(name).isNull()))
         return df
 
     refs = [c for c in ("wrong_question_id", "derived_from") if c in items.columns]
@@ -238,12 +241,14 @@ def retry_failed_images(images: DataFrame, requests: DataFrame) -> dict[str, Dat
 def confirm_edited(questions: DataFrame, images: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Apply edits(id, student_id, fields…) to live questions.
 
-    An edited needs_review question becomes confirmed, and so does its image when no live
+    Of several edits of a question the last by ``edited_at`` counts, where that is given, else the
+    largest by its fields. An edited needs_review question becomes confirmed, and so does its image when no live
     question on it still needs review.
     """
-    fields = [c for c in edits.columns if c not in ("id", "student_id")]
+    fields = [c for c in edits.columns if c not in ("id", "student_id", "edited_at")]
     target = questions.filter(live()).select("id", "student_id", "image_id", F.col("review_status").alias("_was"))
-    hit = edits.join(target, ["id", "student_id"])
+    order = [c for c in ("edited_at",) if c in edits.columns]
+    hit = last_per_key(edits.join(target, ["id", "student_id"]), "id", order)
     wanted = F.col("review_status") if "review_status" in fields else F.col("_was")
     updates = hit.select(
         "id",
@@ -422,7 +427,9 @@ def schedule_cleanup_retries(
     are not due, or were not attempted, stay.
     """
     due = F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= moment(now))
-    tried = jobs.join(outcomes.select("id", "ok", "error"), "id", "left").withColumn(
+    # A file that was deleted once is gone, whatever else was reported of it.
+    told = outcomes.groupBy("id").agg(F.max(F.struct("ok", "error")).alias("_o")).select("id", "_o.*")
+    tried = jobs.join(told, "id", "left").withColumn(
         "_step", F.when(due & F.col("ok"), "deleted").when(due & ~F.col("ok"), "failed").otherwise("kept")
     )
     failed = F.col("_step") == "failed"

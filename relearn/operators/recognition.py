@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from relearn.functions.ranks import page_rows
 from relearn.functions.text import folded, is_blank, sequence_ratio, strip
-from relearn.sources.responses import variant_kind
+from relearn.sources.responses import EMPTY, JSON_INVALID, variant_kind
 
 # Fixed values of the service.
 SUBJECTS = ["math", "chinese", "english"]
@@ -54,6 +54,14 @@ DIAGNOSTIC_KEYS = [
 ]
 INVALID_RESPONSE = ("vision_response_invalid", "识别结果异常，请稍后重试")
 INTERNAL_ERROR = ("recognition_internal_error", "识别暂时失败，请稍后重试")
+SCHEMA_INVALID = "vision_response_schema_invalid"
+FAILURE_MESSAGES = {
+    EMPTY: "识别结果为空，请稍后重试",
+    JSON_INVALID: "识别结果格式异常，请稍后重试",
+    SCHEMA_INVALID: "识别结果格式不完整，请稍后重试",
+}
+BOX_FORMAT = "normalized_ltrb"
+PROVIDER = "minimax"
 RED_FLOOR, RED_MARGIN, RED_RATIO = 120, 45, 1.35
 SUMMARY_CHARACTERS = 200
 BOXES_PER_ROW = 256
@@ -792,6 +800,65 @@ def image_rollup(images: DataFrame, persisted: DataFrame, items: DataFrame) -> D
     )
 
 
+def failed_images(images: DataFrame, checked: DataFrame) -> DataFrame:
+    """``images`` whose response cannot be used, as failed, with the code and message users see.
+
+    ``checked``(image_id, error, valid, bad_fields): a response with an ``error`` of its own keeps
+    that code; one that parses but breaks the schema gets its own code.
+    """
+    code = F.coalesce("error", F.when(~F.coalesce("valid", F.lit(False)), SCHEMA_INVALID))
+    errors = checked.select(
+        F.col("image_id").alias("id"),
+        F.lit("recognition").alias("kind"),
+        code.alias("code"),
+        F.try_element_at(_literal_map(FAILURE_MESSAGES), code).alias("user_message"),
+        F.create_map(F.lit("validation_fields"), F.array_join("bad_fields", ",")).alias("diagnostic"),
+    ).filter("code IS NOT NULL")
+    shown = failure_code(errors).select("id", "error_code", "error_message")
+    rest = images.drop("status", "error_code", "error_message")
+    return rest.join(shown, "id").withColumn("status", F.lit("failed"))
+
+
+def question_rows(
+    candidates: DataFrame, images: DataFrame, rules: Thresholds = Thresholds(), run: str = ""
+) -> DataFrame:
+    """``candidates`` as rows of wrong_questions, with the student, grade and semester of their image.
+
+    ``crop_region`` is complete, also where a region is unverified, and ``ocr_raw_json`` holds the
+    recognised item, what the decision rests on and the local reading. Marks are not repeated in each
+    question: they stay rows per image (``evidence`` of the flow). Ids hash (image_id, idx, run), so
+    the same run makes the same ones and recognising an image anew makes others.
+    """
+    known = F.col("crop_region").isNotNull()
+    region = F.struct(
+        F.col("crop_region.bbox").alias("bbox"),
+        F.when(known, BOX_FORMAT).alias("bbox_format"),
+        F.col("bbox_source"),
+        F.col("crop_region.bbox_confidence").alias("bbox_confidence"),
+        F.when(known, "verified").otherwise("needs_review").alias("localization_status"),
+        F.col("crop_region.mark_ids").alias("mark_ids"),
+        F.col("idx").alias("index"),
+        F.when(known & F.lit(rules.padding > 0), F.col("crop_region.localization_bbox")).alias("localization_bbox"),
+        F.when(known & F.lit(rules.padding > 0), F.lit(rules.padding)).alias("display_context_padding_ratio"),
+    )
+    item = [F.col(c) for c in ITEM_FIELDS if c in candidates.columns and c != "tags"]
+    reading = F.struct(
+        F.col("ocr_status").alias("status"), F.col("ocr_matched_index").alias("matched_index"),
+        F.coalesce("ocr_text_summary", F.lit("")).alias("text_summary"), F.col("ocr_confidence").alias("confidence"),
+    )
+    document = F.struct(
+        F.lit(PROVIDER).alias("provider"), *item, F.col("_read_tags").alias("tags"), "reliable_error_mark", "collection_reason",
+        reading.alias("local_ocr"), *[c for c in ("ignored_text",) if c in candidates.columns],
+    )
+    own = [c for c in ("student_id", "grade", "semester") if c in images.columns]
+    home = images.select(F.col("id").alias("image_id"), *own)
+    return candidates.drop(*own).join(home, "image_id").select(
+        F.sha2(F.concat_ws("\x1f", F.lit("question"), F.col("image_id").cast("string"), F.col("idx").cast("string"), F.lit(run)), 256).alias("id"),
+        "image_id", *own, F.col("idx"), region.alias("crop_region"), "subject", "ocr_text", "ocr_answer",
+        document.alias("ocr_raw_json"), "question_type", "tags", "difficulty", "review_status", "collection_status",
+    )
+
+
 def failure_code(errors: DataFrame) -> DataFrame:
     """Adds what users and logs may see of a failure.
 

@@ -243,7 +243,7 @@ def sheet_document(sheets: DataFrame, originals: DataFrame, variants: DataFrame)
 
 
 def generation_state(sheets: DataFrame, events: DataFrame) -> DataFrame:
-    """Sheets after one event(sheet_id, event, at, completed, error_kind, phase) each.
+    """Sheets after one event(sheet_id, event, at, completed, error_kind, phase) each, the earliest that fits.
 
     claim: pending → processing. progress and complete need processing. fail applies unless
     completed. retry puts a failed sheet back. Events that do not fit change nothing.
@@ -266,7 +266,11 @@ def generation_state(sheets: DataFrame, events: DataFrame) -> DataFrame:
     keep = lambda name: F.col(name)
     clears = event.isin("claim", "complete", "retry")
     started, at = F.col("generation_started_at"), F.col("at")
-    updates = joined.filter(applies).select(
+    fitting = joined.filter(applies)
+    # Ties in time go by the event's other fields, so that a repeated run decides alike.
+    rank = F.struct("at", "event", "completed", "error_kind", "phase")
+    first = fitting.groupBy("id").agg(F.min(rank).alias("_e")).select("id", "_e.*")
+    updates = first.join(sheets, "id").select(
         "id",
         F.when(event == "claim", "processing").when(event == "complete", "completed").when(event == "fail", "failed")
         .when(event == "retry", "pending").otherwise(status).alias("generation_status"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relearn.functions.ranks import pin
 from relearn.operators import recognition as rec
 from relearn.operators.recognition import Thresholds
+from relearn.sources.responses import parse_model_responses
 
 LOCALIZATION_COLUMNS = [
     "image_id", "idx", "matched", "mark_ids", "l", "t", "r", "b",
@@ -58,7 +59,8 @@ def recognize(
     read = rec.ocr_verdict(lines.join(cropped, ["image_id", "target_idx"], "left_semi"), items, rules)
     read = read.select(
         "image_id", F.col("target_idx").alias("idx"), F.col("status").alias("ocr_status"),
-        F.col("matched_index").alias("ocr_matched_index"),
+        F.col("matched_index").alias("ocr_matched_index"), F.col("text_summary").alias("ocr_text_summary"),
+        F.col("confidence").alias("ocr_confidence"),
     )
     contradicted = F.col("ocr_status") == "contradict"
     checked = (
@@ -69,6 +71,7 @@ def recognize(
         .withColumn("review_status", F.when(contradicted, "needs_review").otherwise(F.col("review_status")))
         .withColumn("ocr_text", F.col("raw_text"))
         .withColumn("ocr_answer", F.col("answer"))
+        .withColumn("_read_tags", F.col("tags"))
         .withColumn("tags", rec.normalize_tags(F.col("tags"), F.col("question_type")))
     )
     corrections = images.select(F.col("id").alias("image_id"), "recognition_correction")
@@ -76,3 +79,54 @@ def recognize(
     unique = rec.drop_duplicate_candidates(decided)
     stored = rec.persist_filter(unique)
     return {"evidence": evidence, "candidates": stored, "images": rec.image_rollup(images, stored, items)}
+
+
+def settle_images(
+    images: DataFrame,
+    students: DataFrame,
+    accounts: DataFrame,
+    responses: DataFrame,
+    localizations: DataFrame,
+    lines: DataFrame,
+    pixels: DataFrame,
+    rules: Thresholds = Thresholds(),
+    content: str = "content",
+    run: str = "",
+) -> dict[str, DataFrame]:
+    """Claim the pending images that ``responses``(image_id, content) answer, and settle each.
+
+    Images are claimed by state, so one that was sent back to pending is recognised again, and a
+    response to any other image, or to one of an account that is not active, does nothing. A
+    response that is empty, no JSON object or against the schema is refused whole: its image
+    fails with code and message, and no question comes from it. ``run`` tells question ids of
+    several recognitions of an image apart. ``images`` are the changed rows, ``questions`` rows of
+    wrong_questions, ``failures`` the refused responses with the paths of their bad fields.
+    """
+    none = F.lit(None).cast("string")
+    for name in ("error_code", "error_message", "recognition_correction"):
+        if name not in images.columns:
+            images = images.withColumn(name, none)
+    claimed = rec.claimable_images(images, students, accounts)
+    answered = responses.select("image_id", content).join(claimed.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    parsed = parse_model_responses(answered, content, "ignored_text array<string>")
+    checked = pin(rec.validate_items(parsed).drop(content))
+    sound = checked.filter("error IS NULL AND valid")
+    ids = sound.select("image_id")
+    out = recognize(
+        claimed.join(ids.withColumnRenamed("image_id", "id"), "id", "left_semi"),
+        rec.recognized_items(sound),
+        rec.recognized_marks(sound).drop("position", "mark_type"),
+        localizations.join(ids, "image_id", "left_semi"),
+        lines.join(ids, "image_id", "left_semi"),
+        pixels, rules,
+    )
+    failed = rec.failed_images(claimed, checked)
+    aside = sound.select("image_id", F.col("payload.ignored_text").alias("ignored_text"))
+    questions = rec.question_rows(out["candidates"].join(aside, "image_id"), claimed, rules, run)
+    return {
+        "evidence": out["evidence"],
+        "candidates": out["candidates"],
+        "questions": questions,
+        "images": out["images"].select(*images.columns).unionByName(failed.select(*images.columns)),
+        "failures": checked.filter("error IS NOT NULL OR NOT valid").select("image_id", "error", "bad_fields"),
+    }

@@ -13,13 +13,28 @@ SET_FIELDS = "_set"
 DELETED = "_deleted"
 
 
-def merge_changes(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+def last_per_key(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, and by all other columns where that ties.
+
+    Reducing before the shuffle keeps a key with many rows in many tasks.
+    """
+    fields = [c for c in rows.columns if c != key]
+    if not fields:
+        return rows.distinct()
+    rest = [f.name for f in rows.schema if f.name in fields and f.name not in order and f.dataType.typeName() not in ("map", "variant")]
+    rank = F.struct(*order, *rest) if order or rest else F.lit(0)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), rank).alias("_last")).select(key, "_last.*")
+
+
+def merge_changes(base: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """The next snapshot: partial updates, new keys added, flagged keys removed.
 
-    ``changes`` holds at most one row per key. ``_set`` (array of names) lists the fields an
+    Of several changes of a key the last by ``order`` counts (columns of ``changes``; ties go by all
+    its columns). ``_set`` (array of names) lists the fields an
     update carries, so a field can be set to null; without ``_set`` every field present is
     set. ``_deleted`` removes the row.
     """
+    changes = last_per_key(changes, key, order)
     fields = [c for c in changes.columns if c not in (key, SET_FIELDS, DELETED)]
     given = F.col(SET_FIELDS) if SET_FIELDS in changes.columns else F.lit(None).cast("array<string>")
     gone = F.col(DELETED) if DELETED in changes.columns else F.lit(False)
@@ -46,7 +61,10 @@ def merge_changes(base: DataFrame, changes: DataFrame, key: str = "id") -> DataF
 
 
 def overlay(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """``base`` with the fields of ``updates`` replaced for the keys it names; adds and drops nothing."""
+    """``base`` with the fields of ``updates`` replaced for the keys it names; adds and drops nothing.
+
+    ``updates`` has one row per key; ``last_per_key`` makes it so.
+    """
     fields = [c for c in updates.columns if c != key]
     side = updates.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields])
     joined = base.join(side, key, "left")

@@ -1,85 +1,97 @@
 """Structured Streaming jobs over snapshots kept in a shared folder.
 
-A snapshot is a parquet folder per version with the version named after the batch that wrote
-it, so a batch that is run again overwrites its own output and nothing else.
+A version is named after the batch that wrote it, so a batch that is run again overwrites its
+own output and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from relearn.functions.ranks import pin
 from relearn.plans.grading import record_attempts
 from relearn.sources.changes import overlay
 
 
 class Snapshots:
-    """Versions of named tables below one folder; version -1 is what the job starts from."""
+    """Versions of named tables below one folder; version -1 is what the job starts from.
+
+    A table is one parquet folder partitioned by version, so Spark's partition pruning picks
+    versions and a plan names one path however many batches there were. Next to it stands a small
+    table of the versions written completely.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.folder}/{name}/v={version + 1:012d}"
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        found = []
-        for entry in files.listStatus(root):
-            path = entry.getPath()
-            if files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append(int(path.getName().split("=")[1]) - 1)
-        return sorted(found)
-
     def write(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(name, version))
+        """One version of a table; the same version written again replaces itself."""
+        part = f"v={version + 1:012d}"
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{part}")
+        done = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}-versions/{part}")
+
+    append = write  # rows of one batch; ``upto`` and ``everything`` read all batches together
+
+    def newest(self, name: str, below: int = 1 << 62) -> int | None:
+        """The newest complete version below ``below``."""
+        try:
+            versions = self.spark.read.parquet(f"{self.folder}/{name}-versions")
+        except AnalysisException:  # nothing was written yet
+            return None
+        return versions.filter(F.col("version") < below).agg(F.max("version")).first()[0]
+
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def before(self, name: str, version: int) -> DataFrame:
         """The newest complete version older than ``version``."""
-        older = [v for v in self._versions(name) if v < version]
-        if not older:
+        found = self.newest(name, version)
+        if found is None:
             raise FileNotFoundError(f"no snapshot of {name} before version {version}")
-        return self.spark.read.parquet(self._path(name, older[-1]))
+        return self._rows(name).filter(F.col("v") == found + 1).drop("v")
 
     def latest(self, name: str) -> DataFrame:
         return self.before(name, 1 << 62)
 
-    def append(self, name: str, df: DataFrame, version: int) -> None:
-        """Rows of one batch; ``upto`` and ``everything`` read all batches together."""
-        df.write.mode("overwrite").parquet(self._path(name, version))
-
-    def upto(self, name: str, version: int) -> DataFrame:
-        """All rows appended before ``version``."""
-        older = [v for v in self._versions(name) if v < version]
-        if not older:
+    def upto(self, name: str, version: int, after: int = -2) -> DataFrame:
+        """All rows appended before ``version`` and after ``after``."""
+        if self.newest(name, version) is None:
             raise FileNotFoundError(f"no rows of {name} before version {version}")
-        return self.spark.read.parquet(*[self._path(name, v) for v in older])
+        return self._rows(name).filter((F.col("v") <= version) & (F.col("v") > after + 1)).drop("v")
 
     def everything(self, name: str) -> DataFrame:
         return self.upto(name, 1 << 62)
 
     def current(self, name: str, updates: str, version: int = 1 << 62, key: str = "id") -> DataFrame:
-        """The table ``name`` under the newest of the ``updates`` appended before ``version``.
+        """The table ``name`` before ``version``: its newest snapshot under the newest of the later ``updates``.
 
-        A batch thus writes what it changed, not the table; folding the updates into a new
-        first version now and then keeps reading cheap.
+        A batch thus writes what it changed, not the table.
         """
-        base = self.latest(name)
-        if not [v for v in self._versions(updates) if v < version]:
+        base = self.before(name, version)
+        if self.newest(updates, version) is None:
             return base
-        changed = self.upto(updates, version)
+        changed = self.upto(updates, version, self.newest(name, version))
         fields = [c for c in changed.columns if c not in (key, "batch_id")]
         newest = changed.groupBy(key).agg(F.max_by(F.struct(*fields), "batch_id").alias("_u"))
         return overlay(base, newest.select(key, "_u.*"), key)
 
+    def replace(self, name: str, updates: str, df: DataFrame | None = None) -> None:
+        """Make ``df``, or the current table, the snapshot that later updates lie on.
+
+        This folds the updates so far away from later reads, and is how changes from elsewhere, such as
+        images sent back to pending, enter between two runs of a stream.
+        """
+        last = self.newest(updates)
+        df = self.current(name, updates) if df is None else df
+        self.write(name, pin(df), self.newest(name) if last is None else max(last, self.newest(name)))
+
 
 def read_arrivals(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, **options: str) -> DataFrame:
     """A stream of parquet files dropped into ``path``."""
@@ -133,25 +145,29 @@ def stream_attempts(
 
 def stream_recognition(
     arrivals: DataFrame,
-    process: Callable[[DataFrame], dict[str, DataFrame]],
+    process: Callable[[DataFrame, DataFrame, int], dict[str, DataFrame]],
     snapshots: Snapshots,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Turn arriving responses into question candidates and image states.
+    """Turn arriving responses into questions and image states.
 
-    ``process`` maps a batch of responses (one row per image_id) to ``candidates`` and ``images``,
-    usually with ``plans.recognition.recognize``. An image that an earlier batch settled is
-    left out, so a response delivered twice has no effect.
+    ``process`` maps a batch of responses (one row per image_id), their pending images and the batch's
+    number to ``questions`` and ``images``, usually with ``plans.recognition.settle_images``. State decides what
+    is claimed: a response delivered twice finds its image settled and has no effect, while an image
+    that was sent back to pending is recognised again.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done = snapshots.upto("images", batch_id).select(F.col("id").alias("image_id"))
         # The first by all other columns, so that a batch run again keeps the same one.
         order = [c for c in batch.columns if c != "image_id"]
         first = batch.withColumn("_row", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
-        fresh = first.filter("_row = 1").drop("_row").join(done, "image_id", "left_anti")
-        out = process(fresh)
-        snapshots.append("candidates", out["candidates"], batch_id)
-        snapshots.append("images", out["images"], batch_id)
+        first = pin(first.filter("_row = 1").drop("_row"))
+        known = snapshots.current("images", "image_updates", batch_id)
+        pending = known.filter("status = 'pending'")
+        asked = pending.join(first.select(F.col("image_id").alias("id")), "id", "left_semi")
+        out = process(first, pin(asked), batch_id)
+        snapshots.append("questions", out["questions"], batch_id)
+        updates = out["images"].withColumn("batch_id", F.lit(batch_id).cast("long"))
+        snapshots.append("image_updates", updates, batch_id)
 
     return run_available(arrivals, each, checkpoint)

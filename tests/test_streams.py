@@ -45,16 +45,28 @@ def test_attempts_delivered_twice_count_once(spark, tables, tmp_path):
 def test_responses_delivered_twice_count_once(spark, tables, tmp_path):
     rows = pin(cs.responses(tables))
     state = Snapshots(spark, str(tmp_path / "state"))
-    state.write("images", spark.createDataFrame([], "id long"), -1)
+    state.write("images", rows.select(F.col("image_id").alias("id"), F.lit("pending").alias("status")), -1)
 
-    def process(batch):
-        return {"candidates": batch, "images": batch.select(F.col("image_id").alias("id"))}
+    def process(batch, images, _):
+        known = batch.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+        return {"questions": known, "images": images.withColumn("status", F.lit("confirmed"))}
 
-    for _ in range(2):
+    def deliver():
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "arrivals"))
         stream = read_arrivals(spark, str(tmp_path / "arrivals"), rows.schema)
         stream_recognition(stream, process, state, str(tmp_path / "checkpoint")).awaitTermination()
-        assert state.everything("candidates").count() == rows.count()
+        return state.everything("questions").count()
+
+    n = rows.count()
+    assert [deliver(), deliver()] == [n, n]
+    # Sent back to pending, an image is recognised again; folding the updates keeps the state.
+    now = state.current("images", "image_updates")
+    queued = now.withColumn("status", F.when(F.col("id") == 1, "pending").otherwise(F.col("status")))
+    state.replace("images", "image_updates", queued)
+    assert deliver() == n + 1
+    before = rows_of(state.current("images", "image_updates"))
+    state.replace("images", "image_updates")
+    assert rows_of(state.current("images", "image_updates")) == before
 
 
 def test_retention_run_twice(spark, tables):
