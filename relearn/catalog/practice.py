@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from relearn.catalog import Case
 from relearn.operators import practice as pr
+from relearn.plans.grading import record_edits
 
 
 def _items(t):
@@ -79,6 +80,23 @@ EDIT_SQL = """flipped AS (SELECT attempt_id, sheet_item_id, NOT is_correct AS is
     WHEN c.verdict <> 'ok' THEN c.verdict ELSE 'accepted' END AS verdict FROM b_attempts t JOIN cover c ON c.attempt_id = t.id)"""
 
 
+def _recorded_edits(t):
+    attempts = t("b_attempts").withColumns({"correct_count": F.lit(0), "total_count": F.lit(0)})
+    edits = attempts.select(
+        F.col("id").alias("attempt_id"), (F.col("student_id") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).alias("student_id"),
+        F.when(F.col("accuracy") > 0, F.col("updated_at")).otherwise(F.expr("updated_at - interval 1 second")).alias("updated_at"))
+    answers = t("b_answers").withColumn("is_correct", ~F.col("is_correct"))
+    return record_edits(
+        edits, answers, t("b_sheets"), _items(t), attempts, t("b_results"), t("b_practised"), EDITED_AT)
+
+
+EDITED_AT = "2024-06-01 00:00:00"
+RECORDED_EDITS = f"""{EDIT_SQL}, told AS (SELECT v.attempt_id, CASE WHEN v.attempt_id % 13 = 0 THEN 'sheet_not_found'
+    WHEN s.generation_status <> 'completed' THEN 'sheet_not_ready' ELSE v.verdict END AS verdict
+    FROM verdicts v JOIN b_attempts a ON a.id = v.attempt_id JOIN b_sheets s ON s.id = a.sheet_id),
+  taken AS (SELECT attempt_id FROM told WHERE verdict = 'accepted')"""
+
+
 def _reconciled(t):
     doomed = t("b_sheets").filter("student_id % 2 = 0").select("id")
     return pr.reconcile_deleted_sheets(
@@ -176,6 +194,33 @@ CASES = {
           FROM b_results r JOIN verdicts v ON v.attempt_id = r.attempt_id AND v.verdict = 'accepted'
           JOIN flipped f ON f.attempt_id = r.attempt_id AND f.sheet_item_id = r.sheet_item_id GROUP BY 1, 2""",
     ),
+    "c12_recorded_verdicts": Case(
+        lambda t: _recorded_edits(t)["verdicts"], f"WITH {RECORDED_EDITS} SELECT * FROM told"),
+    "c12_edit_attempts": Case(
+        lambda t: _recorded_edits(t)["attempts"].select("id", "attempt_no", "correct_count", "total_count", "accuracy", "updated_at"),
+        f"""WITH {RECORDED_EDITS} SELECT a.id, a.attempt_no, CAST(count(*) FILTER (WHERE f.is_correct) AS INT) AS correct_count, CAST(count(*) AS INT) AS total_count,
+          CAST(round(count(*) FILTER (WHERE f.is_correct) / count(*), 4) AS DECIMAL(5,4)) AS accuracy, TIMESTAMP '{EDITED_AT}' AS updated_at
+          FROM b_attempts a JOIN taken k ON k.attempt_id = a.id JOIN flipped f ON f.attempt_id = a.id GROUP BY a.id, a.attempt_no""",
+    ),
+    "c12_edit_results": Case(
+        lambda t: _recorded_edits(t)["results"].select("id", "attempt_id", "sheet_item_id", "wrong_question_id", "is_correct"),
+        f"""WITH {RECORDED_EDITS} SELECT r.id, r.attempt_id, r.sheet_item_id, r.wrong_question_id, f.is_correct FROM b_results r
+          JOIN taken k ON k.attempt_id = r.attempt_id JOIN flipped f ON f.attempt_id = r.attempt_id AND f.sheet_item_id = r.sheet_item_id""",
+    ),
+    "c12_edit_updates": Case(
+        lambda t: _recorded_edits(t)["updates"],
+        f"""WITH {RECORDED_EDITS}, latest AS ({LATEST}), g AS (SELECT r.attempt_id, coalesce(r.wrong_question_id, r.snapshot_source_id) AS q,
+             bool_and(f.is_correct) AS ok, CAST(bool_and(r.is_correct) AS INT) - CAST(bool_and(f.is_correct) AS INT) AS delta
+             FROM b_results r JOIN taken k ON k.attempt_id = r.attempt_id JOIN flipped f ON f.attempt_id = r.attempt_id AND f.sheet_item_id = r.sheet_item_id GROUP BY 1, 2),
+           x AS (SELECT g.q, a.student_id, g.ok, g.delta, a.completed_at, coalesce(a.id = l.latest_attempt_id, false) AS is_last FROM g
+             JOIN b_attempts a ON a.id = g.attempt_id LEFT JOIN latest l ON l.question_id = g.q WHERE g.q IS NOT NULL)
+           SELECT p.id, CAST(greatest(1, CASE WHEN p.wrong_count = 0 THEN 1 ELSE p.wrong_count END + sum(x.delta)) AS INT) AS wrong_count,
+             CASE WHEN bool_or(x.is_last) THEN CASE WHEN bool_or(x.is_last AND x.ok) THEN 'mastered' ELSE 'learning' END ELSE p.mastery_status END AS mastery_status,
+             CASE WHEN bool_or(x.is_last) THEN max(x.completed_at) FILTER (WHERE x.is_last AND x.ok) ELSE p.mastered_at END AS mastered_at,
+             CASE WHEN bool_or(x.is_last) THEN max(x.completed_at) FILTER (WHERE x.is_last) ELSE p.last_practiced_at END AS last_practiced_at
+           FROM b_practised p JOIN x ON x.q = p.id AND x.student_id = p.student_id WHERE p.deleted_at IS NULL
+           GROUP BY p.id, p.wrong_count, p.mastery_status, p.mastered_at, p.last_practiced_at""",
+    ),
     "c13_question_history": Case(
         lambda t: pr.question_history(t("b_attempts"), t("b_results")), _history_sql("b_attempts")
     ),

@@ -1,4 +1,4 @@
-"""Recording arriving attempts: the whole chain from duplicates to mastery."""
+"""Recording and editing attempts: the whole chain from duplicates to mastery."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relearn.functions.ranks import pin
+from relearn.functions.times import moment
 from relearn.operators import practice as pr
 from relearn.operators.library import practice_ready
+from relearn.sources.changes import overlay
 
 ATTEMPT_COLUMNS = [
     "id", "sheet_id", "student_id", "attempt_no", "idempotency_key", "correct_count", "total_count",
@@ -34,6 +36,11 @@ def record_attempts(
     fields of questions, to be laid over the table.
     """
     ready = practice_ready(sheets).select(F.col("id").alias("sheet_id"), "student_id", "ready")
+    # Only items that the batch can touch are counted and looked up; answers may name foreign ones.
+    named = answers.select(F.col("sheet_item_id").alias("id")).distinct()
+    ours = new.select("sheet_id").distinct().withColumn("_ours", F.lit(True))
+    items = items.join(named.withColumn("_named", F.lit(True)), "id", "left").join(ours, "sheet_id", "left")
+    items = pin(items.filter("_ours OR _named").drop("_ours", "_named"))
     placed = new.join(ready, ["sheet_id", "student_id"], "left")
     coverage = pr.answer_coverage(new, items, answers).select(F.col("attempt_id").alias("id"), F.col("verdict").alias("_coverage"))
     problem = (
@@ -100,3 +107,66 @@ def record_attempts(
         "results": new_results,
         "updates": updates,
     }
+
+
+def record_edits(
+    edits: DataFrame,
+    answers: DataFrame,
+    sheets: DataFrame,
+    items: DataFrame,
+    attempts: DataFrame,
+    results: DataFrame,
+    questions: DataFrame,
+    now,
+) -> dict[str, DataFrame]:
+    """Replace the answers of stored attempts: ``edits``(attempt_id, student_id, updated_at as seen).
+
+    A verdict per edit, in order: sheet_not_found unless sheet and attempt are the student's own,
+    sheet_not_ready, then those of ``edit_attempts``; an unknown attempt is a conflict. Accepted ones
+    give ``attempts`` (new summaries, updated at ``now``), ``results`` (their rows with the new
+    answers) and ``updates`` of questions: counts move from the old verdict to the new one, mastery
+    only where the attempt is the question's latest overall.
+    """
+    edits = edits.select("attempt_id", "student_id", "updated_at").distinct()
+    home = attempts.select(F.col("id").alias("attempt_id"), "sheet_id", F.col("student_id").alias("_by"))
+    ready = practice_ready(sheets).select(F.col("id").alias("sheet_id"), F.col("student_id").alias("_owner"), "ready")
+    placed = edits.join(home, "attempt_id", "left").join(ready, "sheet_id", "left")
+    own = F.coalesce((F.col("_by") == F.col("student_id")) & (F.col("_owner") == F.col("student_id")), F.lit(False))
+    problem = (
+        F.when(F.col("_by").isNull(), "conflict")
+        .when(~own, "sheet_not_found")
+        .when(~F.col("ready"), "sheet_not_ready")
+    )
+    judged = pin(placed.select("attempt_id", "updated_at", problem.alias("_problem")))
+    asked = judged.filter("_problem IS NULL").drop("_problem").distinct()
+    touched = asked.select("attempt_id")
+    # Only the sheets at hand are counted, so the cost follows the edits and not the history.
+    sheet_ids = home.join(touched, "attempt_id", "left_semi").select("sheet_id").distinct()
+    near_items = items.join(sheet_ids, "sheet_id", "left_semi")
+    near_attempts = attempts.join(sheet_ids, "sheet_id", "left_semi")
+    held = results.join(touched, "attempt_id", "left_semi")
+    given = answers.join(touched, "attempt_id", "left_semi")
+    out = pr.edit_attempts(near_attempts, near_items, held, asked, given)
+    refused = judged.filter("_problem IS NOT NULL").select("attempt_id", F.col("_problem").alias("verdict"))
+    accepted = out["verdicts"].filter("verdict = 'accepted'").select("attempt_id")
+
+    summary = out["summaries"].withColumnRenamed("attempt_id", "id").withColumns(
+        {"correct_count": F.col("correct_count").cast("int"), "total_count": F.col("total_count").cast("int"), "updated_at": moment(now)}
+    )
+    changed = near_attempts.join(accepted.withColumnRenamed("attempt_id", "id"), "id", "left_semi")
+    changed = pin(overlay(changed, summary))
+    right = given.select("attempt_id", "sheet_item_id", F.col("is_correct").alias("_right"))
+    new_results = held.join(right.join(accepted, "attempt_id", "left_semi"), ["attempt_id", "sheet_item_id"])
+    new_results = new_results.withColumn("is_correct", F.col("_right")).select(*results.columns)
+
+    groups = pin(out["groups"])
+    questioned = groups.select(F.col("source_question_id").alias("wrong_question_id")).distinct()
+    past = results.select("attempt_id", "wrong_question_id").join(questioned, "wrong_question_id", "left_semi")
+    past_attempts = attempts.join(past.select(F.col("attempt_id").alias("id")).distinct(), "id", "left_semi")
+    latest = pr.latest_attempt_by_question(past_attempts, past)
+    return {
+        "verdicts": out["verdicts"].unionByName(refused),
+        "attempts": changed,
+        "results": new_results,
+        "updates": pr.mastery_state(questions, changed, groups, latest),
+    }
