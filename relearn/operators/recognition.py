@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relearn.functions.ranks import page_rows
+from relearn.functions.ranks import page_rows, pin
 from relearn.functions.text import folded, is_blank, sequence_ratio, strip
 from relearn.sources.responses import EMPTY, JSON_INVALID, variant_kind
 
@@ -598,6 +598,9 @@ def review_status(
 
 # --- reading the crop again -------------------------------------------------------------------
 
+#: Letters of English text from common to rare.
+COMMON_FIRST = "etaoinshrdlcumwfgypbvkjxqz"
+
 
 def _needed_overlap(length: Column, ratio: float) -> Column:
     """Fewest shared characters a text of this length needs to reach ``ratio`` with any partner."""
@@ -608,9 +611,11 @@ def _lead_characters(text: Column, ratio: float) -> Column:
     """Characters of which one at least is shared by every text that can reach ``ratio``.
 
     Ordering both texts' characters the same way, two texts that share enough of them share
-    one among the first length - needed + 1.
+    one among the first length - needed + 1. The order puts rare characters first, so that few
+    texts meet on each; common letters are replaced by their place, which orders them last.
     """
-    ordered = F.sort_array(F.array_remove(F.split(text, ""), ""), asc=False)
+    by_rarity = F.translate(text, COMMON_FIRST, "".join(chr(i + 1) for i in range(len(COMMON_FIRST))))
+    ordered = F.sort_array(F.array_remove(F.split(by_rarity, ""), ""), asc=False)
     keep = F.length(text) - _needed_overlap(F.length(text), ratio) + 1
     return F.array_distinct(F.slice(ordered, F.lit(1), F.greatest(keep, F.lit(1))))
 
@@ -639,8 +644,9 @@ def ocr_verdict(lines: DataFrame, items: DataFrame, rules: Thresholds = Threshol
     )
     texts = F.array(*[F.col(c) for c in ("prompt_text", "raw_text", "normalized_text", "answer") if c in items.columns])
     candidates = items.select("image_id", "idx", F.explode(texts).alias("_text")).filter("_text <> ''")
-    read = _variants(usable, "text", target)
-    known = _variants(candidates, "_text", ["image_id", "idx"])
+    # Both are narrow and read several times below, so texts are folded once; calling this runs jobs.
+    read = pin(_variants(usable, "text", target))
+    known = pin(_variants(candidates, "_text", ["image_id", "idx"]))
 
     # Every line but the first adds its three-character separator at least, so these lines fill the summary.
     enough = SUMMARY_CHARACTERS // 3 + 2
@@ -761,10 +767,11 @@ def drop_duplicate_candidates(candidates: DataFrame) -> DataFrame:
     for name, source in zip(identity, ("instruction", "prompt_text", "ocr_text", "ocr_answer")):
         rows = rows.withColumn(name, folded(F.col(source), "identity"))
     rows = rows.withColumn("_type", F.coalesce("question_type", F.lit("")))
-    collected = rows.filter("collection_status = 'collected'").select("image_id", *identity).distinct()
+    # One pass over the folded rows; only equal items of one image meet.
+    alike = Window.partitionBy("image_id", *identity)
+    rows = rows.withColumn("_repeats", F.max(F.col("collection_status") == "collected").over(alike))
     weak = F.col("collection_status").isin("pending_review", "ignored")
-    repeated = rows.filter(weak).join(collected, ["image_id", *identity], "left_anti")
-    return rows.filter(~weak).unionByName(repeated.select(*rows.columns)).drop(*identity)
+    return rows.filter(~(F.coalesce(weak, F.lit(False)) & F.coalesce("_repeats", F.lit(False)))).drop(*identity, "_repeats")
 
 
 def persist_filter(candidates: DataFrame) -> DataFrame:
