@@ -431,32 +431,51 @@ def _expanded(low: float, high: float, size: int, expansion: float) -> tuple[int
     return max(0, int(np.floor(first))), min(size, int(np.ceil(last)))
 
 
+def _mask_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        masks = []
+        for height, width, channels, data in zip(batch["height"], batch["width"], batch["channels"], batch["pixels"]):
+            hit = np.zeros(height * width, dtype=bool)
+            if channels >= 3:
+                pixels = np.frombuffer(data, dtype=np.uint8).reshape(height * width, channels)
+                blue, green, full = (pixels[:, c].astype(np.int32) for c in range(3))
+                hit = (
+                    (full >= RED_FLOOR)
+                    & (full - green >= RED_MARGIN)
+                    & (full - blue >= RED_MARGIN)
+                    & (full >= green * RED_RATIO)
+                    & (full >= blue * RED_RATIO)
+                )
+            masks.append(np.packbits(hit).tobytes())
+        yield batch[["image_id", "height", "width"]].assign(mask=masks)
+
+
+def red_masks(pixels: DataFrame) -> DataFrame:
+    """One bit per pixel, set where it is red, of the readable images: image_id, height, width, mask.
+
+    ``pixels``(image_id, height, width, channels, pixels BGR, readable). This runs right on the scan, so
+    what travels to the boxes afterwards is a 24th of the pixels.
+    """
+    key = pixels.schema["image_id"].dataType.simpleString()
+    readable = pixels.filter("readable").select("image_id", "height", "width", "channels", "pixels")
+    return readable.mapInPandas(_mask_batch, f"image_id {key}, height int, width int, mask binary")
+
+
 def _count_red(expansion: float):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for image_id, height, width, channels, data, boxes in zip(
-                batch["image_id"], batch["height"], batch["width"], batch["channels"], batch["pixels"], batch["boxes"]
+            for image_id, height, width, mask, boxes in zip(
+                batch["image_id"], batch["height"], batch["width"], batch["mask"], batch["boxes"]
             ):
-                pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+                red = np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=height * width).reshape(height, width)
                 for box in boxes:
                     left, right = _expanded(box["l"], box["r"], width, expansion)
                     top, bottom = _expanded(box["t"], box["b"], height, expansion)
-                    area = pixels[top:bottom, left:right]
-                    red = 0
-                    if channels >= 3:
-                        blue, green, full = (area[..., c].astype(np.int32) for c in range(3))
-                        hit = (
-                            (full >= RED_FLOOR)
-                            & (full - green >= RED_MARGIN)
-                            & (full - blue >= RED_MARGIN)
-                            & (full >= green * RED_RATIO)
-                            & (full >= blue * RED_RATIO)
-                        )
-                        red = int(hit.sum())
+                    area = red[top:bottom, left:right]
                     rows.append(
-                        (image_id, box["l"], box["t"], box["r"], box["b"], left, top, right, bottom, red,
-                         int(area.shape[0] * area.shape[1]))
+                        (image_id, box["l"], box["t"], box["r"], box["b"], left, top, right, bottom,
+                         int(area.sum(dtype=np.int64)), int(area.size))
                     )
             yield pd.DataFrame(
                 rows,
@@ -470,11 +489,12 @@ def _count_red(expansion: float):
 def count_red_pixels(pixels: DataFrame, boxes: DataFrame, expansion: float) -> DataFrame:
     """Red and all pixels inside each distinct box, enlarged by ``expansion``.
 
-    ``pixels``(image_id, height, width, channels, pixels BGR, readable). An image travels once
-    per pack of boxes: equal boxes are merged first, and the boxes of a crowded image are
-    hashed into packs of about BOXES_PER_ROW, so no row or task holds them all.
+    ``pixels`` are images or their ``red_masks``. Equal boxes are merged first, and the boxes of a
+    crowded image are hashed into packs of about BOXES_PER_ROW. A mask is repeated once per pack and
+    meets it by (image, pack), so no row or task holds all boxes of an image.
     """
     key = boxes.schema["image_id"].dataType.simpleString()
+    masks = pixels if "mask" in pixels.columns else red_masks(pixels)
     distinct = boxes.select("image_id", *[F.col(c).cast("double") for c in "ltrb"]).distinct()
     crowd = distinct.groupBy("image_id").agg(F.ceil(F.count("*") / F.lit(BOXES_PER_ROW)).alias("_packs"))
     packs = (
@@ -485,8 +505,10 @@ def count_red_pixels(pixels: DataFrame, boxes: DataFrame, expansion: float) -> D
         .groupBy("image_id", "_pack")
         .agg(F.collect_list(F.struct("l", "t", "r", "b")).alias("boxes"))
     )
-    readable = pixels.filter("readable").select("image_id", "height", "width", "channels", "pixels")
-    return packs.join(readable, "image_id").drop("_pack").mapInPandas(
+    copies = masks.join(crowd, "image_id").withColumn("_pack", F.explode(F.sequence(F.lit(0), F.col("_packs") - 1))).drop("_packs")
+    # A partitioning by image alone would satisfy the join below and gather the packs again.
+    copies = copies.repartition("image_id", "_pack")
+    return packs.join(copies, ["image_id", "_pack"]).drop("_pack").mapInPandas(
         _count_red(expansion), BOX_EVIDENCE.format(key=key)
     )
 

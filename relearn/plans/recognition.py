@@ -33,8 +33,9 @@ def recognize(
     mark's reliability is not. Steps that several later ones read are checkpointed, so the
     text and pixel work is done once; calling this therefore runs jobs.
     """
-    # Pixels are read once: everything below starts from this small result.
-    evidence = pin(rec.red_evidence(pixels, marks, rules))
+    # Pixels are read once, as one-bit masks; give the pixels of the images at hand only.
+    masks = pin(rec.red_masks(pixels))
+    evidence = pin(rec.red_evidence(masks, marks, rules))
     valid = evidence.filter("accepted").select("image_id", "mark_id", "l", "t", "r", "b")
 
     # Images whose marks were all rejected were never localized.
@@ -52,7 +53,7 @@ def recognize(
         ),
     ).drop("prompt_text", "raw_text")
     located = pin(rec.with_geometry(seen, valid))
-    located = located.join(rec.local_red_check(pixels, located, rules), ["image_id", "idx"], "left")
+    located = located.join(rec.local_red_check(masks, located, rules), ["image_id", "idx"], "left")
     judged = pin(rec.review_status(items, located, rules))
 
     cropped = judged.filter("localization_verified").select("image_id", F.col("idx").alias("target_idx"))
