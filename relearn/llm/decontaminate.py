@@ -1,7 +1,9 @@
 """Benchmark decontamination: BM25 index of test items, block-max WAND, question and answer overlap.
 
-An item's impacts are divided by the score of the item for its own words, so a passage's score is
-the share of the item it covers. Items lie in the index by that score, so that blocks hold items of
+An item's impacts are divided by the most that a run of its words as long as a passage can score
+(the whole item, if it is no longer), so a passage's score is the share it covers of what it can
+cover. Passages overlap by half, so one of them holds half of the best run of an item copied at any
+place, however long the item. Items lie in the index by that score, so that blocks hold items of
 like impacts. Every training text is cut into overlapping passages of words; each is a query.
 Bounds by block of items rule out most passages for whole blocks at once; the rest go through
 block-max WAND, which returns all items at or above the threshold. Hits are verified by overlap of
@@ -42,6 +44,19 @@ def question_answer(text: str | None) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:] or words[-1:]
 
 
+def best_run(words: list[str], weights: dict[str, float], size: int) -> float:
+    """Largest sum of the weights of the distinct words in any ``size`` neighbouring words."""
+    if len(words) <= size:
+        return sum(weights.values())
+    inside, new, gone = Counter(words[:size]), [], []
+    for k in range(size, len(words)):
+        inside[words[k]] += 1
+        new.append(weights[words[k]] if inside[words[k]] == 1 else 0.0)
+        inside[words[k - size]] -= 1
+        gone.append(0.0 if inside[words[k - size]] else weights[words[k - size]])
+    return sum(weights[w] for w in set(words[:size])) + max(0.0, float(np.max(np.cumsum(np.array(new) - np.array(gone)))))
+
+
 @dataclass
 class Postings:
     items: list[int]
@@ -52,9 +67,11 @@ class Postings:
 
 
 class Index:
-    """Items (id, text) with global document frequencies; ``block`` postings share one bound."""
+    """Items (id, text) with global document frequencies; ``block`` postings share one bound, ``size`` is a passage's words."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, average: float, block: int = 16, ranges: int = 48):
+    def __init__(
+        self, items: list[tuple[int, str]], df: dict[str, int], n: int, average: float, block: int = 16, ranges: int = 48, size: int = 128
+    ):
         rows = []
         for item, text in items:
             words = item_words(text)
@@ -62,7 +79,7 @@ class Index:
                 norm = K1 * (1 - B + B * len(words) / max(average, 1))
                 tf = Counter(words)
                 raw = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in tf.items()}
-                rows.append((sum(raw.values()), item, text, raw))
+                rows.append((best_run(words, raw, size), item, text, raw))
         rows.sort(key=lambda r: (r[0], r[1]))
         self.ids = [r[1] for r in rows]
         split = [question_answer(r[2]) for r in rows]
@@ -166,7 +183,7 @@ def matches(index: Index, text: str | None, ids: np.ndarray, words: list[str], h
         for r in ranges.tolist():
             for item, score in block_max_wand(index, own, threshold, r * index.width, (r + 1) * index.width):
                 best, times = out.get(item, (0.0, 0))
-                out[item] = (max(best, score), times + 1)
+                out[item] = (max(best, min(score, 1.0)), times + 1)  # scattered words of a long item can weigh more than any run
     return out
 
 
@@ -193,7 +210,7 @@ def text_hits(index: Index, text: str | None, half: int, threshold: float, quest
     return out
 
 
-def benchmark_indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> list[Index]:
+def benchmark_indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES, half: int = 64) -> list[Index]:
     """Indexes that hold all items, each of bounded size, with frequencies over the whole benchmark.
 
     Rows without item_id or without words are no items; of rows with one id each is an item.
@@ -218,7 +235,7 @@ def benchmark_indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> l
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
         own = map_rows(part, work, "word string, length long").select("word").distinct().join(df, "word")
         frequencies = {r.word: r.df for r in own.collect()}
-        found.append(Index([(r.item_id, r.text) for r in part.collect()], frequencies, totals.n, average))
+        found.append(Index([(r.item_id, r.text) for r in part.collect()], frequencies, totals.n, average, size=2 * half))
     return found
 
 
@@ -228,13 +245,13 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, n_passages, question_overlap, answer_overlap of every verified hit.
 
-    Texts that are null, empty or without words have no hit; an empty benchmark gives no row.
+    Items may have any length. Texts that are null, empty or without words have no hit; an empty benchmark gives no row.
     Repeated rows give repeated hits. Other columns of either table are not read.
     """
     schema = "doc_id long, item_id long, score double, n_passages long, question_overlap double, answer_overlap double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark, out = docs.sparkSession, None
-    for index in benchmark_indexes(benchmark, index_bytes):
+    for index in benchmark_indexes(benchmark, index_bytes, half):
         sent = spark.sparkContext.broadcast(index)  # at most index_bytes of item texts
 
         def work(batch: pa.RecordBatch, index: Index) -> dict:
@@ -254,7 +271,7 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of ``docs`` without a verified hit; same columns."""
     schema = schema_text(docs)
-    for index in benchmark_indexes(benchmark, index_bytes):
+    for index in benchmark_indexes(benchmark, index_bytes, half):
         sent = docs.sparkSession.sparkContext.broadcast(index)  # at most index_bytes of item texts
 
         def work(batch: pa.RecordBatch, index: Index) -> dict:

@@ -184,6 +184,27 @@ def test_decontamination_finds_leaks_only(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = random.Random(16)
+    lengths = [20, 128, 129, 192, 256, 300, 400, 700, 1000, 2000]
+    plain = [(i, f"{words(rng, n - 6)}. {words(rng, 6)}.") for i, n in enumerate(lengths)]
+    # All weight in one place, and a few words over and over.
+    plain += [(20, "so it is " * 150 + words(rng, 40) + " so it is" * 150), (21, " ".join(rng.choices(words(rng, 50).split(), k=600)))]
+    rows = [(100 * i + shift, f"{words(rng, shift)} {t} {words(rng, 90)}", "en", "s") for i, t in plain for shift in (0, 1, 31, 32, 63)]
+    rows += [(9000 + i, words(rng, 3000), "en", "s") for i in range(3)]
+    rows += [(9100, " ".join(plain[9][1].split()[:600]), "en", "s")]  # less than half of an item
+    docs, bench = frame(spark, rows), spark.createDataFrame(plain, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(100 * i + shift, i) for i, _ in plain for shift in (0, 1, 31, 32, 63)}
+    assert all(0.5 - 1e-9 <= r.score <= 1 for r in found)
+    assert decontaminate.without_leaks(docs, bench).count() == 4
+    item = rng.choices("abcdefghijklmnop", k=60)
+    weights = {w: rng.random() for w in item}
+    for size in (1, 2, 7, 59, 60, 99):
+        slow = max(sum(weights[w] for w in set(item[k : k + size])) for k in range(max(1, 60 - size + 1)))
+        assert abs(decontaminate.best_run(item, weights, size) - slow) < 1e-9
+
+
 def test_quality_counts_and_fences(spark):
     rng = random.Random(8)
     rows = [(i, "\n".join(words(rng, 12) for _ in range(rng.randint(1, 6))), rng.choice(["en", None]), rng.choice("xyz")) for i in range(300)]
