@@ -9,8 +9,10 @@ share at least 2 + n/16 prefix tokens.
   these, prefixes are taken anew from whole sets, rarest token first. Their frequent tokens are
   dealt into g classes by hash, with g below the number of common tokens, so two of the common ones
   fall into one class: the key is that combination of two tokens.
-* Crowded groups are first joined into components by a few exact checks for each set. What lies
-  outside a crowd's largest component is compared with the whole crowd in blocks, exactly.
+* Crowded groups are first joined into components by a few exact checks for each set. For components
+  alone, what lies outside a crowd's largest component is compared with the whole crowd in blocks,
+  exactly. For all links, every two blocks of a crowd or component meet once, and tasks sum the
+  links of each set.
 
 Candidates whose shared prefix tokens rule out the threshold are dropped, the others are verified
 on whole shingle sets. No candidate is capped.
@@ -203,25 +205,34 @@ def proposals(full: DataFrame, sets: DataFrame) -> DataFrame:
 BLOCK = 128
 
 
+def side(sets: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, parts, set sizes and all tokens of a block."""
+    node, part, tokens = sets.flatten()
+    sizes = tokens.value_lengths().to_numpy(zero_copy_only=False)
+    return node.to_numpy(), part.to_numpy(), sizes, tokens.flatten().to_numpy()
+
+
+def similar_in(asked: tuple, held: tuple, percent: int) -> np.ndarray:
+    """Which sets of two blocks are similar, as a matrix."""
+    seen = np.intersect1d(asked[3], held[3])
+    table = []
+    for _, _, sizes, tokens in (asked, held):
+        row, at = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(seen, tokens)
+        hit = seen[np.minimum(at, len(seen) - 1)] == tokens if len(seen) else np.zeros(len(tokens), dtype=bool)
+        m = np.zeros((len(sizes), len(seen)), dtype=np.float32)
+        m[row[hit], at[hit]] = 1
+        table.append(m)
+    shared = np.rint(table[0] @ table[1].T).astype(np.float64)
+    return 100 * shared >= percent * (asked[2][:, None].astype(np.float64) + held[2][None, :] - shared)
+
+
 def compared(batch: pa.RecordBatch, percent: int) -> dict:
     """Similar pairs between two blocks of sets that are in different components so far."""
     links: list[tuple[int, int]] = []
-    for asked, held in zip(batch.column("asked").to_pylist(), batch.column("held").to_pylist(), strict=True):
-        sizes = [np.array([len(x["tokens"]) for x in side], dtype=np.float64) for side in (asked, held)]
-        parts = [np.array([x["part"] for x in side]) for side in (asked, held)]
-        tokens = [np.concatenate([np.array(x["tokens"], dtype=np.int64) for x in side]) for side in (asked, held)]
-        seen = np.intersect1d(*tokens)
-        table = []
-        for side, own in zip(sizes, tokens, strict=True):
-            row, at = np.repeat(np.arange(len(side)), side.astype(int)), np.searchsorted(seen, own)
-            hit = seen[np.minimum(at, len(seen) - 1)] == own if len(seen) else np.zeros(len(own), dtype=bool)
-            m = np.zeros((len(side), len(seen)), dtype=np.float32)
-            m[row[hit], at[hit]] = 1
-            table.append(m)
-        shared = np.rint(table[0] @ table[1].T).astype(np.float64)
-        fit = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
-        fit &= parts[0][:, None] != parts[1][None, :]
-        links += [(asked[i]["node"], held[j]["node"]) for i, j in np.argwhere(fit)]
+    for x, y in zip(batch.column("asked"), batch.column("held"), strict=True):
+        asked, held = side(x.values), side(y.values)
+        fit = similar_in(asked, held, percent) & (asked[1][:, None] != held[1][None, :])
+        links += [(asked[0][i], held[0][j]) for i, j in np.argwhere(fit)]
     return {"a": [x for x, _ in links], "b": [x for _, x in links]}
 
 
@@ -252,16 +263,96 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+#: Sets whose links one task counts before it passes the sums on.
+COUNTED = 200_000
+
+
+def within(rows: DataFrame, percent: int, listed: bool = False) -> DataFrame:
+    """All links within each crowd; ``rows``: crowd, node, part, tokens.
+
+    Rows (a, null, n) are links of set a, to be summed; rows (a, b, null) with a < b are links
+    between different parts or, with ``listed``, all links. Each two blocks of a crowd meet once:
+    a block meets itself and the next half of the ring of blocks.
+    """
+    sizes = sent_if_small(pin(rows.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes"))
+    placed = rows.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    held = placed.groupBy("crowd", "blocks", "block").agg(F.collect_list(F.struct("node", "part", "tokens")).alias("held"))
+    steps = F.floor(F.col("blocks") / 2) - F.expr("int(blocks % 2 = 0 AND 2 * block >= blocks)")
+    asked = held.select("crowd", "blocks", F.col("block").alias("own"), F.col("held").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), steps)).alias("step"))
+    asked = asked.select("crowd", "asked", (F.col("step") == 0).alias("same"), F.pmod(F.col("own") + F.col("step"), F.col("blocks")).alias("block"))
+    pairs = asked.join(held.select("crowd", "block", "held"), ["crowd", "block"]).select("asked", "held", "same")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        sums: dict[int, int] = {}
+
+        def out() -> pa.RecordBatch:
+            nodes, n = list(sums), list(sums.values())
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64())], schema=schema)
+
+        for batch in batches:
+            for x, y, same in zip(batch.column("asked"), batch.column("held"), batch.column("same").to_pylist(), strict=True):
+                one = side(x.values)
+                two = one if same else side(y.values)
+                fit = similar_in(one, two, percent)
+                if same:
+                    np.fill_diagonal(fit, False)
+                if not listed:
+                    for nodes, n in ((one[0], fit.sum(axis=1)), (two[0], fit.sum(axis=0)))[: 1 if same else 2]:
+                        for node, k in zip(nodes.tolist(), n.tolist(), strict=True):
+                            if k:
+                                sums[node] = sums.get(node, 0) + k
+                    fit &= one[1][:, None] != two[1][None, :]
+                i, j = np.nonzero(np.triu(fit) if same else fit)
+                if len(i):
+                    a, b = one[0][i], two[0][j]
+                    ends = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(ends, schema=schema)
+                if len(sums) > COUNTED:
+                    yield out()
+        yield out()
+
+    return pairs.mapInArrow(run, "a long, b long, n long")
+
+
 def ngram_jaccard_join(
     docs: DataFrame, words: int = 5, percent: int = 75, rare: int = 32, crowded: int = 64
 ) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, n_shingles, node) and links (a, b) between nodes whose sets are similar.
+    """Members (doc_id, n_shingles, node, n_links) and all links (a < b) between nodes whose sets are similar.
+
+    ``n_links`` counts the other sets similar to the row's own. Links within crowds are found when
+    the links are read, one row a link; counts and components need no such rows.
+    """
+    members, found, crowds, counts = joined_nodes(docs, words, percent, rare, crowded, True)
+    links = found
+    if crowds is not None:
+        links = found.union(within(crowds, percent, listed=True).select("a", "b")).distinct()
+    return members.join(counts, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+
+
+def link_counts(found: DataFrame, crowds: DataFrame | None, inside: DataFrame | None) -> DataFrame:
+    """node, n_links: the links of each node within its crowd, and those listed in ``found`` that leave it."""
+    if crowds is not None:
+        of = lambda s: crowds.select(F.col("node").alias(s), F.col("crowd").alias(f"crowd_{s}"))
+        found = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(crowd_a = crowd_b, false)")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if inside is not None:
+        ends = ends.union(inside.where("n IS NOT NULL").select("a", "n"))
+    return ends.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def joined_nodes(
+    docs: DataFrame, words: int, percent: int, rare: int, crowded: int, counted: bool
+) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Members (doc_id, n_shingles, node), links (a < b), crowds (crowd, node, part, tokens) and counts (node, n_links).
 
     A node stands for one shingle set: the smallest doc_id that has it. Where rows of one doc_id have
     several sets, all but one of these get a negative node made from the set's digest. Rows without
     doc_id keep a null node and link with nothing. Texts without words have no shingle and no node
-    but their doc_id. Links suffice for the components: within crowded groups not every pair is
-    listed. Runs jobs when called; intermediate tables go to the shared folder.
+    but their doc_id. Links suffice for the components: of those within crowds, only some are listed.
+    If ``counted``, the crowds are given whose sets were all compared with each other, and counts
+    over all links; else both are None. Runs jobs when called; intermediate tables go to the shared folder.
     """
     sketch = pin(shingle_sketch(docs, words, percent), "sketch")
     filled = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -301,17 +392,25 @@ def ngram_jaccard_join(
     wanted = pin(wanted.join(nodes, "node"), "wanted")
     sets = pin(shingle_sets(docs, wanted, words), "sets")
     links = [measured(single, sets).where(similar(percent)).select("a", "b")]
+    crowds = inside = None
     if not rich.isEmpty():
-        links += crowd_links(rich, sets, percent, rare, crowded)
+        more, crowds, inside = crowd_links(rich, sets, percent, rare, crowded, counted)
+        links += more
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
-    return members, pin(found.distinct(), "links")
+    found = pin(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    return members, found, crowds, link_counts(found, crowds, inside) if counted else None
 
 
-def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowded: int) -> list[DataFrame]:
+def crowd_links(
+    rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowded: int, counted: bool
+) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
     """Links among sets that may be similar through frequent tokens alone (``rich``: node, n, q).
 
+    If ``counted``, also the crowds and components whose sets were all compared, and what ``within``
+    found there: links listed outside these lead to other crowds.
+
     Among these, whole sets are counted and prefixes taken rarest token first, so that only sets
     made of frequent tokens by three quarters reach frequent ones. Prefixes are long enough for q
     common tokens.
@@ -341,7 +440,7 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
         combinations(full).join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")),
         "keyed",
     )
-    # Groups within one component so far need nothing more. Components stand for their nodes.
+    # Groups within one component so far need no more links for components. Components stand for their nodes.
     parts = pin(keyed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
     mixed = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("part").alias("head"), F.max("part").alias("last"))
     mixed = pin(mixed.where("head <> last"), "mixed")
@@ -358,42 +457,49 @@ def crowd_links(rich: DataFrame, sets: DataFrame, percent: int, rare: int, crowd
     # Crowded groups that share components are one crowd.
     large = parts.join(mixed.where(F.col("size") > crowded).select("key", "head"), "key")
     crowd = components(large.select(F.col("part").alias("a"), F.col("head").alias("b")).distinct())
-    rows = (
-        full.select("node").join(joined, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("part"))
-        .join(crowd.select(F.col("node").alias("part"), F.col("component").alias("crowd")), "part")
-        .join(sets, "node")
-    )
-    return [
-        linked.select("a", "b"),
-        measured(checks, sets).where(similar(percent)).select("a", "b"),
-        across(pin(rows, "crowds"), percent),
-    ]
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, rare: int = 32, crowded: int = 64) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for every row.
-
+    named = crowd.select(F.col("node").alias("part"), F.col("component").alias("crowd"))
+    placed = full.select("node").join(joined, "node", "left").select("node", "component", F.coalesce("component", "node").alias("part"))
+    links = [linked.select("a", "b"), measured(checks, sets).where(similar(percent)).select("a", "b")]
+    if not counted:
+        rows = placed.select("node", "part").join(named, "part").join(sets, "node")
+        return [*links, across(pin(rows, "crowds"), percent)], None, None
+    placed = placed.join(named, "part", "left").select("node", "part", F.coalesce("crowd", "component").alias("crowd"))
+    placed = pin(placed.where("crowd IS NOT NULL"), "placed")
+    crowds = sets.join(sent_if_small(placed), "node").select("crowd", "node", "part", "tokens")
+    inside = pin(within(crowds, percent), "inside")
+    return [*links, inside.where("b IS NOT NULL").select("a", "b")], crowds, inside
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 75, rare: int = 32, crowded: int = 64, counted: bool = True
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links for every row.
+
+    ``n_links`` is the number of other shingle sets similar to the row's own; without ``counted`` it
+    is left out and crowds are compared only as far as components need.
     Null and empty texts and texts without words have no shingle and are their own component; a row
     without doc_id has none. Rows that repeat a doc_id are returned as often as they occur. Other
     columns of ``docs`` are not read. An empty table gives no row.
     """
-    members, links = ngram_jaccard_join(docs, words, percent, rare, crowded)
+    members, links, _, counts = joined_nodes(docs, words, percent, rare, crowded, counted)
     # Rows of one doc_id are one document, whatever their texts.
     several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     several = pin(several, "several")
     none = several.isEmpty()
     if not none:
         links = links.union(members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).distinct())
-    labelled = members.join(components(links), "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
-    )
+    labelled = members.join(components(links), "node", "left")
+    more = []
+    if counts is not None:
+        labelled, more = labelled.join(counts, "node", "left"), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    labelled = labelled.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), *more)
     if none:
         return labelled
     # Made nodes are no doc_ids: name each component after its smallest one.
     labelled = pin(labelled, "labelled")
     names = labelled.groupBy("component_id").agg(F.min("doc_id").alias("name"))
-    return labelled.join(names, "component_id", "left").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+    named = labelled.join(names, "component_id", "left")
+    return named.select("doc_id", "n_shingles", F.col("name").alias("component_id"), *labelled.columns[3:])
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -401,7 +507,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
     Of rows that repeat this doc_id one stays. Rows without doc_id stay.
     """
-    near = pin(near_duplicates(docs, words, percent), "near")
+    near = pin(near_duplicates(docs, words, percent, counted=False), "near")
     late = near.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(sent_if_small(late), "doc_id", "left_anti").select(*docs.columns)
     twice = near.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -96,6 +96,37 @@ def test_ngram_join_of_crowds_and_repeats(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rare, crowded", [(32, 64), (4, 8)])
+def test_ngram_join_counts_and_lists_all_links(spark, rare, crowded):
+    rng = random.Random(13)
+    rows = []
+    for base in (words(rng, 150).split(), words(rng, 100).split()):
+        for _ in range(300):  # crowds of more than two blocks, around the threshold
+            text = list(base)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(len(base))] = f"w{rng.randrange(10**6)}"
+            rows.append((3 * len(rows), " ".join(text), "en", "s"))
+    passage = words(rng, 30)
+    rows += [(3 * len(rows) + k, passage + " " + words(rng, rng.randint(1, 20)), "en", "s") for k in range(60)]
+    rows += rows[:4] + [(8000, rows[0][1], "en", "s")] + edges(rng)
+    docs, sets = frame(spark, rows), {}
+    for i, t, *_ in rows:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if i is not None else frozenset()
+    rep = {x: min(i for i, y in sets.items() if y == x and i is not None) for x in set(sets.values()) if x}
+    pairs = set()
+    for x, a in rep.items():
+        pairs |= {(a, b) for y, b in rep.items() if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    ends = Counter(e for p in pairs for e in p)
+    want = sorted((i or -1, ends[rep[sets[i]]] if sets[i] else 0) for i, *_ in rows)
+    assert sum(ends.values()) > 5000
+    found = ngram_join.near_duplicates(docs, rare=rare, crowded=crowded)
+    assert sorted((r.doc_id or -1, r.n_links) for r in found.collect()) == want
+    members, links = ngram_join.ngram_jaccard_join(docs, rare=rare, crowded=crowded)
+    assert sorted((r.doc_id or -1, r.n_links) for r in members.collect()) == want
+    assert Counter((r.a, r.b) for r in links.collect()) == Counter(pairs)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 9)] + [(7, 7)]
     out = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
