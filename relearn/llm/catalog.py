@@ -70,7 +70,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    judged = url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+    judged = url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES, rounds=None)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

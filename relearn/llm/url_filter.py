@@ -77,11 +77,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, stay: float = 0.85) -> DataFrame:
+#: Rounds between two looks at what still changes.
+LOOK = 4
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, stay: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """Personalised PageRank of each (kind, host): kind, host, score.
 
     ``edges``: kind, source, target, n; ``seeds``: kind, host, weight. Shares of a source go to its
     targets by n. Each round pre-aggregates the shares by target; tables hold one row a host.
+    Rounds go on until none changes any score by more than ``tolerance`` of itself, so every host
+    that links reach has its score, however far; or, if given, there are just ``rounds``.
     """
     out = edges.groupBy("kind", "source").agg(F.sum("n").alias("total"))
     shares = pin(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("total")).alias("share")), "edges")
@@ -90,25 +96,36 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, stay: float =
     score = start.select("kind", "host", F.col("seed").alias("score"))
     if shares.isEmpty():  # without links every score stays where it began
         return score.withColumn("score", F.col("score") * (1 - stay))
-    for step in range(rounds):
+    step = 0
+    while rounds is None or step < rounds:
         sent = (
             score.join(shares, ["kind", "host"])
             .groupBy("kind", F.col("target").alias("host"))
             .agg((stay * F.sum(F.col("score") * F.col("share"))).alias("score"))
         )
         kept = start.select("kind", "host", ((1 - stay) * F.col("seed")).alias("score"))
-        score = sent.union(kept).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % 3 == 2 or step == rounds - 1:
-            score = pin(score, "scores")
+        step += 1
+        after = sent.union(kept)
+        if rounds is None and step % LOOK == 0:
+            both = after.withColumn("was", F.lit(0.0)).union(score.select("kind", "host", F.lit(0.0), "score"))
+            both = pin(both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "scores")
+            score = both.select("kind", "host", "score")
+            if both.where(F.abs(F.col("score") - F.col("was")) > tolerance * F.greatest("score", "was")).isEmpty():
+                break
+        else:
+            score = after.groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            if rounds is not None and (step % 3 == 0 or step == rounds):
+                score = pin(score, "scores")
     return score
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 8, stay: float = 0.85, lean: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int | None = 8, stay: float = 0.85, lean: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, trust, distrust, verdict for every row.
 
     Without a fitting rule a page is blocked if its host's distrust exceeds ``lean`` times its trust,
     else allowed; a url that is null or has no host reaches no seed and is allowed. Rows that repeat
-    are returned as often. Columns other than page_id, url and html are not read.
+    are returned as often. Links are followed over ``rounds``, or until scores stand still if it is
+    None. Columns other than page_id, url and html are not read.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))

@@ -87,6 +87,25 @@ def test_urls_against_loops(spark):
     assert {r.rule for r in url_filter.judge_urls(frame(spark, rows[:3]), []).collect()} == {None}
 
 
+def test_urls_far_from_seeds_in_the_query(spark, tmp_path):
+    # A chain of 14 links to a blocked page, one of 11 from an allowed page, and a ring of 3 that both reach.
+    hosts = {f"b{k}.net": [f"b{k + 1}.net"] for k in range(13)} | {"b13.net": ["bad.com"], "bad.com": []}
+    hosts |= {"good.org": ["g0.net"]} | {f"g{k}.net": [f"g{k + 1}.net"] for k in range(10)} | {"g10.net": ["r0.net"]}
+    hosts |= {"r0.net": ["r1.net"], "r1.net": ["r2.net", "g3.net"], "r2.net": ["r0.net", "b9.net"]}
+    own = {"bad.com": "/de/", "good.org": "/"}
+    rows = [(i, f"http://{h}{own.get(h, '/x')}", "".join(f'<a href="http://{t}/">' for t in to)) for i, (h, to) in enumerate(hosts.items())]
+    frame(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    edges = {(h, t): 1 for h, to in hosts.items() for t in to}
+    trust = slow_rank(edges, {"good.org": 1}, 400)
+    distrust = slow_rank({(b, a): n for (a, b), n in edges.items()}, {"bad.com": 1}, 400)
+    want = {h: "block" if distrust.get(h, 0) > trust.get(h, 0) else "allow" for h in hosts}
+    assert want["b0.net"] == want["b4.net"] == "block"
+    assert {r.host: r.verdict for r in catalog.op7_url_filter(spark, str(tmp_path)).collect()} == want | {"bad.com": "block", "good.org": "allow"}
+    for r in url_filter.judge_urls(frame(spark, rows), catalog.URL_RULES, rounds=None).collect():
+        for got, true in ((r.trust, trust.get(r.host, 0)), (r.distrust, distrust.get(r.host, 0))):
+            assert abs(got - true) <= 1e-7 * true, r.host
+
+
 @pytest.mark.parametrize("archive_bytes", [32_000_000, 500])
 def test_warc_round_trip(spark, archive_bytes):
     tricky = "é\r\n\r\nWARC/1.0\r\n" * 20
