@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relearn.llm import decontaminate, language, ngram_join, quality, secrets, sentence_pieces, token_counts, toxicity, url_filter, warc
+from relearn.llm import (
+    bit_clusters, conversations, decontaminate, language, ngram_join, quality, secrets, sentence_pieces, token_counts,
+    toxicity, url_filter, vector_search, warc,
+)
 from relearn.llm.common import crc_mod
 
 #: Folder of the public vocabulary files.
@@ -95,9 +98,51 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    audited = conversations.audited_conversations(conversations.damaged_turns(turns))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    found = every.join(audited, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return found.select(F.col("id").alias("conv_id"), *numbers, *texts)
+
+
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.top_inner_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_bit_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_clusters.cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of op13 one after the other: (id, i, x) are components, c holds the centroids of a round."""
+    steps = [
+        """s AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """p AS MATERIALIZED (SELECT vec_id AS id, i, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM s, range(1, 65) AS r(i))""",
+        f"""h AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM s QUALIFY c < {k})""",
+        """c0 AS MATERIALIZED (SELECT c, i, x FROM h JOIN p ON id = vec_id)""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"d{n} AS (SELECT p.id, c.c, sum((p.x - c.x) * (p.x - c.x)) AS d FROM p JOIN c{n} AS c ON p.i = c.i GROUP BY ALL)")
+        steps.append(f"a{n} AS MATERIALIZED (SELECT id, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)")
+        if n < rounds:
+            steps.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c.c, c.i, coalesce(m.x, c.x) AS x FROM c{n} AS c LEFT JOIN"
+                f" (SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{n} JOIN p USING (id) GROUP BY ALL) AS m ON m.c = c.c AND m.i = c.i)"
+            )
+    steps.append(f"g AS (SELECT c, sha256(string_agg(CAST(x AS BIGINT), ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(steps)}
+        SELECT id AS vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+        FROM a{rounds} JOIN g USING (c)"""
+
+
 QUERIES = [
     op1_toxicity, op2_decontamination, op3_ngram_jaccard, op4_language, op5_quality,
     op6_token_counts, op7_url_filter, op8_warc, op9_sentencepiece, op10_secrets,
+    op11_conversation_repair, op12_exact_top_k, op13_bit_clusters,
 ]
 
 SQL = {
@@ -109,6 +154,18 @@ SQL = {
                CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
     """,
+    "op12_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v AS q, v AS c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
+    "op13_bit_clusters": cluster_sql(),
 }
 
 
