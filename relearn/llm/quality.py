@@ -1,22 +1,33 @@
 """Quality rules with thresholds learned per language and source, in DataFrame functions only.
 
-Quantile sketches (KLL) of each metric are built per (lang, source), merged into one per lang and one
-over all, and turned into upper fences: the upper quartile plus a multiple of the quartile distance,
-never below a floor. Groups with few documents use their language's fences, small languages those
-of all documents. Documents are then joined with the fences of their group.
+The quantile sketch of a metric is a histogram of logarithmic bins, two per cent wide, beside a count
+of zeros: one row a bin, merged by adding counts, so partial sums, merges and reruns give the same
+numbers. Sketches are kept per (lang, source) and merged into one per lang and one over all. Texts
+that fail the base rules are not in them.
+
+A fence comes from the quartiles of the values above zero and the share z of zeros. On the
+logarithmic scale the upper one lies ``reach`` quartile distances above the upper quartile if no value
+is zero, at the median if almost all are, and in between in proportion to z: having any of what most
+texts have none of is the outlier. The lower fence of metrics with two sides is the mirror image.
+Fences of a group lean towards those of its language, and these towards those of all texts, by the
+weight of its values against ``lean`` more; a small group has nearly its language's fences. Documents
+are then joined with the fences of their group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relearn.llm.common import pin
+from relearn.llm.common import pin, sent_if_small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]"
-#: Fence = max(floor, q75 + reach * (q75 - q25)). A floor holds where most texts have none of what is measured.
-FLOORS = {"symbol_share": 0.03, "dup_line_share": 0.30, "repeat_share": 0.25, "word_length": 0.0}
+#: Metrics, and whether too little counts against a text as well.
+METRICS = {"symbol_share": False, "dup_line_share": False, "repeat_share": False, "word_length": True}
+#: Width of a bin on the logarithmic scale.
+BIN = 0.02
+SKETCH = ["metric", "bin"]
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
@@ -88,52 +99,79 @@ def with_shares(metrics: DataFrame) -> DataFrame:
     )
 
 
-def fences(metrics: DataFrame, reach: float = 6.0, least: int = 200) -> DataFrame:
-    """lang, source (null for null) and one fence per metric, from sketches over all rows.
+def sketches(metrics: DataFrame) -> DataFrame:
+    """lang, source, metric, bin (null: zero), n: histograms of all texts that pass the base rules.
 
-    The sketches are partial aggregates, so a group with a third of all rows is merged, not gathered.
+    Counts are pre-aggregated, so a group with a third of all rows is merged, not gathered.
     """
-    names = list(FLOORS)
-    parts = pin(
-        metrics.where("n_words > 0").groupBy("lang", "source").agg(
-            F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(c)).alias(c) for c in names]
-        ),
-        "sketches",
-    )
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(c)).alias(c) for c in names]]
-    langs, total = parts.groupBy("lang").agg(*merged), parts.agg(*merged)
-
-    def cut(c: str) -> Column:
-        q = lambda p: F.kll_sketch_get_quantile_double(F.col(c), F.lit(p))
-        return F.greatest(F.lit(FLOORS[c]), q(0.75) + reach * (q(0.75) - q(0.25))).alias(c)
-
-    def level(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys, "n", F.struct(*[cut(c) for c in names]).alias(name))
-
-    groups = level(parts, ["lang", "source"], "own").withColumnRenamed("n", "n_own").alias("g")
-    wide = level(langs, ["lang"], "wide").withColumnRenamed("n", "n_wide").alias("w")
-    whole = total.where("n > 0").select(F.struct(*[cut(c) for c in names]).alias("x")).first()  # one number a metric
-    everything = F.struct(*[F.lit(whole.x[c] if whole else FLOORS[c]).cast("double").alias(c) for c in names])
-    joined = groups.join(wide, F.col("g.lang").eqNullSafe(F.col("w.lang")), "left")
-    chosen = joined.select(
-        F.col("g.lang").alias("lang"), F.col("g.source").alias("source"),
-        F.when(F.col("n_own") >= least, F.col("own")).when(F.col("n_wide") >= least, F.col("wide")).otherwise(everything).alias("fence"),
+    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in METRICS])
+    rows = metrics.where("NOT base_failed").select("lang", "source", F.explode(values).alias("v"))
+    place = F.when(F.col("v.x") > 0, F.ceil(F.log("v.x") / BIN).cast("int"))
+    return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_fences(counts: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """keys, metric, n (values above zero), low and high (logarithms; null without such values)."""
+    group = [*keys, "metric"]
+    order = Window.partitionBy(*group).orderBy("bin")
+    above = F.when(F.col("bin").isNotNull(), F.col("n"))
+    ranked = counts.select(*group, "bin", "n", F.sum(above).over(order).alias("upto"), F.sum(above).over(Window.partitionBy(*group)).alias("all"))
+    q = lambda p: ((F.min(F.when((F.col("bin").isNotNull()) & (F.col("upto") >= p * F.col("all")), F.col("bin"))) - 0.5) * BIN).alias(f"q{p}")
+    zeros = F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("n"))), F.lit(0))
+    found = ranked.groupBy(*group).agg(q(0.25), q(0.5), q(0.75), F.coalesce(F.max("all"), F.lit(0)).alias("n"), zeros.alias("zeros"))
+    low, mid, high = (F.col(f"`q{p}`") for p in (0.25, 0.5, 0.75))
+    z, two_sided = F.col("zeros") / (F.col("zeros") + F.col("n")), F.col("metric").isin([c for c, both in METRICS.items() if both])
+    upper = (1 - z) * (high + reach * (high - low)) + z * mid
+    lower = F.when(two_sided, (1 - z) * (low - reach * (high - low)) + z * mid)
+    return found.select(*group, "n", lower.alias("low"), upper.alias("high"))
+
+
+def fences(metrics: DataFrame, reach: float = 3.0, lean: float = 100.0) -> DataFrame:
+    """lang, source (null for null) and fence: per metric n, low and high on the metric's own scale.
+
+    A fence is null where no text of any group has a value above zero.
+    """
+    parts = pin(sketches(metrics), "sketches")
+    own = level_fences(parts, ["lang", "source"], reach)
+    merged = lambda *keys: parts.groupBy(*keys, *SKETCH).agg(F.sum("n").alias("n"))
+    langs = level_fences(merged("lang"), ["lang"], reach)
+    whole = {r.metric: r for r in level_fences(merged(), [], reach).collect()}  # one row a metric
+
+    def leaning(n: Column, mine: Column, parent: Column) -> Column:
+        weight = n / (n + lean)
+        return F.coalesce(weight * mine + (1 - weight) * parent, mine, parent)
+
+    def constant(side: str) -> Column:
+        out = F.lit(None).cast("double")
+        for c, r in whole.items():
+            out = F.when(F.col("metric") == c, F.lit(r[side])).otherwise(out)
+        return out
+
+    wide = langs.select(F.col("lang").alias("of"), "metric", *[leaning(F.col("n"), F.col(x), constant(x)).alias(f"wide_{x}") for x in ("low", "high")])
+    o, w = own.alias("o"), wide.alias("w")
+    joined = o.join(w, F.col("o.lang").eqNullSafe(F.col("w.of")) & (F.col("o.metric") == F.col("w.metric")), "left")
+    limits = joined.select(
+        "lang", "source", F.col("o.metric").alias("metric"), "n",
+        *[F.exp(leaning(F.col("n"), F.col(f"o.{x}"), F.col(f"wide_{x}"))).alias(x) for x in ("low", "high")],
     )
-    return chosen
+    fence = F.struct(*[F.max(F.when(F.col("metric") == c, F.struct("n", "low", "high"))).alias(c) for c in METRICS])
+    return limits.groupBy("lang", "source").agg(fence.alias("fence"))
 
 
-def judge_quality(docs: DataFrame, reach: float = 6.0, least: int = 200) -> DataFrame:
+def judge_quality(docs: DataFrame, reach: float = 3.0, lean: float = 100.0) -> DataFrame:
     """Counts, shares, base_failed, fences and kept for every row.
 
-    kept is false for failed base rules, else true if every share lies at or below its fence. Null
-    lang or source is a group of its own. Null and empty texts have no words and fail. Columns other
+    kept is false for failed base rules, else true if every metric lies within its fences; a value on a
+    fence is within. Null lang or source is a group of its own. Null and empty texts have no words and
+    fail; texts of any length are read whole; repeated rows count as often as they occur. Columns other
     than doc_id, text, lang and source are not read; a table without rows gives no row.
     """
     metrics = pin(with_shares(base_metrics(docs)), "metrics")
-    limits = fences(metrics, reach, least)
+    limits = sent_if_small(pin(fences(metrics, reach, lean), "fences"), 100_000)  # some 200 bytes a group
     m, f = metrics.alias("m"), limits.alias("f")
     on = F.col("m.lang").eqNullSafe(F.col("f.lang")) & F.col("m.source").eqNullSafe(F.col("f.source"))
     fine = F.lit(True)
-    for c in FLOORS:
-        fine = fine & (F.col(f"m.{c}") <= F.coalesce(F.col(f"f.fence.{c}"), F.lit(FLOORS[c])))
+    for c in METRICS:
+        x, limit = F.col(f"m.{c}"), F.col(f"f.fence.{c}")
+        fine = fine & F.coalesce(x <= limit["high"], F.lit(True)) & F.coalesce(x >= limit["low"], F.lit(True))
     return m.join(f, on, "left").select("m.*", "f.fence", (~F.col("m.base_failed") & fine).alias("kept"))
