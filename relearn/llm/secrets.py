@@ -18,7 +18,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a greedy run of 24 or more is a run's whole match
 WEAK = {
     "identifier": r"""(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,}""",
-    "secret": r"\b(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{32,}={0,2}",
+    "secret": r"[A-Za-z0-9+/_-]{32,}={0,2}",  # a greedy run; one without a digit or a capital letter is dropped
     "endpoint": r"""\b(?:https?|s3|ftp|amqp|redis|mysql|postgres(?:ql)?|mongodb)://[^\s"'<>]{4,}""",
 }
 KINDS = ["assign", "access", "hex", *WEAK]
@@ -63,7 +63,9 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    return F.concat(*[spans(text, pattern, kind) for kind, pattern in WEAK.items()])
+    found = {kind: spans(text, pattern, kind) for kind, pattern in WEAK.items()}
+    found["secret"] = F.filter(found["secret"], lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Z]"))
+    return F.concat(*found.values())
 
 
 def listed(found: Column) -> Column:
