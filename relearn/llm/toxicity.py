@@ -11,6 +11,8 @@ into a score by a logistic curve fitted on the same sample.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,18 +26,30 @@ from relearn.llm.common import map_rows, pin
 
 # Characters read as another letter, and insults with phrases that are none.
 LOOKALIKES = str.maketrans(
-    "аеорсхуіѕјкмтнвαοεικνρτυχ" + "013457@",
-    "aeopcxyisjkmthbaoeikvptux" + "oieasta",
+    "аеорсхуіѕјкмтнвґԁһӏԛԝ" + "αβγεηικμνοπρστυχω" + "ɑɡıłøđħþ" + "01345678@",
+    "aeopcxyisjkmthbrdhlqw" + "abyenikuvonpstuxw" + "agilodhp" + "oieasgtba",
     "­​‌‍⁠﻿",
 )
+#: Signs read as letters beside letters only, so that prices and sentence ends stay as they are.
+SIGNS = {"$": "s", "!": "i", "|": "l", "+": "t", "9": "g"}
 SEED_WORDS = {"idiot": 3.0, "moron": 3.0, "scum": 3.0, "stupid": 3.0, "loser": 3.0}
 EXCEPTIONS = ("pond scum", "soap scum", "stupid question", "sore loser")
 
 WORD = re.compile(r"\w+")
 
 
+SIGN = re.compile(r"\$(?=[^\W\d_])|(?<=[^\W\d_])[!|+9](?=[^\W\d_])")
+MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
+
+
 def folded_words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower().translate(LOOKALIKES)) if text else []
+    """Words of the folded text: compatible forms and accents first, so that a folded letter never splits a word."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
+    text = SIGN.sub(lambda m: SIGNS[m.group()], text.lower().translate(LOOKALIKES))
+    return WORD.findall(text)
 
 
 @dataclass(frozen=True)
@@ -67,17 +81,25 @@ def hits(words: list[str], automaton: ahocorasick.Automaton) -> tuple[str, list[
         start = last + 1 - length
         (spared.append((start, last)) if weight is None else found.append((start, last + 1, weight)))
     if spared and found:
-        found = [x for x in found if not any(a <= x[0] < b for a, b in spared)]
+        joined: list[list[int]] = []  # phrases may overlap: disjoint stretches, in order
+        for a, b in sorted(spared):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        starts = [a for a, _ in joined]
+        before = lambda at: joined[bisect_right(starts, at) - 1] if starts[0] <= at else (0, 0)
+        found = [x for x in found if x[0] >= before(x[0])[1]]
     return line, found
 
 
-def features(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float, float]:
-    """Weight sum, each word start counted by its heaviest entry, and the same per 100 words; both as logs."""
+def features(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float, float, int]:
+    """Weight sum, each word start counted by its heaviest entry, the same per 100 words, both as logs, and how many."""
     best: dict[int, float] = {}
     for start, _, weight in hits(words, automaton)[1]:
         best[start] = max(weight, best.get(start, 0.0))
     total = sum(best.values())
-    return float(np.log1p(total)), float(np.log1p(100 * total / max(len(words), 25)))
+    return float(np.log1p(total)), float(np.log1p(100 * total / max(len(words), 25))), len(best)
 
 
 def counted(sample: DataFrame, work) -> DataFrame:
@@ -106,9 +128,13 @@ def entries(words: list[str], _=None) -> set[str]:
 
 def learn_lexicon(
     labelled: DataFrame, seeds: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS,
-    least: int = 8, odds: float = 3.0, entries_kept: int = 4096,
+    least: int = 8, odds: float = 3.0,
 ) -> Lexicon:
-    """Lexicon from ``labelled`` (text, toxic 0/1), a sample of bounded size. At most ``entries_kept`` terms."""
+    """Lexicon from ``labelled`` (text, toxic 0/1), a sample of bounded size: all terms above the odds.
+
+    Terms of equal weight and count go by length, then by letters. Without toxic or without clean texts, and
+    so on an empty sample, only the given words and phrases are known.
+    """
     sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     weights = {f" {w} ": x for w, x in (SEED_WORDS if seeds is None else seeds).items()}
@@ -117,7 +143,6 @@ def learn_lexicon(
     ratio = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     ranked = (
         counted(labelled, entries).where(F.col("toxic") >= least).withColumn("w", ratio).where(F.col("w") >= odds)
-        .orderBy(F.desc(F.col("w") + F.log("toxic")), F.length("term"), "term").limit(entries_kept)
     )
     for row in sorted(ranked.collect(), key=lambda r: (len(r.term), r.term)):
         shorter = (row.term[:n] for n in range(5, len(row.term)))
@@ -138,7 +163,7 @@ def learn_lexicon(
         return out
 
     around.start = plain.automaton
-    spared = counted(labelled, around).where("clean >= 3 AND toxic = 0").orderBy(F.desc("clean"), "term").limit(entries_kept)
+    spared = counted(labelled, around).where("clean >= 3 AND toxic = 0").orderBy(F.desc("clean"), "term")
     known = Lexicon(weights, tuple(dict.fromkeys([*exceptions, *(r.term for r in spared.collect())])))
 
     def measure(batch: pa.RecordBatch, automaton) -> dict:
@@ -160,16 +185,20 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, n_hits (matched words), score (0 to 1) for every row; null and empty texts have no hit."""
+    """doc_id, n_hits (matched words), score (0 to 1) for every row.
+
+    Null and empty texts have no hit and the score of none; texts of any length are read whole. Of entries that
+    start at one place the heaviest counts. Repeated rows give repeated rows; other columns are not read.
+    """
 
     def work(batch: pa.RecordBatch, automaton) -> dict:
         scores, counts = [], []
         a, b, c = lexicon.curve
         for text in batch.column("text").to_pylist():
             words = folded_words(text)
-            x, y = features(words, automaton)
+            x, y, n = features(words, automaton)
             scores.append(float(1 / (1 + np.exp(-np.clip(a + b * x + c * y, -30, 30)))))
-            counts.append(len({h[0] for h in hits(words, automaton)[1]}) if x else 0)
+            counts.append(n)
         return {"doc_id": batch.column("doc_id"), "n_hits": counts, "score": scores}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
