@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import pin
+from relearn.llm.common import pin, sent_if_small
 
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -119,13 +119,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, sta
     return score
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int | None = 8, stay: float = 0.85, lean: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int | None = None, stay: float = 0.85, lean: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, trust, distrust, verdict for every row.
 
     Without a fitting rule a page is blocked if its host's distrust exceeds ``lean`` times its trust,
     else allowed; a url that is null or has no host reaches no seed and is allowed. Rows that repeat
-    are returned as often. Links are followed over ``rounds``, or until scores stand still if it is
-    None. Columns other than page_id, url and html are not read.
+    are returned as often. Links are followed until scores stand still, or over ``rounds`` if given.
+    Columns other than page_id, url and html are not read.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
@@ -143,6 +143,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rounds: int | Non
     )
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     said = F.when(F.col("action").isNotNull(), F.col("action")).when(distrust > lean * trust, "block").otherwise("allow")
-    return judged.join(per_host, "host", "left").select(
+    return judged.join(sent_if_small(pin(per_host, "hosts"), 200_000), "host", "left").select(
         "page_id", "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"), said.alias("verdict")
     )
