@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a fresh local one only in local mode without that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
@@ -27,10 +27,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+ROW_GROUP_BYTES = 16 << 20
+
+
 def pin(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)  # a writer keeps a row group in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,21 +42,52 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
+#: Rows travel to Python in batches of at most so many bytes (one long text makes a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch for this session, unless it is set to something else than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+_HELD: list = []
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept from task to task in one Python worker until a task of another kind starts."""
+    if not _HELD or _HELD[0] != key:
+        let_go()
+        _HELD.extend((key, make()))
+    return _HELD[1]
+
+
+def let_go() -> None:
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def map_rows(
-    df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 512, start: Callable | None = None
-) -> DataFrame:
+    df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 512, start: Callable | None = None, hold: tuple | None = None
+) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows.
 
-    ``work`` gets a slice and returns columns by name; ``start``, if given, runs once per task and
-    its result is passed to ``work`` as a second argument.
+    ``work`` gets a slice and returns columns by name; ``start``, if given, makes a tool that is passed
+    to ``work`` as a second argument, once per task or, with a key ``hold``, once per worker. Whatever
+    a worker holds for another key goes when the task starts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     fields = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more = (start(),) if start else ()
+        if hold is None:
+            let_go()
+        more = () if start is None else (start() if hold is None else held(hold, start),)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = work(batch.slice(at, rows), *more)
@@ -68,17 +102,6 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-_HELD: list = []
-
-
-def held(key: tuple, make: Callable):
-    """``make()``, kept from task to task in one Python worker until another key is asked for."""
-    if not _HELD or _HELD[0] != key:
-        _HELD.clear()
-        _HELD.extend((key, make()))
-    return _HELD[1]
-
-
 def schema_text(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

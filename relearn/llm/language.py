@@ -12,25 +12,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import held, map_rows, schema_text
+from relearn.llm.common import map_rows, schema_text, sent_if_small
 
 DIMENSIONS = 1024
 CODES = 0x110000
 CACHED_TRIGRAMS = 30_000
+SLICE = 2048
 
 
 class Profiles:
-    """Vectors of texts; trigram vectors are kept while there are at most CACHED_TRIGRAMS."""
+    """Vectors of texts; the vectors of up to CACHED_TRIGRAMS trigrams are kept in one array."""
 
     def __init__(self, dimensions: int = DIMENSIONS) -> None:
         self.dimensions = dimensions
         self.letter = np.frombuffer(bytes(chr(i).isalpha() for i in range(CODES)), dtype=np.uint8).astype(bool)
         self.letters: dict[int, np.ndarray] = {}
+        self.vectors = np.empty((CACHED_TRIGRAMS, dimensions), dtype=np.int8)
         self.forget()
 
     def forget(self) -> None:
-        self.codes = np.empty(0, dtype=np.uint64)
-        self.vectors = np.empty((0, self.dimensions), dtype=np.int8)
+        self.codes, self.places = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)  # sorted codes, rows of ``vectors``
 
     def of_letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -53,21 +54,22 @@ class Profiles:
         return np.unique(grams, return_counts=True)
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
-        """Vectors of sorted distinct trigrams."""
+        """Vectors of sorted distinct trigrams, at most SLICE of them."""
         new = grams[~np.isin(grams, self.codes, assume_unique=True)]
         if len(new):
-            if len(self.codes) + len(new) > CACHED_TRIGRAMS:
+            if len(self.codes) + len(new) > len(self.vectors):
                 self.forget()
                 new = grams
-            mask, parts = np.uint64(0x1FFFFF), None
+            mask, n = np.uint64(0x1FFFFF), len(self.codes)
+            parts = self.vectors[n : n + len(new)]
+            parts[:] = 1
             for turn, shift in enumerate((0, 21, 42)):
                 codes, at = np.unique(new >> np.uint64(shift) & mask, return_inverse=True)
-                turned = np.stack([np.roll(self.of_letter(int(c)), turn) for c in codes])[at]
-                parts = turned if parts is None else parts * turned
+                parts *= np.stack([np.roll(self.of_letter(int(c)), turn) for c in codes])[at]
             codes = np.concatenate([self.codes, new])
             order = np.argsort(codes)
-            self.codes, self.vectors = codes[order], np.concatenate([self.vectors, parts])[order]
-        return self.vectors[np.searchsorted(self.codes, grams)]
+            self.codes, self.places = codes[order], np.concatenate([self.places, np.arange(n, n + len(new))])[order]
+        return self.vectors[self.places[np.searchsorted(self.codes, grams)]]
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
         """One unit vector a text; all zero where it has no letter."""
@@ -76,24 +78,33 @@ class Profiles:
         table = np.zeros((len(texts), len(grams)), dtype=np.float32)
         for row, (g, n) in zip(table, found, strict=True):
             row[np.searchsorted(grams, g)] = n
-        out = table @ self.bound(grams).astype(np.float32) if len(grams) else np.zeros((len(texts), self.dimensions), dtype=np.float32)
+        out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
+        for at in range(0, len(grams), SLICE):
+            out += table[:, at : at + SLICE] @ self.bound(grams[at : at + SLICE]).astype(np.float32)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-def profiles_at() -> Profiles:
-    return held(("profiles",), Profiles)
+#: The profiles that a worker keeps from task to task.
+KEPT = {"start": Profiles, "hold": ("profiles",)}
 
 
-def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 30_000, most_languages: int = 256) -> dict[str, np.ndarray]:
-    """Unit prototype by language from about ``most`` of the ``allowed`` rows at most, drawn by a hash of doc_id.
+def labelled_rows(docs: DataFrame, allowed: Column, most: int) -> DataFrame:
+    """lang and text of about ``most`` of the ``allowed`` rows of each language at most, drawn by a hash of doc_id."""
+    text = F.col("text").cast("string")
+    rows = docs.where(allowed & F.col("lang").isNotNull() & text.isNotNull())
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1_000_000.0), most * 1_000_000.0 / F.count(F.lit(1))).alias("share"))
+    drawn = rows.join(sent_if_small(shares, 100_000), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
+    return drawn.select("lang", "text")
 
-    Rows without lang or text are not used. Beyond ``most_languages`` values of lang the most
-    frequent of the sample are learned.
+
+def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 8_000) -> dict[str, np.ndarray]:
+    """Unit prototype by language from about ``most`` of its ``allowed`` rows at most.
+
+    Rows without lang or text are not used. Every language with a letter in its texts gets a prototype, 4 KB each;
+    the driver holds them all.
     """
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, most / max(rows.count(), 1))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def work(batch: pa.RecordBatch, profiles: Profiles) -> dict:
         vectors = profiles.of_texts(batch.column("text").to_pylist())
@@ -101,20 +112,16 @@ def learn_prototypes(docs: DataFrame, allowed: Column, most: int = 30_000, most_
         names = sorted(set(langs))
         return {
             "lang": names,
-            "n": [int((langs == x).sum()) for x in names],
             "sums": [vectors[langs == x].sum(axis=0).tolist() for x in names],
         }
 
-    texts = drawn.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = map_rows(texts, work, "lang string, n long, sums array<float>", rows=128, start=profiles_at)
+    sums = map_rows(labelled_rows(docs, allowed, most), work, "lang string, sums array<float>", rows=128, **KEPT)
     totals = (
-        sums.select("lang", "n", F.posexplode("sums").alias("at", "x"))
+        sums.select("lang", F.posexplode("sums").alias("at", "x"))
         .groupBy("lang", "at")
-        .agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        .agg(F.sum("x").alias("x"))
         .groupBy("lang")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"), F.max("n").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(most_languages)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
     )  # one row of DIMENSIONS numbers a language
     out = {}
     for row in totals.collect():
@@ -148,17 +155,43 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> Dat
         }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(rows, work, "doc_id long, lang_pred string, score double", rows=64, start=profiles_at)
+    return map_rows(rows, work, "doc_id long, lang_pred string, score double", rows=64, **KEPT)
+
+
+def score_floors(docs: DataFrame, allowed: Column, prototypes: dict[str, np.ndarray], most: int = 8_000, low: float = 0.001) -> dict[str, float]:
+    """Least cosine by language that counts as that language, from the texts the prototypes were learned of.
+
+    Half of the ``low`` quantile of the scores of a language's own texts, as unseen texts score less than
+    learned ones; never within 3.5 standard deviations of what unrelated vectors reach by chance.
+    """
+    rows = labelled_rows(docs, allowed, most).select(F.lit(0).cast("long").alias("doc_id"), "lang", "text")
+    names = sorted(prototypes)
+    table = np.stack([prototypes[x] for x in names]) if names else np.zeros((0, DIMENSIONS), dtype=np.float32)
+
+    def work(batch: pa.RecordBatch, profiles: Profiles) -> dict:
+        vectors, at = profiles.of_texts(batch.column("text").to_pylist()), {x: i for i, x in enumerate(names)}
+        own = [(x, float(v @ table[at[x]])) for x, v in zip(batch.column("lang").to_pylist(), vectors, strict=True) if x in at and v.any()]
+        return {"lang": [x for x, _ in own], "score": [x for _, x in own]}
+
+    scores = map_rows(rows.select("lang", "text"), work, "lang string, score double", rows=64, **KEPT)
+    found = scores.groupBy("lang").agg(F.percentile("score", low).alias("low")).collect()  # one number a language
+    chance = 3.5 / np.sqrt(DIMENSIONS)
+    return {x: chance for x in names} | {r.lang: max(0.5 * r.low, chance) for r in found}
 
 
-def in_known_language(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und``, and a cosine of ``least`` or more; same columns."""
+def in_known_language(docs: DataFrame, prototypes: dict[str, np.ndarray], floors: dict[str, float]) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: a letter, and the cosine its nearest language asks for; same columns.
+
+    Null and empty texts go; texts of any length are read whole; repeated rows stay or go together.
+    """
     names = sorted(prototypes)
     table = np.stack([prototypes[x] for x in names]) if names else np.zeros((1, DIMENSIONS), dtype=np.float32)
+    least = np.array([floors[x] for x in names] or [2.0])
 
     def work(batch: pa.RecordBatch, profiles: Profiles) -> dict:
-        best = (profiles.of_texts(batch.column("text").to_pylist()) @ table.T).max(axis=1)
-        kept = batch.filter(pa.array(best >= least))
+        cos = profiles.of_texts(batch.column("text").to_pylist()) @ table.T
+        best = cos.argmax(axis=1)
+        kept = batch.filter(pa.array(cos[np.arange(len(best)), best] >= least[best]))
         return {name: kept.column(name) for name in kept.schema.names}
 
-    return map_rows(docs, work, schema_text(docs), rows=64, start=profiles_at)
+    return map_rows(docs, work, schema_text(docs), rows=64, **KEPT)

@@ -22,10 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import held, map_rows
+from relearn.llm.common import map_rows
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
-CACHED_EDGES = 6_000_000
+#: Edges of word lattices that a worker keeps, at 16 bytes and about as much again for the words.
+CACHED_EDGES = 1_500_000
 # Constants of the splitmix64 generator.
 GAMMA, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 TURNS = np.arange(1, 4097, dtype=np.uint64) * GAMMA
@@ -110,10 +111,6 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-def pieces_at(path: str, alpha: float = 0.5) -> Pieces:
-    return held(("pieces", path, alpha), lambda: Pieces(path, alpha))
-
-
 class Grown:
     """A numpy array that grows at its end."""
 
@@ -223,10 +220,6 @@ class Lattices:
         return [np.array(own, dtype=np.int64) for own in nodes]
 
 
-def lattices_at(path: str, alpha: float) -> Lattices:
-    return held(("lattices", path, alpha), lambda: Lattices(Pieces(path, alpha)))
-
-
 def walk(lattices: Lattices, nodes: np.ndarray, row: np.ndarray, seeds: np.ndarray, early: np.ndarray):
     """Follow the largest child from each start node to the end of its word, all words in step.
 
@@ -378,7 +371,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
     return out
 
 
-def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha: float = 0.5, batch_chars: int = 400_000) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha: float = 0.5, batch_chars: int = 100_000) -> DataFrame:
     """k distinct sampled segmentations of every text, one row each.
 
     doc_id, sample (0 has the largest perturbed value), n_pieces, log_prob, perturbed, inclusion (chance
@@ -409,7 +402,7 @@ def encode_samples(docs: DataFrame, model: str, k: int = 2, seed: int = 0, alpha
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, pieces binary, round_trip boolean"
-    return map_rows(rows, work, schema, rows=256, start=lambda: lattices_at(model, alpha))
+    return map_rows(rows, work, schema, rows=256, start=lambda: Lattices(Pieces(model, alpha)), hold=("lattices", model, alpha))
 
 
 def decode_pieces(samples: DataFrame, model: str) -> DataFrame:
@@ -420,4 +413,4 @@ def decode_pieces(samples: DataFrame, model: str) -> DataFrame:
         texts = [None if p is None else pieces.decode(np.frombuffer(p, dtype=pieces.kind)) for p in packed]
         return {"doc_id": rows.column("doc_id"), "sample": rows.column("sample"), "text": texts}
 
-    return map_rows(samples.select("doc_id", "sample", "pieces"), work, "doc_id long, sample int, text string", start=lambda: pieces_at(model))
+    return map_rows(samples.select("doc_id", "sample", "pieces"), work, "doc_id long, sample int, text string", start=lambda: Pieces(model), hold=("pieces", model))

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relearn.llm.common import held, map_rows, schema_text
+from relearn.llm.common import map_rows, schema_text
 
 # Fixed value: the pre-token pattern that the byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,10 +48,6 @@ class Counter:
         return [known[p] for p in pretokens]
 
 
-def counter_at(ranks: str) -> Counter:
-    return held(("counter", ranks), lambda: Counter(ranks))
-
-
 class Tree:
     """Sums of characters, pre-tokens and tokens over leaves; node i has the children 2i and 2i + 1."""
 
@@ -155,7 +151,7 @@ def token_trees(docs: DataFrame, ranks: str, leaf: int = LEAF) -> DataFrame:
         out = {name: batch.column(name) for name in batch.schema.names}
         return out | {"leaves": [packed(t) for t in trees], "n_tokens": [int(t.sums[1, 2]) for t in trees]}
 
-    return map_rows(kept, work, f"{schema}, leaves {LEAVES}, n_tokens long", rows=256, start=lambda: counter_at(ranks))
+    return map_rows(kept, work, f"{schema}, leaves {LEAVES}, n_tokens long", rows=256, start=lambda: Counter(ranks), hold=("counter", ranks))
 
 
 def apply_edits(rows: DataFrame, ranks: str, leaf: int = LEAF) -> DataFrame:
@@ -194,7 +190,7 @@ def apply_edits(rows: DataFrame, ranks: str, leaf: int = LEAF) -> DataFrame:
         F.col("edits").cast("array<struct<at:long,gone:long,put:string>>").alias("edits"),
     )
     schema = f"doc_id long, n_tokens_before long, n_tokens long, n_pretokens long, n_reencoded long, n_applied long, n_skipped long, leaves {LEAVES}"
-    return map_rows(wanted, work, schema, rows=256, start=lambda: counter_at(ranks))
+    return map_rows(wanted, work, schema, rows=256, start=lambda: Counter(ranks), hold=("counter", ranks))
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

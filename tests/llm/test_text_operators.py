@@ -176,8 +176,18 @@ def test_language_vectors_and_held_out_accuracy(spark):
         a, b, c = (p.of_letter(ord(x)).astype(int) for x in line[k : k + 3])
         slow += np.roll(a, 2) * np.roll(b, 1) * c
     assert np.allclose(p.of_texts([text])[0], slow / np.linalg.norm(slow), atol=1e-5)
-    kept = language.in_known_language(docs, prototypes)
-    assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.05 and r.lang_pred != "und" for r in got.values())
+    floors = language.score_floors(docs, ~held, prototypes)
+    foreign = [(700 + i, words(rng, 20, "あいうえおかきくけこ"), None, "s") for i in range(100)]
+    both = docs.union(frame(spark, foreign))
+    kept = language.in_known_language(both, prototypes, floors)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.lang_pred != "und" and r.score >= floors[r.lang_pred]}
+    assert {i for i, *_ in rows[:180]} <= {r.doc_id for r in kept.collect()}
+    # Every language is learned, however rare, and each from a bounded number of texts.
+    rare = docs.union(frame(spark, [(600, "xyzzy xyzxyz yyzx", "rare", "s")]))
+    assert set(language.learn_prototypes(rare, F.lit(True), most=20)) == {"aa", "bb", "en", "ru", "rare"}
+    assert language.score_floors(docs.limit(0), F.lit(True), {}) == {} and language.in_known_language(docs, {}, {}).count() == 0
+    long = frame(spark, [(1, words(rng, 30_000, "abcde"), "aa", "s")])
+    assert language.identify_language(long, prototypes).first().lang_pred == "aa"
     assert language.identify_language(docs.limit(0), {}).count() == 0
 
 
@@ -192,7 +202,8 @@ def test_block_max_wand_finds_all_above_threshold():
         terms, threshold = [index.term[w] for w in own], rng.choice([0.1, 0.3, 0.5, 0.9])
         scores = Counter()
         for t in terms:
-            for item, x in zip(index.postings[t].items, index.postings[t].impacts, strict=True):
+            own_posts = slice(index.start[t], index.start[t + 1])
+            for item, x in zip(index.items[own_posts].tolist(), index.impacts[own_posts].tolist(), strict=True):
                 scores[item] += x
         want = {i: s for i, s in scores.items() if s >= threshold - 1e-9}
         got = dict(decontaminate.block_max_wand(index, terms, threshold))
@@ -211,6 +222,11 @@ def test_decontamination_finds_leaks_only(spark):
         assert got == {(100 + i, i) for i in range(10)}
     kept = decontaminate.without_leaks(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 10
+    # A question with its answer's words scattered far away is no leak; with the answer beside it, it is.
+    question, answer = items[4][1].split(". ")
+    far = " ".join(f"{words(rng, 50)} {w}" for w in answer.strip(".").split())
+    scattered = frame(spark, [(1, f"{question} {words(rng, 3000)} {far}", "en", "s"), (2, f"{words(rng, 900)} {question} x y z {answer}", "en", "s")])
+    assert [r.doc_id for r in decontaminate.find_leaks(scattered, bench).collect()] == [2]
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
@@ -245,7 +261,7 @@ def test_quality_counts_and_fences(spark):
         (403, " ".join(f"{w}###" for w in words(rng, 60).split()), "en", "x"), (404, "ä#ö " * 30, "en", "x"), (405, "w " * 7, "en", "x"), (406, "w " * 8, "en", "x"),
     ]
     rows += odd + edges(rng)
-    got = {r.doc_id: r for r in quality.judge_quality(frame(spark, rows), least=50).collect()}
+    got = {r.doc_id: r for r in quality.judge_quality(frame(spark, rows)).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -259,6 +275,44 @@ def test_quality_counts_and_fences(spark):
     assert not got[403].kept
     fine = [got[i].kept for i, t, *_ in rows[:300] if len(t.split()) >= 20]
     assert sum(fine) / len(fine) > 0.95
+    again = {r.doc_id: r for r in quality.judge_quality(frame(spark, rows).repartition(7)).collect()}
+    assert again == got
+    # Fences and verdicts against a loop over all values.
+    value = {
+        "symbol_share": lambda r: r.n_symbols / max(r.word_chars, 1), "dup_line_share": lambda r: r.n_dup_lines / max(r.n_lines, 1),
+        "repeat_share": lambda r: r.n_repeat_words / max(r.n_words, 1), "word_length": lambda r: r.word_chars / max(r.n_words, 1),
+    }
+
+    def slow_fence(group, metric):
+        xs = [value[metric](r) for r in group]
+        bins = sorted(math.ceil(math.log(x) / quality.BIN) for x in xs if x > 0)
+        if not bins:
+            return 0, None, None
+        low, mid, high = ((bins[math.ceil(p * len(bins)) - 1] - 0.5) * quality.BIN for p in (0.25, 0.5, 0.75))
+        z = 1 - len(bins) / len(xs)
+        lower = (1 - z) * (low - 3 * (high - low)) + z * mid if quality.METRICS[metric] else None
+        return len(bins), lower, (1 - z) * (high + 3 * (high - low)) + z * mid
+
+    def lean(n, mine, parent):
+        return parent if mine is None else mine if parent is None else (n * mine + 100 * parent) / (n + 100)
+
+    good = [r for r in got.values() if not r.base_failed]
+    for r in good:
+        fine = True
+        for metric in quality.METRICS:
+            own = slow_fence([x for x in good if (x.lang, x.source) == (r.lang, r.source)], metric)
+            wide = slow_fence([x for x in good if x.lang == r.lang], metric)
+            whole = slow_fence(good, metric)
+            for side, name in ((1, "low"), (2, "high")):
+                want = lean(own[0], own[side], lean(wide[0], wide[side], whole[side]))
+                have = r.fence[metric][name]
+                assert (want is None) == (have is None) and (want is None or math.isclose(math.exp(want), have, rel_tol=1e-9)), (metric, name)
+                if have is not None:
+                    fine &= value[metric](r) >= have if side == 1 else value[metric](r) <= have
+        assert r.kept == fine, r.doc_id
+    assert len({r.fence.word_length.high for r in good}) > 3
+    assert quality.fences(quality.with_shares(quality.base_metrics(frame(spark, rows).limit(0)))).count() == 0
+    assert quality.judge_quality(frame(spark, [(1, "word " * 40_000, "en", "s")])).first().n_words == 40_000
     assert quality.judge_quality(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -291,6 +345,14 @@ def test_secret_spans_and_links(spark):
         every = [(x.start, x.end, secrets.ROLE[x.kind]) for x in [*got[i].base, *got[i].linked]]
         for x in got[i].linked:
             assert any(r != secrets.ROLE[x.kind] and s - x.end <= 300 and x.start - e <= 300 for s, e, r in every), i
+    for r in secrets.found_spans(docs).collect():  # every weak part with a partner is linked, and no other
+        parts_of = [(x.start, x.end, secrets.ROLE[x.kind]) for x in [*r.base, *r.weak]]
+        near = lambda x: any(o != secrets.ROLE[x.kind] and s - x.end <= 300 and x.start - e <= 300 for s, e, o in parts_of)  # noqa: B023, E731
+        assert sorted((x.start, x.kind) for x in got[r.doc_id].linked) == sorted((x.start, x.kind) for x in r.weak if near(x)), r.doc_id
+    late = [f"login: carol {'a' * 70}1{'b' * 20}C z", "login: carol abcdefgh-ijklmnop_qrstuvwx-yz0123456 A-bcdefgh_ijklmnop-qrstuvwx_yz0123456"]
+    for text, n in zip(late, (1, 1), strict=True):
+        row = secrets.scan_secrets(frame(spark, [(1, f"{'long text ' * 20_000}{text}", "en", "s")])).first()
+        assert [x.kind for x in row.linked].count("secret") == n
     assert [x.kind for x in got[501].linked] == ["identifier", "secret"] and not got[500].linked and not got[502].linked
     masked = secrets.redacted(docs)
     assert masked.columns == docs.columns and masked.count() == len(rows)
@@ -346,7 +408,7 @@ def test_sentence_pieces_round_trip_and_top_k(spark):
 
 
 def test_samples_follow_the_lattice_distribution():
-    pieces = sentence_pieces.pieces_at(PIECE_MODEL)
+    pieces = sentence_pieces.Pieces(PIECE_MODEL)
     lattices = sentence_pieces.Lattices(pieces)
     text = "then"
 
