@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,7 +67,15 @@ def held(key: tuple, make: Callable):
 
 def let_go() -> None:
     _HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where the C library has a call for it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_rows(
@@ -98,6 +107,7 @@ def map_rows(
                     ],
                     schema=fields,
                 )
+        give_back()
 
     return df.mapInArrow(run, schema)
 
