@@ -7,11 +7,19 @@ from relearn.catalog import lifecycle as life
 from relearn.catalog.practice import COVERAGE, _items
 from relearn.catalog.recognition import EXACT, FLOW_IMAGES, SETTLED, responses, settle
 from relearn.catalog.sources import domain_tables
-from relearn.functions.ranks import ensure_checkpoint_dir
+from relearn.functions.ranks import ensure_checkpoint_dir, pin
 from relearn.operators.lifecycle import retry_failed_images
 from relearn.plans.grading import ATTEMPT_COLUMNS, RESULT_COLUMNS
 from relearn.plans.retention import run_retention
-from relearn.streaming.jobs import Snapshots, read_arrivals, run_available, stream_attempts, stream_recognition
+from relearn.streaming.jobs import (
+    Snapshots,
+    first_within,
+    read_arrivals,
+    run_available,
+    stream_attempts,
+    stream_recognition,
+    stream_retention,
+)
 
 NOW = "1998-12-01 00:00:00"
 
@@ -113,6 +121,24 @@ def _forever_keys(t):
     return snapshots.everything("keys")
 
 
+def _bounded_keys(t):
+    """Keys seen for the first time within a year: all rows arrive, then, in a second batch, all of them again."""
+    folder = _run_folder(t)
+    rows = t("b_attempts").select("id", "student_id", "idempotency_key", F.col("created_at").cast("timestamp").alias("at"))
+    schema = "id long, student_id long, idempotency_key string, at timestamp"
+    rows.coalesce(1).write.parquet(f"{folder}/arrivals")
+    snapshots = Snapshots(t.spark, f"{folder}/state")
+
+    def run():
+        seen = first_within(read_arrivals(t.spark, f"{folder}/arrivals", schema), ["student_id", "idempotency_key"], "at", "400 days")
+        run_available(seen, lambda df, n: snapshots.append("keys", df.drop("id", "at"), n), f"{folder}/checkpoint").awaitTermination()
+
+    run()
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    run()
+    return snapshots.everything("keys")
+
+
 def _retention_inputs(t):
     tables = domain_tables(t)
     tables["file_cleanup_jobs"] = t.sql(life.JOBS).select(
@@ -129,6 +155,28 @@ def _retention(t):
     return run_retention(tables, outcomes, "2024-01-04 00:00:00")[1]
 
 
+def _timed_retention(t):
+    """Questions and images that are left after two ticks of the same time."""
+    folder = _run_folder(t)
+    snapshots = Snapshots(t.spark, f"{folder}/state")
+    tables, outcomes = _retention_inputs(t)
+    for name, df in tables.items():
+        snapshots.write(name, df, -1)
+    outcomes = pin(outcomes)
+    ticks = t.spark.range(2).select(F.to_timestamp_ntz(F.lit("2024-01-04 00:00:00")).alias("now"))
+    ticks.repartition(2).write.parquet(f"{folder}/ticks")
+
+    def save(snapshot, counts, batch_id):
+        for name, df in snapshot.items():
+            snapshots.write(name, df, batch_id)
+
+    stream = read_arrivals(t.spark, f"{folder}/ticks", "now timestamp_ntz", files_per_batch=1)
+    stream_retention(
+        stream, lambda n: ({x: snapshots.before(x, n) for x in tables}, outcomes), save, f"{folder}/checkpoint").awaitTermination()
+    left = [snapshots.latest(x).select(F.lit(x).alias("table_name"), F.col("id").cast("string").alias("id")) for x in ("wrong_questions", "wrong_images")]
+    return left[0].unionByName(left[1])
+
+
 RETENTION_SQL = """WITH gone AS (SELECT id FROM b_accounts WHERE status = 'pending_deletion' AND deletion_due_at <= TIMESTAMP '2024-01-04 00:00:00'),
   pupils AS (SELECT id FROM b_students WHERE account_id IN (SELECT id FROM gone)),
   cut AS (SELECT id, image_id FROM b_questions WHERE coalesce(deleted_at < TIMESTAMP '2023-12-05 00:00:00', false) OR (collection_status = 'ignored' AND updated_at < TIMESTAMP '2023-12-05 00:00:00')),
@@ -142,10 +190,18 @@ RETENTION_SQL = """WITH gone AS (SELECT id FROM b_accounts WHERE status = 'pendi
   UNION ALL SELECT 'files_deleted', (SELECT count(*) FROM queued WHERE NOT skip AND ok) + (SELECT count(*) FROM old WHERE ok)
   UNION ALL SELECT 'file_failures', (SELECT count(*) FROM queued WHERE NOT skip AND NOT ok) + (SELECT count(*) FROM old WHERE NOT ok)"""
 
+LEFT_SQL = RETENTION_SQL[: RETENTION_SQL.index("queued AS")] + """done AS (SELECT 1)
+  SELECT 'wrong_questions' AS table_name, CAST(id AS VARCHAR) AS id FROM b_questions
+    WHERE id NOT IN (SELECT id FROM cut) AND (student_id IS NULL OR student_id NOT IN (SELECT id FROM pupils))
+  UNION ALL SELECT 'wrong_images', CAST(id AS VARCHAR) FROM b_images
+    WHERE id NOT IN (SELECT id FROM orphans) AND (student_id IS NULL OR student_id NOT IN (SELECT id FROM pupils))"""
+
 CASES = {
     "h1_stream_recognition": Case(_recognition, RECOGNITION_SQL),
     "h1_recognised_again": Case(lambda t: _recognition(t, again=True), AGAIN_SQL),
     "h2_stream_attempts": Case(_attempt_verdicts, ATTEMPT_SQL),
     "h2_stream_keys": Case(_forever_keys, "SELECT DISTINCT student_id, idempotency_key FROM b_attempts"),
+    "h2_bounded_keys": Case(_bounded_keys, "SELECT DISTINCT student_id, idempotency_key FROM b_attempts"),
     "h3_retention": Case(_retention, RETENTION_SQL),
+    "h3_timed_retention": Case(_timed_retention, LEFT_SQL),
 }

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relearn.functions.ranks import pin
 from relearn.plans.grading import record_attempts
+from relearn.plans.retention import run_retention
 from relearn.sources.changes import overlay
 
 
@@ -111,6 +112,49 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     )
 
 
+def first_within(arrivals: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """The first arrival of each key, remembered for ``delay`` of event time only.
+
+    The bounded form of removing duplicates: a key leaves the state once the watermark, ``delay`` behind the
+    newest ``time``, has passed ``delay`` after its own, so state grows with the keys of that span and
+    not with all keys ever seen. A repeat within the span has no effect; one that comes after it counts as
+    new, unless it is itself older than the watermark and dropped as late.
+    """
+    return arrivals.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def timer(spark: SparkSession) -> DataFrame:
+    """A stream of ticks: ``now`` in UTC, one a second; a trigger takes what has come since the last one."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.select(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("timestamp").cast("timestamp_ntz")).alias("now"))
+
+
+def stream_retention(
+    ticks: DataFrame,
+    load: Callable[[int], tuple[dict[str, DataFrame], DataFrame]],
+    save: Callable[[dict[str, DataFrame], DataFrame, int], None],
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Run retention whenever ``ticks``(now) brings a time: every ``every`` (``1 day``), or over what has come.
+
+    ``load`` gives the tables and file outcomes before a batch's number, ``save`` takes the next snapshot and the
+    counts of the run. The time is data of the batch, so a batch that is run again after a failure
+    uses the same one and writes the same rows; several ticks in one batch count as the latest.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = batch.agg(F.max("now")).first()[0]  # one time a batch
+        if now is not None:
+            tables, outcomes = load(batch_id)
+            snapshot, counts = run_retention(tables, outcomes, now)
+            save(snapshot, counts, batch_id)
+
+    if every is None:
+        return run_available(ticks, each, checkpoint)
+    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def stream_attempts(
     arrivals: DataFrame,
     split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],

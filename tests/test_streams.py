@@ -1,5 +1,8 @@
 """Replays and repeated runs must change nothing."""
 
+import time
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from relearn.catalog import streams as cs
@@ -7,7 +10,7 @@ from relearn.catalog.practice import _items
 from relearn.plans.grading import ATTEMPT_COLUMNS, RESULT_COLUMNS
 from relearn.plans.retention import run_retention
 from relearn.functions.ranks import pin
-from relearn.streaming.jobs import Snapshots, read_arrivals, stream_attempts, stream_recognition
+from relearn.streaming.jobs import Snapshots, first_within, read_arrivals, run_available, stream_attempts, stream_recognition, stream_retention, timer
 
 
 def rows_of(df):
@@ -81,3 +84,40 @@ def test_retention_run_twice(spark, tables):
         ["questions_deleted", "images_deleted", "accounts_deleted", "files_queued", "files_deleted", "file_failures"], 0)
     for name in once:
         assert rows_of(twice[name]) == rows_of(once[name]), name
+
+
+def test_bounded_duplicates_expire(spark, tmp_path):
+    schema = "k string, n int, at timestamp"
+    path, state = str(tmp_path / "in"), Snapshots(spark, str(tmp_path / "state"))
+
+    def deliver(*rows):
+        spark.createDataFrame([(k, n, datetime.fromisoformat(at)) for k, n, at in rows], schema).coalesce(1).write.mode("append").parquet(path)
+        seen = first_within(read_arrivals(spark, path, schema), ["k"], "at", "2 days")
+        run_available(seen, lambda df, n: state.append("keys", df, n), str(tmp_path / "checkpoint")).awaitTermination()
+        return sorted(r.n for r in state.everything("keys").collect())
+
+    assert deliver(("a", 1, "2024-01-01"), ("a", 1, "2024-01-01"), ("b", 2, "2024-01-01")) == [1, 2]
+    assert deliver(("a", 3, "2024-01-02"), ("c", 4, "2024-01-04")) == [1, 2, 4]  # a repeat within the delay
+    assert deliver(("d", 5, "2024-01-20")) == [1, 2, 4, 5]
+    # a's memory has expired: a new event counts again, an event older than the watermark is dropped as late.
+    assert deliver(("a", 6, "2024-01-21"), ("b", 7, "2024-01-02")) == [1, 2, 4, 5, 6]
+
+
+def test_retention_by_timer(spark, tables, tmp_path):
+    inputs, outcomes = cs._retention_inputs(tables)
+    state, runs = {k: pin(v) for k, v in inputs.items()}, []
+    outcomes = pin(outcomes.withColumn("ok", F.lit(True)))
+
+    def save(snapshot, counts, batch_id):
+        state.update({k: pin(v) for k, v in snapshot.items()})
+        runs.append({r.counter: r.n for r in counts.collect()})
+
+    query = stream_retention(timer(spark), lambda n: (dict(state), outcomes), save, str(tmp_path / "checkpoint"), every="1 second")
+    try:
+        end = time.monotonic() + 240
+        while len(runs) < 2 and query.isActive and time.monotonic() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert len(runs) >= 2 and runs[0]["questions_deleted"] > 0
+    assert set(runs[1].values()) == {0}
