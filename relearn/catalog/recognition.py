@@ -18,6 +18,25 @@ def _localizations(t):
     ).drop("mark_id").withColumn("observed_raw_text", F.lit(None).cast("string"))
 
 
+def _documents(t):
+    """One localization document an image from its rows, with a fault planted by ``image_id % 12``."""
+    k, idx = F.col("image_id") % 12, F.col("idx")
+    rows = t("b_localizations").filter(~((k == 3) & (idx == 3)))
+    rest = F.to_json(F.struct(
+        "matched", F.when(F.col("mark_id").isNull(), F.array().cast("array<int>")).otherwise(F.array("mark_id")).alias("mark_ids"),
+        F.when(F.col("l").isNotNull(), F.array("l", "t", "r", "b")).alias("bbox"), "observed_prompt_text",
+        F.when((k == 5) & (idx == 1), F.lit(1.5)).otherwise(F.col("confidence")).alias("confidence")))
+    index = F.when((k == 2) & (idx == 0), F.lit('"0"')).when(k == 4, (idx + 1).cast("string")).otherwise(idx.cast("string"))
+    item = F.concat(F.lit('{"index":'), index, F.lit(","), F.substr(rest, F.lit(2)))
+    lists = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", item.alias("item")))).alias("x"))
+    body = F.concat(F.lit('{"items":['), F.array_join(F.col("x.item"), ","), F.lit("]"), F.when(k == 1, F.lit(',"note":1')).otherwise(F.lit("")), F.lit("}"))
+    return lists.select("image_id", F.when(k == 6, F.lit("no json")).when(k == 7, F.lit('{"items":[]}')).otherwise(body).alias("payload_json"))
+
+
+def _read(t):
+    return rec.parse_localizations(_documents(t), t("b_items"), t("b_valid_marks"))
+
+
 def _items(t):
     segments = F.when(F.col("uncertain"), F.array(F.lit("?"))).otherwise(F.array().cast("array<string>"))
     return t("b_items").withColumn("uncertain_segments", segments).withColumn("normalized_text", F.lit(None).cast("string"))
@@ -207,6 +226,12 @@ def _vision_sql():
     return f"""SELECT p_partkey AS response_id, len({errors}) = 0 AS valid, array_to_string(list_slice({errors}, 1, 5), ',') AS bad_fields FROM part"""
 
 
+READ = """used AS (SELECT image_id, list_sort(list(mark_id) FILTER (WHERE mark_id IS NOT NULL)) AS used FROM b_localizations GROUP BY image_id),
+  valid AS (SELECT image_id, list_sort(list(DISTINCT mark_id)) AS marks FROM b_valid_marks GROUP BY image_id),
+  said AS (SELECT u.image_id, CASE WHEN u.image_id % 12 IN (1, 2, 5, 6, 7) THEN 'schema_invalid' WHEN u.image_id % 12 = 3 THEN 'index_count_mismatch'
+      WHEN u.image_id % 12 = 4 THEN 'index_set_mismatch' WHEN len(coalesce(used, [])) <> len(list_distinct(coalesce(used, []))) THEN 'duplicate_mark_assignment'
+      WHEN coalesce(used, []) <> coalesce(marks, []) THEN 'unassigned_mark' END AS reason FROM used u LEFT JOIN valid v ON v.image_id = u.image_id)"""
+
 CASES = {
     "d1_claimable_images": Case(
         lambda t: rec.claimable_images(t("b_images"), t("b_students"), t("b_accounts")).select("id", "student_id"),
@@ -241,6 +266,17 @@ CASES = {
            SELECT s.image_id, CASE WHEN NOT ok THEN 'schema_invalid' WHEN len(coalesce(used, [])) <> len(list_distinct(coalesce(used, []))) THEN 'duplicate_mark_assignment'
              WHEN coalesce(used, []) <> coalesce(marks, []) THEN 'unassigned_mark' END AS reason FROM sound s LEFT JOIN valid v ON v.image_id = s.image_id""",
     ),
+    "d4_parse_localizations": Case(
+        lambda t: _read(t)["verdicts"].select("image_id", "reason", F.array_join("bad_fields", ",").alias("bad_fields")),
+        f"""WITH {READ} SELECT image_id, reason, CASE image_id % 12 WHEN 1 THEN 'note' WHEN 2 THEN 'items.0.index' WHEN 5 THEN 'items.1.confidence'
+             WHEN 7 THEN 'items' ELSE '' END AS bad_fields FROM said""",
+    ),
+    "d4_parsed_rows": Case(
+        lambda t: _read(t)["localizations"].select("image_id", F.col("idx").cast("int").alias("idx"), "matched", "l", "b", "observed_prompt_text", "confidence",
+                                                   F.get("mark_ids", F.lit(0)).cast("int").alias("mark_id")),
+        f"""WITH {READ} SELECT l.image_id, idx, matched, l, b, observed_prompt_text, confidence, mark_id
+           FROM b_localizations l JOIN said s ON s.image_id = l.image_id WHERE reason IS NULL""",
+    ),
     "d5_geometry_ok": Case(
         lambda t: _located(t).select("image_id", "idx", rec.geometry_ok(0.35).alias("geometry")),
         f"WITH {LOCATED} SELECT image_id, idx, geometry FROM fits",

@@ -42,6 +42,23 @@ def _checked(t):
     return sh.validate_derivatives(_originals(t), t("b_derivatives"), 2)
 
 
+def _payloads(t):
+    """One generated document a batch from its rows, with a fault planted by ``batch_id % 10``."""
+    k, place = F.col("batch_id") % 10, F.col("source_id") % 8
+    rows = t("b_derivatives").filter(~((k == 3) & (place == 2)))
+    fields = ["instruction", "prompt_text", "question_type"]
+    planted = (place == 0) & (F.col("variant") == 0)
+    text = F.when((k == 1) & planted, F.to_json(F.struct(*fields, "answer", F.lit(1).alias("note")))).when(
+        (k == 5) & planted, F.to_json(F.struct(*fields, F.lit(7).alias("answer")))).otherwise(F.to_json(F.struct(*fields, "answer")))
+    sources = rows.groupBy("batch_id", "source_id").agg(F.sort_array(F.collect_list(F.struct("variant", text.alias("text")))).alias("v"))
+    body = F.when((k == 4) & (place == 3), F.lit("")).otherwise(F.array_join(F.col("v.text"), ","))
+    item = F.concat(F.lit('{"source_id":"'), F.col("source_id").cast("string"), F.lit('","variants":['), body, F.lit("]}"))
+    given = sources.select("batch_id", "source_id", F.when((k == 2) & (place == 1), F.concat_ws(",", item, item)).otherwise(item).alias("item"))
+    lists = given.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("source_id", "item"))).alias("x"))
+    document = F.concat(F.lit('{"items":['), F.array_join(F.col("x.item"), ","), F.lit("]}"))
+    return lists.select("batch_id", F.when(k != 6, document).alias("payload_json"))
+
+
 ORIGINALS = "(SELECT CAST(floor(p_partkey/8) AS BIGINT) AS batch_id, p_partkey AS source_id, p_type AS instruction, p_brand AS prompt_text FROM part)"
 VERDICTS = f"""texts AS (SELECT batch_id, source_id, lower(instruction || ' ' || trim(prompt_text)) AS identity, 1 AS v FROM b_derivatives
     UNION ALL SELECT batch_id, source_id, lower(instruction || ' ' || prompt_text), 0 FROM {ORIGINALS}),
@@ -107,6 +124,12 @@ CASES = {
         f"""WITH {VERDICTS} SELECT d.batch_id, d.source_id, d.variant, d.instruction || chr(10) || trim(d.prompt_text) || chr(10) || '{LINE}' AS display_text
            FROM b_derivatives d JOIN verdicts v ON v.batch_id = d.batch_id AND v.verdict = 'ok'""",
     ),
+    "e4_parse_payloads": Case(
+        lambda t: sh.parse_payloads(_originals(t), _payloads(t), 2)["verdicts"].select("batch_id", "verdict", F.array_join("bad_fields", ",").alias("bad_fields")),
+        f"""WITH {VERDICTS} SELECT batch_id, CASE batch_id % 10 WHEN 1 THEN 'invalid_fields' WHEN 2 THEN 'duplicate_source' WHEN 3 THEN 'source_mismatch'
+             WHEN 4 THEN 'count_invalid' WHEN 5 THEN 'invalid_fields' WHEN 6 THEN 'invalid_fields' ELSE verdict END AS verdict,
+             CASE batch_id % 10 WHEN 1 THEN 'items.0.variants.0.note' WHEN 5 THEN 'items.0.variants.0.answer' ELSE '' END AS bad_fields FROM verdicts""",
+    ),
     "e5_expand_sheet_items": Case(
         lambda t: sh.expand_sheet_items(*_sheet_parts(t)).select(
             "sheet_id", "wrong_question_id", "question_type", "derived_from", "question_text", "sort_order", "generation_method",

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relearn.functions import strict
 from relearn.functions.ranks import page_rows, pin
 from relearn.functions.text import folded, is_blank, sequence_ratio, strip
 from relearn.sources.responses import EMPTY, JSON_INVALID, variant_kind
@@ -141,7 +142,7 @@ def _item_errors(item: Column, text: Column, prefix: Column) -> Column:
         _, kind = get(name)
         return flag(name, (kind != "STRING") | ~F.try_variant_get(item, f"$.{name}", "string").isin(allowed))
 
-    difficulty, difficulty_kind = get("difficulty")
+    difficulty, _ = get("difficulty")
     confidence, confidence_kind = get("confidence")
     fields = F.concat(
         required_text("raw_text"),
@@ -152,7 +153,7 @@ def _item_errors(item: Column, text: Column, prefix: Column) -> Column:
         choice("subject", SUBJECTS),
         choice("question_type", QUESTION_TYPES),
         _list_errors(item, "tags", prefix),
-        flag("difficulty", difficulty.isNotNull() & (difficulty_kind != "BIGINT")),
+        strict.optional(strict.whole()).faults(difficulty, text, F.concat(prefix, F.lit("difficulty"))),
         flag("confidence", ~_number_in_unit(confidence, confidence_kind)),
         _list_errors(item, "uncertain_segments", prefix),
         _extra_keys(text, ITEM_FIELDS, prefix),
@@ -242,7 +243,7 @@ def validate_items(responses: DataFrame, payload: str = "payload_json", shown: i
 
 ITEMS_SCHEMA = (
     "items array<struct<raw_text:string,instruction:string,prompt_text:string,normalized_text:string,"
-    "answer:string,subject:string,question_type:string,tags:array<string>,difficulty:int,"
+    "answer:string,subject:string,question_type:string,tags:array<string>,difficulty:decimal(38,0),"
     "confidence:double,uncertain_segments:array<string>>>"
 )
 MARKS_SCHEMA = "error_marks array<struct<mark_id:int,mark_type:string,bbox:array<double>,confidence:double>>"
@@ -373,6 +374,70 @@ def box_area() -> Column:
     return (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))
 
 
+def _box_sound(box: Column) -> Column:
+    edges = F.try_variant_get(box, "$", "array<double>")
+    return (F.size(edges) == 4) & bbox_ok(*[F.get(edges, F.lit(i)) for i in range(4)])
+
+
+def _match_sound(item: Column) -> Column:
+    """A matched question has a box; another has neither box nor marks nor observed texts."""
+    given = lambda name: F.coalesce(strict.kind_of(F.try_variant_get(item, f"$.{name}", "variant")) != "VOID", F.lit(False))
+    matched = F.try_variant_get(item, "$.matched", "boolean")
+    marks = F.coalesce(F.size(F.try_variant_get(item, "$.mark_ids", "array<variant>")), F.lit(0))
+    return (matched == given("bbox")) & (matched | (marks <= 0) & ~given("observed_prompt_text") & ~given("observed_raw_text"))
+
+
+LOCALIZATION = strict.record(
+    {
+        "items": strict.listed(
+            strict.record(
+                {
+                    "index": strict.whole(0),
+                    "matched": strict.truth(),
+                    "mark_ids": strict.optional(strict.listed(strict.whole())),
+                    "bbox": strict.optional(strict.listed(strict.number(), rule=_box_sound), null=True),
+                    "observed_prompt_text": strict.optional(strict.text(), null=True),
+                    "observed_raw_text": strict.optional(strict.text(), null=True),
+                    "confidence": strict.number(0, 1),
+                },
+                _match_sound,
+            ),
+            least=1,
+        )
+    }
+)
+LOCALIZATION_ROWS = (
+    "items array<struct<index:bigint,matched:boolean,mark_ids:array<bigint>,bbox:array<double>,"
+    "observed_prompt_text:string,observed_raw_text:string,confidence:double>>"
+)
+
+
+def parse_localizations(
+    documents: DataFrame, items: DataFrame, marks: DataFrame, payload: str = "payload_json", shown: int = 5
+) -> dict[str, DataFrame]:
+    """Read localization documents (image_id, payload) strictly, one per image.
+
+    ``verdicts``: image_id, reason (null where the document stands) and bad_fields, the first paths of a
+    document against its shape; ``localizations``: the rows of the documents that stand, as the other
+    operators take them. ``items`` and the valid ``marks`` are those of :func:`validate_localizations`.
+    A null or unreadable document is against its shape.
+    """
+    read = documents.select("image_id", payload, strict.faults(F.col(payload), LOCALIZATION).alias("_bad"))
+    read = read.withColumn("bad_fields", F.slice("_bad", 1, shown))
+    found = F.from_json(payload, LOCALIZATION_ROWS)["items"]
+    rows = read.filter(F.size("_bad") == 0).select("image_id", F.explode(found).alias("x"))
+    edges = [F.get(F.col("x.bbox"), F.lit(i)).alias(n) for i, n in enumerate("ltrb")]
+    rows = rows.select(
+        "image_id", F.col("x.index").alias("idx"), "x.matched", F.coalesce("x.mark_ids", F.array().cast("array<bigint>")).alias("mark_ids"),
+        *edges, "x.observed_prompt_text", "x.observed_raw_text", "x.confidence",
+    )
+    checked = validate_localizations(items, rows, marks)
+    reason = F.when(F.size("bad_fields") > 0, F.lit("schema_invalid")).otherwise(F.col("reason"))
+    verdicts = read.join(checked, "image_id", "left").select("image_id", reason.alias("reason"), "bad_fields")
+    standing = verdicts.filter("reason IS NULL").select("image_id")
+    return {"verdicts": verdicts, "localizations": rows.join(standing, "image_id", "left_semi")}
+
+
 def geometry_ok(max_area: float, allow_unassigned: Column | None = None) -> Column:
     """Predicate over ``with_geometry`` rows: small enough, and all assigned marks centred inside.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relearn.functions import strict
 from relearn.functions.ranks import HOT_ROWS, rank_rows
 from relearn.functions.text import casefold_words, is_blank, strip
 from relearn.functions.times import whole_seconds_between
@@ -168,6 +169,62 @@ def validate_derivatives(requested: DataFrame, payloads: DataFrame, count: int)
     return {"verdicts": verdicts, "variants": good.withColumn("display_text", text)}
 
 
+VARIANT = strict.record(
+    {
+        "instruction": strict.text(blank=False),
+        "prompt_text": strict.text(blank=False),
+        "question_type": strict.text(choices=QUESTION_TYPES),
+        "answer": strict.text(blank=False),
+    }
+)
+PAYLOAD = strict.record({"items": strict.listed(strict.record({"source_id": strict.text(), "variants": strict.listed(VARIANT)}))})
+PAYLOAD_ROWS = (
+    "items array<struct<source_id:string,variants:array<struct<instruction:string,prompt_text:string,"
+    "question_type:string,answer:string>>>>"
+)
+
+
+def parse_payloads(requested: DataFrame, documents: DataFrame, count: int, payload: str = "payload_json", shown: int = 5) -> dict[str, DataFrame]:
+    """Read generated documents (batch_id, payload) strictly and check them against what was requested.
+
+    ``verdicts``: batch_id, verdict and bad_fields. A batch fails as a whole, by the first of
+    invalid_fields, duplicate_source (a source returned twice), source_mismatch, count_invalid and
+    duplicate_question. ``variants``: rows of the good batches, numbered as they stand. ``requested`` is that of
+    :func:`validate_derivatives`; its source ids are compared as texts.
+    """
+    read = documents.select("batch_id", payload, strict.faults(F.col(payload), PAYLOAD).alias("_bad"))
+    read = read.withColumn("bad_fields", F.slice("_bad", 1, shown))
+    found = F.from_json(payload, PAYLOAD_ROWS)["items"]
+    given = read.filter(F.size("_bad") == 0).select("batch_id", F.explode(found).alias("x"))
+    given = given.select("batch_id", F.col("x.source_id").alias("_source"), F.col("x.variants").alias("_variants"))
+    asked = requested.select("batch_id", F.col("source_id").cast("string").alias("_source"), F.lit(1).alias("_asked"))
+    asked = asked.join(given.select("batch_id").distinct(), "batch_id", "left_semi")
+    met = given.select("batch_id", "_source", F.lit(0).alias("_asked"), F.lit(1).alias("_given"), (F.size("_variants") != count).alias("_count"))
+    met = met.unionByName(asked.withColumns({"_given": F.lit(0), "_count": F.lit(False)}))
+    per_source = met.groupBy("batch_id", "_source").agg(F.sum("_asked").alias("_asked"), F.sum("_given").alias("_given"), F.bool_or("_count").alias("_count"))
+    per_batch = per_source.groupBy("batch_id").agg(
+        F.bool_or(F.col("_given") > 1).alias("_twice"),
+        F.bool_or((F.col("_asked") == 0) | (F.col("_given") == 0)).alias("_differ"),
+        F.bool_or("_count").alias("_count"),
+    )
+    early = (
+        F.when(F.size("bad_fields") > 0, "invalid_fields")
+        .when(F.col("_twice"), "duplicate_source")
+        .when(F.col("_differ") | F.col("_twice").isNull(), "source_mismatch")
+        .when(F.col("_count"), "count_invalid")
+    )
+    judged = read.join(per_batch, "batch_id", "left").select("batch_id", "bad_fields", early.alias("_early"))
+    open_ids = judged.filter("_early IS NULL").select("batch_id")
+    rows = given.join(open_ids, "batch_id", "left_semi").select("batch_id", "_source", F.posexplode("_variants").alias("variant", "v"))
+    ids = requested.select("batch_id", "source_id", F.col("source_id").cast("string").alias("_source"))
+    rows = rows.join(ids, ["batch_id", "_source"]).select("batch_id", "source_id", "variant", "v.*")
+    checked = validate_derivatives(requested.join(open_ids, "batch_id", "left_semi"), rows, count)
+    late = checked["verdicts"].withColumnRenamed("verdict", "_late")
+    verdict = F.coalesce("_early", "_late", F.lit("ok"))
+    verdicts = judged.join(late, "batch_id", "left").select("batch_id", verdict.alias("verdict"), "bad_fields")
+    return {"verdicts": verdicts, "variants": checked["variants"]}
+
+
 def expand_sheet_items(originals: DataFrame, variants: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sheet items: every original followed by its variants, numbered from 0 without gaps.
 

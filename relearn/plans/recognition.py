@@ -119,7 +119,8 @@ def settle_images(
         rec.recognized_marks(sound).drop("position", "mark_type"),
         localizations.join(ids, "image_id", "left_semi"),
         lines.join(ids, "image_id", "left_semi"),
-        pixels, rules,
+        pixels.join(ids, "image_id", "left_semi"),  # no other picture is decoded
+        rules,
     )
     failed = rec.failed_images(claimed, checked)
     aside = sound.select("image_id", F.col("payload.ignored_text").alias("ignored_text"))
