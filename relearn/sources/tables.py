@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,77 +184,82 @@ def _key_text(columns: list[str]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def _rule_hits(
-    table: str, df: DataFrame, tables: dict[str, DataFrame], rules: list[tuple[str, str]]
-) -> DataFrame:
-    """One row (code, key, about) per rule that a row of ``table`` takes part in.
+def _row_faults(table: str, df: DataFrame) -> DataFrame | None:
+    """(table, rule, key, n) of the not-null and domain rules, from one scan that explodes faulty rows only."""
+    have = set(df.columns)
+    rules = [
+        (F.col(name).isNull(), "not_null", F.lit(name))
+        for name, _, needed in _columns(table)
+        if needed and name in have
+    ] + [
+        (F.coalesce(~F.col(name).isin(allowed), F.lit(False)), f"domain({name})", F.col(name))
+        for owner, name, allowed in DOMAINS
+        if owner == table and name in have
+    ]
+    if not rules:
+        return None
+    hits = F.array(*[F.when(broken, F.struct(F.lit(rule).alias("rule"), key.alias("key"))) for broken, rule, key in rules])
+    faulty = df.filter(reduce(lambda a, b: a | b, [broken for broken, _, _ in rules]))
+    rows = faulty.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
+    return rows.groupBy(F.lit(table).alias("table"), "_h.rule", "_h.key").agg(F.count("*").alias("n"))
 
-    ``code`` is the rule's place in ``rules``, which grows here. ``about`` numbers the table
-    whose ids the key belongs to, for id and foreign-key rules.
-    """
-    have, names = set(df.columns), list(TABLES)
 
-    def hit(condition: Column, rule: str, key: Column, about: str | None = None) -> Column:
-        rules.append((table, rule))
-        number = None if about is None else names.index(about)
-        return F.when(
-            condition,
-            F.struct(
-                F.lit(len(rules) - 1).alias("code"), key.alias("key"), F.lit(number).cast("int").alias("about")
-            ),
-        )
+def _repeats(table: str, df: DataFrame, keys: list[str], condition: str | None) -> DataFrame:
+    """(table, rule, key, n) of a unique rule; keys are grouped in their own types and shown as text."""
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if condition:
+        present = present & F.col(condition)
+    counted = df.filter(present).groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    rule = F.lit(f"unique({','.join(keys)})").alias("rule")
+    return counted.select(F.lit(table).alias("table"), rule, _key_text(keys).alias("key"), F.col("_n").alias("n"))
 
-    hits = []
-    for name, _, needed in _columns(table):
-        if needed and name in have:
-            hits.append(hit(F.col(name).isNull(), "not_null", F.lit(name)))
-    for owner, keys, condition in UNIQUE:
-        if owner == table and set(keys) <= have:
-            present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-            present = present & F.col(condition) if condition else present
-            hits.append(hit(present, f"unique({','.join(keys)})", _key_text(keys), table if keys == ["id"] else None))
-    for owner, name, parent in FOREIGN:
-        if owner == table and name in have and parent in tables:
-            hits.append(hit(F.col(name).isNotNull(), f"foreign({name})", _key_text([name]), parent))
-    for owner, name, allowed in DOMAINS:
-        if owner == table and name in have:
-            hits.append(hit(~F.col(name).isin(allowed), f"domain({name})", F.col(name)))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return df.select(F.explode(found).alias("_h")).select("_h.*")
+
+def _dangling(parent: DataFrame, references: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """(table, rule, key, n) of the references (table, column, rows) that name no id of ``parent``.
+
+    References are counted per value first, so a hot one is a single row where it meets the ids; those of
+    all tables meet them at once. Both sides keep the id's type, or become text where types differ.
+    """
+    kinds = {parent.schema["id"].dataType} | {df.schema[name].dataType for _, name, df in references}
+    kind = kinds.pop() if len(kinds) == 1 else T.StringType()
+    counted = [
+        df.filter(F.col(name).isNotNull())
+        .groupBy(F.lit(table).alias("table"), F.lit(f"foreign({name})").alias("rule"), F.col(name).cast(kind).alias("id"))
+        .agg(F.count("*").alias("n"))
+        for table, name, df in references
+    ]
+    ids = parent.select(F.col("id").cast(kind).alias("id"))
+    lost = reduce(DataFrame.unionByName, counted).join(ids, "id", "left_anti")
+    return lost.select("table", "rule", F.col("id").cast("string").alias("key"), "n")
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations as (table, rule, key, n): missing columns, not-null, unique, foreign key and domain rules.
 
-    Each table is scanned once. Rows are counted per (rule, key) before anything else, so a
-    value that fills a table is one row from then on; an id and the keys that refer to it
-    then meet in a window of at most one row per rule.
+    Row rules take one scan a table and move nothing but faulty rows. A unique rule reads its key columns
+    only; a foreign key is counted per value before it meets the ids of its parent. A rule one of whose
+    columns is absent is not audited, nor a foreign key whose parent is not among ``tables``.
     """
-    rules: list[tuple[str, str]] = []
-    parts = [_rule_hits(name, df, tables, rules) for name, df in tables.items()]
-    counted = reduce(DataFrame.unionByName, parts).groupBy("code", "about", "key").agg(F.count("*").alias("n"))
-
-    def of_kind(start: str) -> Column:
-        return F.col("code").isin([i for i, (_, rule) in enumerate(rules) if rule.startswith(start)])
-
-    # Keys without a partner keep their rule in the partition, which spreads them.
-    apart = F.when(F.col("about").isNull(), F.col("code"))
-    meeting = Window.partitionBy("about", apart, "key")
-    known = counted.withColumn("_exists", F.max(of_kind("unique(id)")).over(meeting))
-    broken = (
-        (of_kind("unique") & (F.col("n") > 1))
-        | (of_kind("foreign") & ~F.col("_exists"))
-        | of_kind("domain")
-        | of_kind("not_null")
-    )
-    names = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(r).alias("rule")) for t, r in rules])
-    found = known.filter(broken).select(F.get(names, F.col("code")).alias("_r"), "key", "n").select("_r.*", "key", "n")
-    absent = [
-        (table, "missing_column", name, 1)
-        for table, df in tables.items()
-        for name, _, needed in _columns(table)
-        if needed and name not in df.columns
-    ]
-    if not absent:
-        return found
-    return found.unionByName(found.sparkSession.createDataFrame(absent, "table string, rule string, key string, n long"))
+    found, absent = [], []
+    for table, df in tables.items():
+        have = set(df.columns)
+        absent += [(table, "missing_column", n, 1) for n, _, needed in _columns(table) if needed and n not in have]
+        faults = _row_faults(table, df)
+        found += [] if faults is None else [faults]
+        for owner, keys, condition in UNIQUE:
+            if owner == table and set(keys) | ({condition} if condition else set()) <= have:
+                found.append(_repeats(table, df, keys, condition))
+    for parent, df in tables.items():
+        references = [
+            (owner, name, tables[owner])
+            for owner, name, target in FOREIGN
+            if target == parent and owner in tables and name in tables[owner].columns
+        ]
+        if references and "id" in df.columns:
+            found.append(_dangling(df, references))
+    if absent:
+        spark = next(iter(tables.values())).sparkSession
+        found.append(spark.createDataFrame(absent, "table string, rule string, key string, n long"))
+    while len(found) > 1:  # in pairs: a chain would be analysed anew at every step
+        found = [reduce(DataFrame.unionByName, found[i : i + 2]) for i in range(0, len(found), 2)]
+    return found[0]
