@@ -515,15 +515,46 @@ def _mask_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["image_id", "height", "width"]].assign(mask=masks)
 
 
-def red_masks(pixels: DataFrame) -> DataFrame:
+# How stored rows and columns become upright ones, by EXIF orientation.
+TURNS = {
+    2: np.fliplr,
+    3: lambda grid: np.rot90(grid, 2),
+    4: np.flipud,
+    5: np.transpose,
+    6: lambda grid: np.rot90(grid, -1),
+    7: lambda grid: np.rot90(grid, 2).T,
+    8: np.rot90,
+}
+
+
+def _turn_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for image_id, height, width, mask, turn in zip(*(batch[c] for c in ("image_id", "height", "width", "mask", "orientation"))):
+            if turn in TURNS:
+                grid = np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=height * width).reshape(height, width)
+                grid = TURNS[turn](grid)
+                height, width = grid.shape
+                mask = np.packbits(grid).tobytes()
+            rows.append((image_id, height, width, mask))
+        yield pd.DataFrame(rows, columns=["image_id", "height", "width", "mask"])
+
+
+def red_masks(pixels: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """One bit per pixel, set where it is red, of the readable images: image_id, height, width, mask.
 
     ``pixels``(image_id, height, width, channels, pixels BGR, readable). This runs right on the scan, so
-    what travels to the boxes afterwards is a 24th of the pixels.
+    what travels to the boxes afterwards is a 24th of the pixels. ``turns``(image_id, orientation), one row
+    an image at most, names images that are stored turned or mirrored; their masks come out upright.
     """
     key = pixels.schema["image_id"].dataType.simpleString()
+    shape = f"image_id {key}, height int, width int, mask binary"
     readable = pixels.filter("readable").select("image_id", "height", "width", "channels", "pixels")
-    return readable.mapInPandas(_mask_batch, f"image_id {key}, height int, width int, mask binary")
+    masks = readable.mapInPandas(_mask_batch, shape)
+    if turns is None:
+        return masks
+    known = masks.join(turns.select("image_id", "orientation"), "image_id", "left")
+    return known.withColumn("orientation", F.coalesce("orientation", F.lit(1))).mapInPandas(_turn_batch, shape)
 
 
 def _count_red(expansion: float):

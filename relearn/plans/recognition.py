@@ -24,17 +24,19 @@ def recognize(
     lines: DataFrame,
     pixels: DataFrame,
     rules: Thresholds = Thresholds(),
+    turns: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Candidates to store and the images they settle.
 
     ``images``(id, subject, recognition_correction, …), ``items`` and ``marks`` of valid
-    responses, ``localizations``, ``lines`` read in the crops, ``pixels`` of the images.
+    responses, ``localizations``, ``lines`` read in the crops, ``pixels`` of the images and
+    ``turns``(image_id, orientation) of those that are not stored upright.
     A crop contradicted by its own text is withdrawn before the collection decision; the
     mark's reliability is not. Steps that several later ones read are checkpointed, so the
     text and pixel work is done once; calling this therefore runs jobs.
     """
     # Pixels are read once, as one-bit masks; give the pixels of the images at hand only.
-    masks = pin(rec.red_masks(pixels))
+    masks = pin(rec.red_masks(pixels, turns))
     evidence = pin(rec.red_evidence(masks, marks, rules))
     valid = evidence.filter("accepted").select("image_id", "mark_id", "l", "t", "r", "b")
 
@@ -93,6 +95,7 @@ def settle_images(
     rules: Thresholds = Thresholds(),
     content: str = "content",
     run: str = "",
+    turns: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Claim the pending images that ``responses``(image_id, content) answer, and settle each.
 
@@ -121,6 +124,7 @@ def settle_images(
         lines.join(ids, "image_id", "left_semi"),
         pixels.join(ids, "image_id", "left_semi"),  # no other picture is decoded
         rules,
+        turns,
     )
     failed = rec.failed_images(claimed, checked)
     aside = sound.select("image_id", F.col("payload.ignored_text").alias("ignored_text"))
