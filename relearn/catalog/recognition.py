@@ -202,6 +202,62 @@ FLOW_IMAGES = f"""WITH {FLOW}, n AS (SELECT image_id, count(*) AS n, bool_or(rul
   FROM claimed c JOIN refused r ON r.id = c.id JOIN first_item f ON f.image_id = c.id LEFT JOIN n ON n.image_id = c.id"""
 
 
+def _millionths(*cols):
+    return [F.round(F.col(c) * 1e6).cast("long") if isinstance(c, str) else F.round(c * 1e6).cast("long") for c in cols]
+
+
+def _edges(box):
+    return _millionths(*[F.get(box, F.lit(i)) for i in range(4)])
+
+
+def _said(*cols):
+    return F.concat_ws(":", *[c.cast("string") for c in cols])
+
+
+def _documents_said():
+    """Marks, checks and localizations of the stored documents as text, numbers in millionths."""
+    mark = lambda x: _said(x["mark_id"], x["mark_type"], *_edges(x["bbox"]), *_millionths(x["confidence"]))
+    box = lambda x: [F.get(x["pixel_box"], F.lit(i)) for i in range(4)]
+    check = lambda x: _said(
+        x["mark_id"], *_millionths(x["confidence"], x["confidence_threshold"]), *box(x), x["red_pixel_count"], x["pixel_count"],
+        *_millionths(x["red_pixel_ratio"], x["red_pixel_min_ratio"]), x["accepted"], x["reason"])
+    doc = F.col("ocr_raw_json")
+    place, red = doc["localization"], doc["localization_red_validation"]
+    return [
+        F.array_join(F.transform(doc["error_marks"], mark), ",").alias("error_marks"),
+        F.array_join(F.transform(doc["error_mark_validation"], check), ",").alias("error_mark_validation"),
+        F.array_join(doc["valid_error_mark_ids"], ",").alias("valid_error_mark_ids"),
+        F.array_join(doc["rejected_error_mark_ids"], ",").alias("rejected_error_mark_ids"),
+        F.when(place.isNotNull(), _said(place["index"], place["matched"], F.array_join(place["mark_ids"], "+"), *_edges(place["bbox"]),
+                                        place["observed_prompt_text"], place["observed_raw_text"], *_millionths(place["confidence"]))).alias("localization"),
+        F.when(red.isNotNull(), _said(*box(red), red["red_pixel_count"], red["pixel_count"], *_millionths(red["red_pixel_ratio"], red["red_pixel_min_ratio"]),
+                                      red["accepted"], red["reason"], *_edges(red["bbox"]), *_millionths(red["expansion_ratio"]))).alias("localization_red_validation"),
+    ]
+
+
+def _micro(*cols):
+    return ", ".join(f"CAST(round({c} * 1e6) AS BIGINT)" for c in cols)
+
+
+MARK_CHECKS = f"""checks AS (SELECT w.*, px_left, px_top, px_right, px_bottom, red_pixel_count, pixel_count, red_pixel_count / pixel_count AS ratio,
+    CASE WHEN pixel_count IS NULL THEN 'image_invalid' WHEN confidence < 0.65 THEN 'low_confidence' WHEN red_pixel_count / pixel_count < 0.02
+      THEN 'insufficient_red_pixels' ELSE 'accepted' END AS reason FROM wanted w LEFT JOIN counted c ON c.image_id = w.image_id AND c.position = w.position),
+  mark_docs AS (SELECT image_id, string_agg(concat_ws(':', mark_id, mark_type, {_micro('l', 't', 'r', 'b', 'confidence')}), ',' ORDER BY mark_id) AS error_marks,
+    string_agg(concat_ws(':', mark_id, {_micro('confidence', '0.65')}, px_left, px_top, px_right, px_bottom, red_pixel_count, pixel_count, {_micro('ratio', '0.02')},
+      reason = 'accepted', reason), ',' ORDER BY mark_id) FILTER (WHERE pixel_count IS NOT NULL) AS error_mark_validation,
+    string_agg(mark_id, ',' ORDER BY mark_id) FILTER (WHERE reason = 'accepted') AS valid_error_mark_ids,
+    string_agg(mark_id, ',' ORDER BY mark_id) FILTER (WHERE reason <> 'accepted') AS rejected_error_mark_ids FROM checks GROUP BY image_id),
+  place_docs AS (SELECT image_id, idx, concat_ws(':', idx, matched, coalesce(CAST(mark_id AS VARCHAR), ''), {_micro('l', 't', 'r', 'b')}, observed_prompt_text, {_micro('confidence')}) AS localization FROM seen),
+  red_docs AS (SELECT w.image_id, w.idx, CASE WHEN pixel_count IS NULL THEN 'false:image_invalid' ELSE concat_ws(':', px_left, px_top, px_right, px_bottom, red_pixel_count, pixel_count,
+      {_micro('red_pixel_count / pixel_count', '0.02')}, red_pixel_count / pixel_count >= 0.02, CASE WHEN red_pixel_count / pixel_count >= 0.02 THEN 'accepted' ELSE 'insufficient_red_pixels' END,
+      {_micro('l', 't', 'r', 'b', '0.08')}) END AS localization_red_validation
+    FROM local_wanted w LEFT JOIN local_counted c ON c.image_id = w.image_id AND c.idx = w.idx)"""
+QUESTION_DOCUMENTS = f"""SELECT s.image_id, s.idx, coalesce(error_marks, '') AS error_marks, coalesce(error_mark_validation, '') AS error_mark_validation,
+  coalesce(valid_error_mark_ids, '') AS valid_error_mark_ids, coalesce(rejected_error_mark_ids, '') AS rejected_error_mark_ids, localization, localization_red_validation
+  FROM saved s LEFT JOIN mark_docs m ON m.image_id = s.image_id LEFT JOIN place_docs p ON p.image_id = s.image_id AND p.idx = s.idx
+  LEFT JOIN red_docs r ON r.image_id = s.image_id AND r.idx = s.idx"""
+
+
 def _errors(t):
     return t("events").select(
         F.col("event_id").alias("id"),
@@ -370,11 +426,13 @@ CASES = {
         lambda t: _flow(t, EXACT)["questions"].select(
             "image_id", "idx", "student_id", "grade", "semester", "collection_status", "crop_region.localization_status",
             F.col("crop_region.bbox_source").alias("bbox_source"), F.col("ocr_raw_json.prompt_text").alias("prompt_text"),
-            F.col("ocr_raw_json.collection_reason").alias("collection_reason"), F.col("ocr_raw_json.local_ocr.status").alias("ocr_status")),
-        f"""WITH decided AS ({FLOW_CANDIDATES})
+            F.col("ocr_raw_json.collection_reason").alias("collection_reason"), F.col("ocr_raw_json.local_ocr.status").alias("ocr_status"),
+            *_documents_said()),
+        f"""WITH decided AS ({FLOW_CANDIDATES}), documented AS (WITH {FLOW}, {MARK_CHECKS} {QUESTION_DOCUMENTS})
            SELECT d.image_id, d.idx, c.student_id, c.grade, c.semester, d.collection_status, CASE WHEN d.bbox_source = 'unverified' THEN 'needs_review' ELSE 'verified' END AS localization_status,
-             d.bbox_source, i.prompt_text, d.collection_reason, d.ocr_status FROM decided d JOIN b_taken c ON c.id = d.image_id
-             JOIN b_items i ON i.image_id = d.image_id AND i.idx = d.idx"""),
+             d.bbox_source, i.prompt_text, d.collection_reason, d.ocr_status, error_marks, error_mark_validation, valid_error_mark_ids,
+             rejected_error_mark_ids, localization, localization_red_validation FROM decided d JOIN b_taken c ON c.id = d.image_id
+             JOIN b_items i ON i.image_id = d.image_id AND i.idx = d.idx JOIN documented o ON o.image_id = d.image_id AND o.idx = d.idx"""),
     "d18_failure_code": Case(
         lambda t: rec.failure_code(_errors(t)).select(
             "id", "error_code", "error_message",

@@ -645,10 +645,10 @@ def evidence_matches(prompt: Column, observed_prompt: Column, raw: Column, obser
     return same(prompt, observed_prompt) | same(raw, observed_raw)
 
 
-def local_red_check(
+def local_red_evidence(
     pixels: DataFrame, located: DataFrame, rules: Thresholds = Thresholds()
 ) -> DataFrame:
-    """(image_id, idx, red_verified) for trusted localizations that were given no mark.
+    """Pixel evidence and ``red_verified`` of trusted localizations that were given no mark, by (image_id, idx).
 
     ``located`` are ``with_geometry`` rows with ``evidence``. The predicate runs before the
     join, so pixels are read only for images that need it.
@@ -663,12 +663,24 @@ def local_red_check(
         & (F.size("mark_ids") == 0)
     ).select("image_id", "idx", "l", "t", "r", "b")
     counted = count_red_pixels(pixels, needed, rules.red_expansion)
-    ratio = F.col("red_pixel_count") / F.nullif(F.col("pixel_count"), F.lit(0))
-    return needed.join(counted, ["image_id", "l", "t", "r", "b"], "left").select(
-        "image_id", "idx", F.coalesce(ratio >= rules.red_min_ratio, F.lit(rules.red_min_ratio <= 0) & F.col("pixel_count").isNotNull()).alias("red_verified")
+    ratio = F.when(F.col("pixel_count") > 0, F.col("red_pixel_count") / F.col("pixel_count")).otherwise(
+        F.when(F.col("pixel_count").isNotNull(), F.lit(0.0))
+    )
+    verified = F.coalesce(F.col("red_pixel_ratio") >= rules.red_min_ratio, F.lit(False))
+    return (
+        needed.join(counted, ["image_id", "l", "t", "r", "b"], "left")
+        .withColumn("red_pixel_ratio", ratio)
+        .withColumn("red_verified", verified)
     )
 
 
+def local_red_check(
+    pixels: DataFrame, located: DataFrame, rules: Thresholds = Thresholds()
+) -> DataFrame:
+    """(image_id, idx, red_verified) of :func:`local_red_evidence`."""
+    return local_red_evidence(pixels, located, rules).select("image_id", "idx", "red_verified")
+
+
 def review_status(
     items: DataFrame, located: DataFrame, rules: Thresholds = Thresholds()
 ) -> DataFrame:
@@ -944,16 +956,85 @@ def failed_images(images: DataFrame, checked: DataFrame) -> DataFrame:
     return rest.join(shown, "id").withColumn("status", F.lit("failed"))
 
 
+def _pixel_box() -> Column:
+    return F.array("px_left", "px_top", "px_right", "px_bottom")
+
+
+def mark_documents(evidence: DataFrame, rules: Thresholds = Thresholds()) -> DataFrame:
+    """What questions store of their image's marks, one row per image_id with marks.
+
+    ``evidence`` are rows of :func:`red_evidence`. Marks stand in the order of their ids; those of an
+    unreadable image have no check and are all rejected. A list is as long as that of the response
+    it came from, which was one row, and the rows hold numbers only.
+    """
+    kind = [c for c in ("mark_type",) if c in evidence.columns]
+    mark = F.struct("mark_id", *kind, F.array("l", "t", "r", "b").alias("bbox"), "confidence")
+    check = F.struct(
+        "mark_id", "confidence", F.lit(rules.mark_confidence).alias("confidence_threshold"), _pixel_box().alias("pixel_box"),
+        "red_pixel_count", "pixel_count", "red_pixel_ratio", F.lit(rules.red_min_ratio).alias("red_pixel_min_ratio"),
+        "accepted", "reason",
+    )
+    row = F.struct("mark_id", "accepted", mark.alias("mark"), F.when(F.col("pixel_count").isNotNull(), check).alias("check"))
+    listed = evidence.groupBy("image_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    ids = lambda wanted: F.transform(F.filter("_rows", wanted), lambda x: x["mark_id"])
+    return listed.select(
+        "image_id",
+        F.transform("_rows", lambda x: x["mark"]).alias("error_marks"),
+        F.transform(F.filter("_rows", lambda x: x["check"].isNotNull()), lambda x: x["check"]).alias("error_mark_validation"),
+        ids(lambda x: x["accepted"]).alias("valid_error_mark_ids"),
+        ids(lambda x: ~x["accepted"]).alias("rejected_error_mark_ids"),
+    )
+
+
+def localization_documents(located: DataFrame, checks: DataFrame, rules: Thresholds = Thresholds()) -> DataFrame:
+    """What a question stores of its localization and of the red ink looked for there, by (image_id, idx).
+
+    ``located`` are the localizations that stand, ``checks`` rows of :func:`local_red_evidence`; a
+    localization that needed no check has none. A check without pixels says so.
+    """
+    box = F.array("l", "t", "r", "b")
+    place = F.struct(
+        F.col("idx").alias("index"), "matched", "mark_ids", F.when(F.col("l").isNotNull(), box).alias("bbox"),
+        "observed_prompt_text", "observed_raw_text", "confidence",
+    )
+    seen = F.col("pixel_count").isNotNull()
+    reason = F.when(~seen, "image_invalid").when(F.col("red_verified"), "accepted").otherwise("insufficient_red_pixels")
+    check = F.struct(
+        F.when(seen, _pixel_box()).alias("pixel_box"), "red_pixel_count", "pixel_count", "red_pixel_ratio",
+        F.when(seen, F.lit(rules.red_min_ratio)).alias("red_pixel_min_ratio"), F.col("red_verified").alias("accepted"),
+        reason.alias("reason"), F.when(seen, box).alias("bbox"), F.when(seen, F.lit(rules.red_expansion)).alias("expansion_ratio"),
+    )
+    checked = checks.select("image_id", "idx", check.alias("localization_red_validation"))
+    return located.select("image_id", "idx", place.alias("localization")).join(checked, ["image_id", "idx"], "left")
+
+
 def question_rows(
-    candidates: DataFrame, images: DataFrame, rules: Thresholds = Thresholds(), run: str = ""
+    candidates: DataFrame,
+    images: DataFrame,
+    rules: Thresholds = Thresholds(),
+    run: str = "",
+    marks: DataFrame | None = None,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """``candidates`` as rows of wrong_questions, with the student, grade and semester of their image.
 
     ``crop_region`` is complete, also where a region is unverified, and ``ocr_raw_json`` holds the
-    recognised item, what the decision rests on and the local reading. Marks are not repeated in each
-    question: they stay rows per image (``evidence`` of the flow). Ids hash (image_id, idx, run), so
-    the same run makes the same ones and recognising an image anew makes others.
+    recognised item, what the decision rests on and the local reading, and, given ``marks`` and ``places``
+    (:func:`mark_documents`, :func:`localization_documents`), the image's marks with their checks and
+    the question's localization. Those meet the questions only here, after the last one was dropped.
+    Ids hash (image_id, idx, run), so the same run makes the same ones and recognising an image
+    anew makes others.
     """
+    beside = []
+    if places is not None:
+        candidates = candidates.join(places, ["image_id", "idx"], "left")
+        beside += ["localization", "localization_red_validation"]
+    if marks is not None:
+        listed = [c for c in marks.columns if c != "image_id"]
+        # An image without marks has empty lists.
+        none = {c: F.coalesce(c, F.array().cast(marks.schema[c].dataType)) for c in listed}
+        candidates = candidates.join(marks, "image_id", "left").withColumns(none)
+        beside += listed
     known = F.col("crop_region").isNotNull()
     region = F.struct(
         F.col("crop_region.bbox").alias("bbox"),
@@ -973,7 +1054,7 @@ def question_rows(
     )
     document = F.struct(
         F.lit(PROVIDER).alias("provider"), *item, F.col("_read_tags").alias("tags"), "reliable_error_mark", "collection_reason",
-        reading.alias("local_ocr"), *[c for c in ("ignored_text",) if c in candidates.columns],
+        reading.alias("local_ocr"), *beside, *[c for c in ("ignored_text",) if c in candidates.columns],
     )
     own = [c for c in ("student_id", "grade", "semester") if c in images.columns]
     home = images.select(F.col("id").alias("image_id"), *own)

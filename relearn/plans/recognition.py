@@ -26,7 +26,7 @@ def recognize(
     rules: Thresholds = Thresholds(),
     turns: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Candidates to store and the images they settle.
+    """Candidates to store, the images they settle, and the evidence both rest on: marks and places.
 
     ``images``(id, subject, recognition_correction, …), ``items`` and ``marks`` of valid
     responses, ``localizations``, ``lines`` read in the crops, ``pixels`` of the images and
@@ -55,8 +55,9 @@ def recognize(
         ),
     ).drop("prompt_text", "raw_text")
     located = pin(rec.with_geometry(seen, valid))
-    located = located.join(rec.local_red_check(masks, located, rules), ["image_id", "idx"], "left")
-    judged = pin(rec.review_status(items, located, rules))
+    checks = pin(rec.local_red_evidence(masks, located, rules))
+    checked_places = located.join(checks.select("image_id", "idx", "red_verified"), ["image_id", "idx"], "left")
+    judged = pin(rec.review_status(items, checked_places, rules))
 
     cropped = judged.filter("localization_verified").select("image_id", F.col("idx").alias("target_idx"))
     read = rec.ocr_verdict(lines.join(cropped, ["image_id", "target_idx"], "left_semi"), items, rules)
@@ -81,7 +82,12 @@ def recognize(
     decided = pin(rec.collection_decision(checked).join(corrections, "image_id"))
     unique = rec.drop_duplicate_candidates(decided)
     stored = rec.persist_filter(unique)
-    return {"evidence": evidence, "candidates": stored, "images": rec.image_rollup(images, stored, items)}
+    return {
+        "evidence": evidence,
+        "places": rec.localization_documents(located, checks, rules),
+        "candidates": stored,
+        "images": rec.image_rollup(images, stored, items),
+    }
 
 
 def settle_images(
@@ -119,7 +125,7 @@ def settle_images(
     out = recognize(
         claimed.join(ids.withColumnRenamed("image_id", "id"), "id", "left_semi"),
         rec.recognized_items(sound),
-        rec.recognized_marks(sound).drop("position", "mark_type"),
+        rec.recognized_marks(sound).drop("position"),
         localizations.join(ids, "image_id", "left_semi"),
         lines.join(ids, "image_id", "left_semi"),
         pixels.join(ids, "image_id", "left_semi"),  # no other picture is decoded
@@ -128,7 +134,8 @@ def settle_images(
     )
     failed = rec.failed_images(claimed, checked)
     aside = sound.select("image_id", F.col("payload.ignored_text").alias("ignored_text"))
-    questions = rec.question_rows(out["candidates"].join(aside, "image_id"), claimed, rules, run)
+    marks = rec.mark_documents(out["evidence"], rules)
+    questions = rec.question_rows(out["candidates"].join(aside, "image_id"), claimed, rules, run, marks, out["places"])
     return {
         "evidence": out["evidence"],
         "candidates": out["candidates"],

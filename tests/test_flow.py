@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from relearn.operators import recognition as rec
 from relearn.operators.recognition import Thresholds
 from relearn.plans.recognition import recognize
 
@@ -64,7 +65,12 @@ def outcome(spark):
         spark.createDataFrame(lines, "image_id int, target_idx int, line_no int, text string, confidence double"),
         pixels, RULES)
     rows = {(r.image_id, r.idx): r for r in out["candidates"].collect()}
-    return rows, {r.id: (r.status, r.question_count, r.subject) for r in out["images"].collect()}
+    marks = rec.mark_documents(out["evidence"], RULES)
+    home = images.withColumns({"student_id": F.lit(7), "grade": F.lit(2), "semester": F.lit(1)}).drop("subject")
+    candidates = out["candidates"].withColumn("difficulty", F.lit(1))
+    stored = rec.question_rows(candidates, home, RULES, marks=marks, places=out["places"])
+    documents = {(r.image_id, r.idx): r.ocr_raw_json for r in stored.collect()}
+    return rows, {r.id: (r.status, r.question_count, r.subject) for r in out["images"].collect()}, documents
 
 
 def test_marked_and_wrong_is_collected(outcome):
@@ -104,3 +110,50 @@ def test_strict_correction_discards_ignored_items(outcome):
 
 def test_images_settle(outcome):
     assert outcome[1] == {1: ("needs_review", 4, "english"), 2: ("needs_review", 1, "math"), 3: ("confirmed", 0, "english")}
+
+
+def test_stored_document_holds_the_marks_of_the_image_in_order(outcome):
+    for key in ((1, 0), (1, 4)):
+        document = outcome[2][key]
+        assert [(m.mark_id, m.bbox) for m in document.error_marks] == [(0, [0.1, 0.1, 0.2, 0.2]), (1, [0.5, 0.1, 0.6, 0.2])]
+        assert (document.valid_error_mark_ids, document.rejected_error_mark_ids) == ([0, 1], [])
+    check = outcome[2][(1, 0)].error_mark_validation[0]
+    # The box grows by 0.008 on each side, which touches one more row and column of pixels each way.
+    assert (check.pixel_box, check.red_pixel_count, check.pixel_count, check.reason) == ([9, 9, 21, 21], 100, 144, "accepted")
+    rejected = outcome[2][(2, 0)]
+    assert (rejected.valid_error_mark_ids, rejected.rejected_error_mark_ids) == ([], [0])
+    assert rejected.error_mark_validation[0].reason == "insufficient_red_pixels"
+
+
+def test_stored_document_holds_the_localization_and_its_red_check(outcome):
+    document = outcome[2][(1, 3)]
+    assert (document.localization["index"], document.localization.mark_ids, document.localization.bbox) == (3, [], [0.1, 0.6, 0.4, 0.9])
+    red = document.localization_red_validation
+    assert (red.accepted, red.reason, red.bbox, red.red_pixel_count) == (True, "accepted", [0.1, 0.6, 0.4, 0.9], 400)
+    # A localization with a mark of its own needs no check, and a contradicted one stays in the document.
+    withdrawn = outcome[2][(1, 2)]
+    assert (withdrawn.localization.mark_ids, withdrawn.localization_red_validation) == ([1], None)
+    white = outcome[2][(1, 4)].localization_red_validation
+    assert (white.accepted, white.reason, white.red_pixel_count) == (False, "insufficient_red_pixels", 0)
+    # An image whose marks were all rejected was not localized.
+    assert outcome[2][(2, 0)].localization is None
+
+
+def test_documents_without_pixels_or_marks(spark):
+    mark = "image_id int, mark_id int, l double, t double, r double, b double, confidence double"
+    pixels = spark.createDataFrame(
+        [(1, 1, 1, 3, bytearray(b"\xff" * 3), False)],
+        "image_id int, height int, width int, channels int, pixels binary, readable boolean")
+    marks = spark.createDataFrame([(1, 1, 0.5, 0.5, 0.6, 0.6, 0.9), (1, 0, 0.1, 0.1, 0.2, 0.2, 0.9)], mark)
+    row = rec.mark_documents(rec.red_evidence(pixels, marks, RULES), RULES).first()
+    assert ([m.mark_id for m in row.error_marks], row.error_mark_validation) == ([0, 1], [])
+    assert (row.valid_error_mark_ids, row.rejected_error_mark_ids) == ([], [0, 1])
+    place = spark.createDataFrame(
+        [(1, 0, True, [], 0.1, 0.1, 0.4, 0.4, "x", None, 0.9, True, True), (1, 1, False, [], None, None, None, None, None, None, 0.9, False, True)],
+        "image_id int, idx int, matched boolean, mark_ids array<int>, l double, t double, r double, b double, observed_prompt_text string,"
+        "observed_raw_text string, confidence double, evidence boolean, image_has_marks boolean")
+    found = rec.localization_documents(place, rec.local_red_evidence(pixels, place, RULES), RULES)
+    first, second = sorted(found.collect(), key=lambda r: r.idx)
+    assert (first.localization_red_validation.accepted, first.localization_red_validation.reason) == (False, "image_invalid")
+    assert first.localization_red_validation.bbox is None
+    assert (second.localization.bbox, second.localization_red_validation) == (None, None)
