@@ -34,7 +34,7 @@ def _recognition(t, again=False):
     folder = _run_folder(t)
     arrivals = f"{folder}/arrivals"
     responses(t).repartition(2, "image_id").write.parquet(arrivals)
-    snapshots = Snapshots(t.spark, f"{folder}/state")
+    snapshots = Snapshots(t.spark, f"{folder}/state", parts=4, fold_every=3)
     none = F.lit(None).cast("string")
     snapshots.write("images", t("b_taken").withColumns({"error_code": none, "error_message": none}), -1)
 
@@ -66,12 +66,13 @@ def _attempts(t):
     folder = _run_folder(t)
     answers = t("b_answers").groupBy("attempt_id").agg(F.collect_list(F.struct("sheet_item_id", "is_correct")).alias("answers"))
     rows = t("b_attempts").drop("attempt_no", "accuracy", "updated_at").join(answers.withColumnRenamed("attempt_id", "id"), "id", "left")
-    # Two batches of four files, the earlier attempts first.
-    middle = rows.agg(F.percentile_approx("created_at", 0.5)).first()[0]
-    early = F.col("created_at") < F.lit(middle)
-    for part in (early, ~early):
-        rows.filter(part).repartition(4).write.mode("append").parquet(f"{folder}/arrivals")
-    snapshots = Snapshots(t.spark, f"{folder}/state")
+    # Four batches of one file, each a quarter of the time, the earlier attempts first.
+    low, high = rows.agg(F.min("created_at"), F.max("created_at")).first()
+    span = lambda to: F.timestamp_diff("MICROSECOND", F.lit(low), to)
+    quarter = F.floor(span(F.col("created_at")) * 4 / (span(F.lit(high)) + 1))
+    for n in range(4):
+        rows.filter(quarter == n).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    snapshots = Snapshots(t.spark, f"{folder}/state", parts=4, fold_every=3)
     none = t("b_attempts").limit(0)
     snapshots.write("practice_sheets", t("b_sheets"), -1)
     snapshots.write("sheet_items", _items(t), -1)
@@ -85,7 +86,7 @@ def _attempts(t):
         flat = batch.select(F.col("id").alias("attempt_id"), F.inline("answers"))
         return batch.drop("answers"), flat
 
-    arrivals = read_arrivals(t.spark, f"{folder}/arrivals", rows.schema, files_per_batch=4)
+    arrivals = read_arrivals(t.spark, f"{folder}/arrivals", rows.schema, files_per_batch=1)
     stream_attempts(arrivals, split, snapshots, f"{folder}/checkpoint").awaitTermination()
     return snapshots
 
@@ -111,6 +112,26 @@ ATTEMPT_SQL = f"""WITH {COVERAGE},
   FROM outcome o LEFT JOIN numbered n ON n.id = o.id LEFT JOIN summed s ON s.id = o.id"""
 
 
+STATE = ["id", "wrong_count", "mastery_status", "mastered_at", "last_practiced_at"]
+# A question moves with its student's attempt if that was the latest of its batch to touch the question.
+STATES_SQL = ATTEMPT_SQL[: ATTEMPT_SQL.index("numbered AS")] + f"""span AS (SELECT min(epoch_us(created_at)) AS low, max(epoch_us(created_at)) AS high FROM b_attempts),
+  placed AS (SELECT a.*, floor((epoch_us(a.created_at) - low) * 4.0 / (high - low + 1)) AS batch FROM b_attempts a JOIN outcome o ON o.id = a.id AND o.verdict = 'accepted', span),
+  answered AS (SELECT a.attempt_id, i.wrong_question_id, coalesce(i.wrong_question_id, i.snapshot_source_id) AS q, a.is_correct
+    FROM b_answers a JOIN placed o ON o.id = a.attempt_id JOIN b_sheet_items i ON i.id = a.sheet_item_id),
+  settled AS (SELECT attempt_id, q, bool_and(is_correct) AS ok FROM answered WHERE q IS NOT NULL GROUP BY ALL),
+  last_touch AS (SELECT wrong_question_id AS q, batch, arg_max(o.id, struct_pack(c := o.created_at, i := o.id)) AS attempt_id
+    FROM answered r JOIN placed o ON o.id = r.attempt_id WHERE wrong_question_id IS NOT NULL GROUP BY ALL),
+  moves AS (SELECT s.q, o.student_id, s.ok, o.completed_at, struct_pack(c := o.created_at, i := o.id) AS place, l.attempt_id IS NOT NULL AS is_last
+    FROM settled s JOIN placed o ON o.id = s.attempt_id LEFT JOIN last_touch l ON l.q = s.q AND l.batch = o.batch AND l.attempt_id = o.id),
+  changed AS (SELECT q, student_id, count(*) FILTER (WHERE NOT ok) AS wrong, bool_or(is_last) AS moved, arg_max(ok, place) FILTER (WHERE is_last) AS ok,
+    arg_max(completed_at, place) FILTER (WHERE is_last) AS done_at FROM moves GROUP BY ALL)
+  SELECT p.id, CAST(CASE WHEN c.q IS NULL THEN p.wrong_count ELSE CASE WHEN p.wrong_count = 0 THEN 1 ELSE p.wrong_count END + wrong END AS INT) AS wrong_count,
+    CASE WHEN c.moved THEN CASE WHEN c.ok THEN 'mastered' ELSE 'learning' END ELSE p.mastery_status END AS mastery_status,
+    CASE WHEN c.moved THEN CASE WHEN c.ok THEN c.done_at END ELSE p.mastered_at END AS mastered_at,
+    CASE WHEN c.moved THEN c.done_at ELSE p.last_practiced_at END AS last_practiced_at
+  FROM b_practised p LEFT JOIN changed c ON c.q = p.id AND c.student_id = p.student_id AND p.deleted_at IS NULL"""
+
+
 def _forever_keys(t):
     """Keys seen for the first time, remembered by the stream's own state."""
     folder = _run_folder(t)
@@ -200,6 +221,7 @@ CASES = {
     "h1_stream_recognition": Case(_recognition, RECOGNITION_SQL),
     "h1_recognised_again": Case(lambda t: _recognition(t, again=True), AGAIN_SQL),
     "h2_stream_attempts": Case(_attempt_verdicts, ATTEMPT_SQL),
+    "h2_question_states": Case(lambda t: _attempts(t).current("wrong_questions", "question_updates").select(*STATE), STATES_SQL),
     "h2_stream_keys": Case(_forever_keys, "SELECT DISTINCT student_id, idempotency_key FROM b_attempts"),
     "h2_bounded_keys": Case(_bounded_keys, "SELECT DISTINCT student_id, idempotency_key FROM b_attempts"),
     "h3_retention": Case(_retention, RETENTION_SQL),

@@ -177,8 +177,12 @@ def apply_wrong_count(
 def latest_attempt_by_question(attempts: DataFrame, results: DataFrame) -> DataFrame:
     """The newest attempt touching each question over all sheets, by (created_at, id)."""
     times = attempts.select(F.col("id").alias("attempt_id"), "created_at")
-    touched = results.filter(F.col("wrong_question_id").isNotNull()).select("attempt_id", "wrong_question_id")
-    newest = touched.join(times, "attempt_id").groupBy(F.col("wrong_question_id").alias("question_id")).agg(
+    return newest_touch(results.select("attempt_id", "wrong_question_id").join(times, "attempt_id"))
+
+
+def newest_touch(touched: DataFrame) -> DataFrame:
+    """The newest of the attempts(attempt_id, wrong_question_id, created_at) that touch each question."""
+    newest = touched.filter(F.col("wrong_question_id").isNotNull()).groupBy(F.col("wrong_question_id").alias("question_id")).agg(
         F.max(F.struct("created_at", "attempt_id")).alias("_newest")
     )
     return newest.select("question_id", F.col("_newest.attempt_id").alias("latest_attempt_id"))

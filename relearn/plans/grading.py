@@ -26,6 +26,7 @@ def record_attempts(
     attempts: DataFrame,
     results: DataFrame,
     questions: DataFrame,
+    history: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Grade ``new``(id, sheet_id, student_id, idempotency_key, completed_at, created_at).
 
@@ -33,7 +34,8 @@ def record_attempts(
     sheet_not_ready, then the coverage verdict; ok ones are stored. An attempt that is
     refused leaves its key free for the next arrival, so keys are settled among the
     gradable attempts only. Arrival order decides numbers. ``updates`` are the changed
-    fields of questions, to be laid over the table.
+    fields of questions, to be laid over the table. ``history``(attempt_id, wrong_question_id,
+    created_at of the attempt) says when the stored results came to be; without it they meet ``attempts``.
     """
     ready = practice_ready(sheets).select(F.col("id").alias("sheet_id"), "student_id", "ready")
     # Only items that the batch can touch are counted and looked up; answers may name foreign ones.
@@ -94,12 +96,16 @@ def record_attempts(
     new_results = pr.build_results(graded, groups).join(times, "attempt_id").select(*RESULT_COLUMNS)
     # Only the history of the questions at hand matters; their ids are few next to it.
     asked = graded.select(F.col("source_question_id").alias("wrong_question_id")).distinct()
-    past = results.select("attempt_id", "wrong_question_id").join(asked, "wrong_question_id", "left_semi")
-    past_attempts = attempts.join(past.select(F.col("attempt_id").alias("id")).distinct(), "id", "left_semi")
-    latest = pr.latest_attempt_by_question(
-        past_attempts.select("id", "created_at").union(numbered.select("id", "created_at")),
-        past.select("attempt_id", "wrong_question_id").union(new_results.select("attempt_id", "wrong_question_id")),
+    if history is None:
+        past = results.select("attempt_id", "wrong_question_id").join(asked, "wrong_question_id", "left_semi")
+        times = attempts.select(F.col("id").alias("attempt_id"), "created_at")
+        past = past.join(times, "attempt_id")
+    else:
+        past = history.join(asked, "wrong_question_id", "left_semi")
+    past = past.select("attempt_id", "wrong_question_id", "created_at").union(
+        new_results.select("attempt_id", "wrong_question_id", "created_at")
     )
+    latest = pr.newest_touch(past)
     updates = pr.mastery_state(questions, numbered, groups, latest)
     return {
         "verdicts": verdicts,

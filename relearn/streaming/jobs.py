@@ -6,79 +6,143 @@ own output and nothing else.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from relearn.functions.ranks import pin
+from relearn.operators.practice import source_question
 from relearn.plans.grading import record_attempts
 from relearn.plans.retention import run_retention
 from relearn.sources.changes import overlay
 
 
+#: The column whose hash decides the bucket of a row, by table; the jobs below read along these columns.
+BUCKETED = {
+    "practice_sheets": "id",
+    "sheet_items": "sheet_id",
+    "practice_attempts": "student_id",
+    "practice_results": "wrong_question_id",
+    "wrong_questions": "id",
+    "question_updates": "id",
+    "images": "id",
+    "image_updates": "id",
+}
+BUCKET = "state_bucket"
+MERGED = "-merged"
+
+
 class Snapshots:
     """Versions of named tables below one folder; version -1 is what the job starts from.
 
     A table is one parquet folder partitioned by version, so Spark's partition pruning picks
     versions and a plan names one path however many batches there were. Next to it stands a small
-    table of the versions written completely.
+    table of the versions written completely. With more than one of ``parts``, a version of a table in
+    BUCKETED is partitioned further by a hash of its column, and a batch reads the buckets it touches only.
+    ``parts`` belongs to the folder: another number is refused. After ``fold_every`` batches
+    ``fold`` and ``merge`` make few files of many and delete what the two newest generations do not need.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 1, fold_every: int = 32):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.parts = parts
+        self.fold_every = fold_every
+
+    def _bucketed(self, name: str) -> str | None:
+        return BUCKETED.get(name.removesuffix(MERGED)) if self.parts > 1 else None
+
+    def _bucket(self, column: str) -> Column:
+        # As text, since equal numbers of other widths have other hashes.
+        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(self.parts)).cast("int")
+
+    def touched(self, df: DataFrame, column: str) -> list[int] | None:
+        """Buckets that the values of a column fall in, at most ``parts`` numbers; None without buckets."""
+        if self.parts == 1:
+            return None
+        return sorted(row[0] for row in df.select(self._bucket(column).alias(BUCKET)).distinct().collect())
 
     def write(self, name: str, df: DataFrame, version: int) -> None:
         """One version of a table; the same version written again replaces itself."""
-        part = f"v={version + 1:012d}"
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{part}")
-        done = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        part, column = f"v={version + 1:012d}", self._bucketed(name)
+        if column is None:
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{part}")
+        else:
+            # Rebalancing gathers small buckets in few files and splits a large one.
+            laid = df.withColumn(BUCKET, self._bucket(column)).hint("rebalance", BUCKET)
+            laid.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.folder}/{name}/{part}")
+        done = self.spark.range(1).select(
+            F.lit(version).cast("long").alias("version"), F.lit(df.schema.json()).alias("shape"), F.lit(self.parts).alias("parts"))
         done.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}-versions/{part}")
 
     append = write  # rows of one batch; ``upto`` and ``everything`` read all batches together
 
-    def newest(self, name: str, below: int = 1 << 62) -> int | None:
-        """The newest complete version below ``below``."""
+    def _versions(self, name: str, below: int = 1 << 62, after: int = -2) -> DataFrame | None:
         try:
-            versions = self.spark.read.parquet(f"{self.folder}/{name}-versions")
+            found = self.spark.read.schema("version long, shape string, parts int").parquet(f"{self.folder}/{name}-versions")
         except AnalysisException:  # nothing was written yet
             return None
-        return versions.filter(F.col("version") < below).agg(F.max("version")).first()[0]
+        return found.filter((F.col("version") < below) & (F.col("version") > after))
 
-    def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def before(self, name: str, version: int) -> DataFrame:
-        """The newest complete version older than ``version``."""
+    def newest(self, name: str, below: int = 1 << 62) -> int | None:
+        """The newest complete version below ``below``."""
+        versions = self._versions(name, below)
+        return None if versions is None else versions.agg(F.max("version")).first()[0]
+
+    def _rows(self, name: str, among: list[int] | None = None) -> DataFrame:
+        shape, parts = self._versions(name).agg(F.max_by(F.struct("shape", "parts"), "version")).first()[0]
+        if parts != self.parts:
+            raise ValueError(f"{name} was written in {parts} parts, not {self.parts}")
+        bucketed = self._bucketed(name) is not None
+        # Stated, because versions without rows have no files to tell it.
+        fields = T.StructType.fromJson(json.loads(shape)).add("v", T.LongType())
+        rows = self.spark.read.schema(fields.add(BUCKET, T.IntegerType()) if bucketed else fields).parquet(f"{self.folder}/{name}")
+        return rows.filter(F.col(BUCKET).isin(among)) if bucketed and among is not None else rows
+
+    def before(self, name: str, version: int, among: list[int] | None = None) -> DataFrame:
+        """The newest complete version older than ``version``, or its buckets ``among``."""
         found = self.newest(name, version)
         if found is None:
             raise FileNotFoundError(f"no snapshot of {name} before version {version}")
-        return self._rows(name).filter(F.col("v") == found + 1).drop("v")
+        return self._rows(name, among).filter(F.col("v") == found + 1).drop("v", BUCKET)
 
-    def latest(self, name: str) -> DataFrame:
-        return self.before(name, 1 << 62)
+    def latest(self, name: str, among: list[int] | None = None) -> DataFrame:
+        return self.before(name, 1 << 62, among)
 
-    def upto(self, name: str, version: int, after: int = -2) -> DataFrame:
-        """All rows appended before ``version`` and after ``after``."""
+    def upto(self, name: str, version: int, after: int = -2, among: list[int] | None = None) -> DataFrame:
+        """All rows appended before ``version`` and after ``after``, or those in buckets ``among``."""
         if self.newest(name, version) is None:
             raise FileNotFoundError(f"no rows of {name} before version {version}")
-        return self._rows(name).filter((F.col("v") <= version) & (F.col("v") > after + 1)).drop("v")
+
+        def between(rows: DataFrame, low: int) -> DataFrame:
+            return rows.filter((F.col("v") <= version) & (F.col("v") > low + 1)).drop("v", BUCKET)
+
+        merged = self.newest(name + MERGED, version)
+        if merged is None or merged <= after:
+            return between(self._rows(name, among), after)
+        return between(self._rows(name + MERGED, among), after).unionByName(between(self._rows(name, among), merged))
 
     def everything(self, name: str) -> DataFrame:
         return self.upto(name, 1 << 62)
 
-    def current(self, name: str, updates: str, version: int = 1 << 62, key: str = "id") -> DataFrame:
+    def current(
+        self, name: str, updates: str, version: int = 1 << 62, key: str = "id", among: list[int] | None = None
+    ) -> DataFrame:
         """The table ``name`` before ``version``: its newest snapshot under the newest of the later ``updates``.
 
         A batch thus writes what it changed, not the table.
         """
-        base = self.before(name, version)
+        base = self.before(name, version, among)
         if self.newest(updates, version) is None:
             return base
-        changed = self.upto(updates, version, self.newest(name, version))
+        changed = self.upto(updates, version, self.newest(name, version), among)
         fields = [c for c in changed.columns if c not in (key, "batch_id")]
         newest = changed.groupBy(key).agg(F.max_by(F.struct(*fields), "batch_id").alias("_u"))
         return overlay(base, newest.select(key, "_u.*"), key)
@@ -93,6 +157,46 @@ class Snapshots:
         df = self.current(name, updates) if df is None else df
         self.write(name, pin(df), self.newest(name) if last is None else max(last, self.newest(name)))
 
+    def _many(self, name: str, version: int, after: int) -> bool:
+        versions = self._versions(name, version, after)
+        return versions is not None and versions.count() >= self.fold_every
+
+    def fold(self, name: str, updates: str, version: int) -> None:
+        """At the start of batch ``version``: once many batches changed ``name``, write it as a snapshot.
+
+        All earlier batches are done then, so none of them is read again. The last snapshot and the
+        updates on it stay for readers who began before; what is older is deleted.
+        """
+        base = self.newest(name, version)
+        if self._many(updates, version, base):
+            self.write(name, pin(self.current(name, updates, version)), version - 1)
+            self._delete(name, base)
+            self._delete(updates, base + 1)
+
+    def merge(self, name: str, version: int) -> None:
+        """At the start of batch ``version``: write the rows of many appended versions as one version.
+
+        Rows already merged are not written again. The small versions stay until the next time.
+        """
+        merged = self.newest(name + MERGED, version)
+        merged = -2 if merged is None else merged
+        if self._many(name, version, merged):
+            self.write(name + MERGED, self.upto(name, version, merged), version - 1)
+            self._delete(name, merged + 1)
+
+    def _delete(self, name: str, below: int) -> None:
+        """Delete the versions of ``name`` older than ``below``."""
+        for table in (name, f"{name}-versions"):
+            files = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder}/{table}").inputFiles()
+            if not files:
+                continue
+            # Spark tells the full address of the folder; the versions in it are few.
+            store, path = fs.FileSystem.from_uri(files[0][: files[0].rindex(f"/{table}/v=")] + f"/{table}")
+            for found in store.get_file_info(fs.FileSelector(path)):
+                number = re.fullmatch(r"v=(\d+)", found.base_name)
+                if number and int(number[1]) - 1 < below:
+                    store.delete_dir(found.path)
+
 
 def read_arrivals(spark: SparkSession, path: str, schema, files_per_batch: int | None = None, **options: str) -> DataFrame:
     """A stream of parquet files dropped into ``path``."""
@@ -165,18 +269,30 @@ def stream_attempts(
 
     ``split`` turns a batch into attempts and answers. Attempts, results and changed question
     fields are appended per batch, so what a batch writes grows with the batch; sheets, items
-    and questions come from their snapshots. Keys are remembered for ever, as stored attempts.
+    and questions come from their snapshots. Of each table a batch reads the buckets of its own
+    students, sheets and questions. Stored results carry their attempt's ``created_at``, as the ones
+    written here do, so a question's history needs no attempts of other students. Keys are remembered
+    for ever, as stored attempts.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new, answers = split(batch)
+        snapshots.fold("wrong_questions", "question_updates", batch_id)
+        for log in ("verdicts", "practice_attempts", "practice_results"):
+            snapshots.merge(log, batch_id)
+        new, answers = (pin(df) for df in split(batch))
+        sheets = snapshots.touched(new, "sheet_id")
+        items = snapshots.latest("sheet_items", sheets)
+        ours = items.join(new.select("sheet_id").distinct(), "sheet_id", "left_semi")
+        asked = snapshots.touched(source_question(ours), "source_question_id")
+        results = snapshots.upto("practice_results", batch_id, among=asked)
         out = record_attempts(
             new, answers,
-            snapshots.latest("practice_sheets"),
-            snapshots.latest("sheet_items"),
-            snapshots.upto("practice_attempts", batch_id),
-            snapshots.upto("practice_results", batch_id),
-            snapshots.current("wrong_questions", "question_updates", batch_id),
+            snapshots.latest("practice_sheets", sheets),
+            items,
+            snapshots.upto("practice_attempts", batch_id, among=snapshots.touched(new, "student_id")),
+            results,
+            snapshots.current("wrong_questions", "question_updates", batch_id, among=asked),
+            results.select("attempt_id", "wrong_question_id", "created_at"),
         )
         snapshots.append("verdicts", out["verdicts"], batch_id)
         snapshots.append("practice_attempts", out["attempts"], batch_id)
@@ -206,7 +322,10 @@ def stream_recognition(
         order = [c for c in batch.columns if c != "image_id"]
         first = batch.withColumn("_row", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
         first = pin(first.filter("_row = 1").drop("_row"))
-        known = snapshots.current("images", "image_updates", batch_id)
+        snapshots.fold("images", "image_updates", batch_id)
+        snapshots.merge("questions", batch_id)
+        near = snapshots.touched(first, "image_id")
+        known = snapshots.current("images", "image_updates", batch_id, among=near)
         pending = known.filter("status = 'pending'")
         asked = pending.join(first.select(F.col("image_id").alias("id")), "id", "left_semi")
         out = process(first, pin(asked), batch_id)

@@ -3,6 +3,7 @@
 import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from relearn.catalog import streams as cs
@@ -121,3 +122,43 @@ def test_retention_by_timer(spark, tables, tmp_path):
         query.stop()
     assert len(runs) >= 2 and runs[0]["questions_deleted"] > 0
     assert set(runs[1].values()) == {0}
+
+
+def test_state_in_buckets_stays_level(spark, tmp_path):
+    """Twenty batches of changes: folded state equals all updates applied, and old versions go."""
+    state = Snapshots(spark, str(tmp_path / "state"), parts=4, fold_every=3)
+    state.write("wrong_questions", spark.range(12).select("id", F.lit(0).alias("wrong_count")), -1)
+    files = []
+    for n in range(20):
+        change = spark.createDataFrame([(n % 12, n, n)], "id long, wrong_count int, batch_id long")
+        state.fold("wrong_questions", "question_updates", n)
+        state.merge("verdicts", n)
+        state.append("question_updates", change, n)
+        state.append("verdicts", change.limit(0) if n == 7 else change, n)
+        files.append(sum(1 for path in (tmp_path / "state").rglob("*.parquet") if "verdicts" not in str(path)))
+    now = {r.id: r.wrong_count for r in state.current("wrong_questions", "question_updates").collect()}
+    assert now == {n % 12: n for n in range(20)}
+    assert max(files[10:]) <= max(files[:10])
+    assert sorted(r.wrong_count for r in state.everything("verdicts").collect()) == [n for n in range(20) if n != 7]
+    # A batch that is run again sees the state before it, also when its fold was done already.
+    before = rows_of(state.current("wrong_questions", "question_updates", 19))
+    state.fold("wrong_questions", "question_updates", 19)
+    assert rows_of(state.current("wrong_questions", "question_updates", 19)) == before
+    with pytest.raises(ValueError, match="parts"):
+        Snapshots(spark, str(tmp_path / "state"), parts=5).latest("wrong_questions")
+
+
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    state = Snapshots(spark, str(tmp_path), parts=4)
+    state.write("wrong_questions", spark.range(100).select("id", F.lit(0).alias("wrong_count")), -1)
+    asked = spark.createDataFrame([(5,), (None,)], "id int")
+    among = state.touched(asked, "id")
+    found = state.latest("wrong_questions", among)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "state_bucket" in plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    near = {r.id for r in found.collect()}
+    assert 5 in near and len(near) < 100
+    assert found.columns == ["id", "wrong_count"]
+    # No key at all touches nothing.
+    assert state.latest("wrong_questions", state.touched(asked.limit(0), "id")).count() == 0
+    assert Snapshots(spark, str(tmp_path / "other")).touched(asked, "id") is None
