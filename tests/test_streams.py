@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relearn.catalog import streams as cs
 from relearn.catalog.practice import _items
-from relearn.plans.grading import ATTEMPT_COLUMNS, RESULT_COLUMNS
+from relearn.plans.grading import ATTEMPT_COLUMNS, RESULT_COLUMNS, record_attempts
 from relearn.plans.retention import run_retention
 from relearn.functions.ranks import pin
 from relearn.streaming.jobs import Snapshots, first_within, read_arrivals, run_available, stream_attempts, stream_recognition, stream_retention, timer
@@ -162,3 +162,35 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     # No key at all touches nothing.
     assert state.latest("wrong_questions", state.touched(asked.limit(0), "id")).count() == 0
     assert Snapshots(spark, str(tmp_path / "other")).touched(asked, "id") is None
+
+
+def test_history_of_results_replaces_their_attempts(spark):
+    """Stored results with their attempts' times give the same updates as results that meet the attempts."""
+    at = datetime.fromisoformat
+    attempt = "id long, sheet_id long, student_id long, attempt_no int, idempotency_key string, created_at timestamp_ntz, completed_at timestamp_ntz"
+    stored = spark.createDataFrame([(1, 1, 1, 1, "a", at("2024-01-03"), at("2024-01-03"))], attempt)
+    new = spark.createDataFrame(
+        [(2, 1, 1, "b", at("2024-01-02"), at("2024-01-02")), (3, 1, 1, "c", at("2024-01-04"), at("2024-01-04"))],
+        "id long, sheet_id long, student_id long, idempotency_key string, created_at timestamp_ntz, completed_at timestamp_ntz")
+    stored = stored.withColumns({"correct_count": F.lit(1), "total_count": F.lit(1), "updated_at": F.col("created_at"), "accuracy": F.lit(1).cast("decimal(5,4)")})
+    sheets = spark.createDataFrame([(1, 1, "completed", None, "/x.pdf")], "id long, student_id long, generation_status string, generation_error_message string, pdf_url string")
+    items = spark.createDataFrame(
+        [(10, 1, 5, (5,)), (11, 1, 6, (6,))],
+        "id long, sheet_id long, wrong_question_id long, question_snapshot struct<source_wrong_question_id:long>")
+    results = spark.createDataFrame([(1, 10, 5, True, 0, at("2024-01-03"))], "attempt_id long, sheet_item_id long, wrong_question_id long, is_correct boolean, derived_count int, created_at timestamp_ntz")
+    questions = spark.createDataFrame(
+        [(5, 1, 1, "learning", None, None, None), (6, 1, 0, "learning", None, None, None)],
+        "id long, student_id long, wrong_count int, mastery_status string, mastered_at timestamp_ntz, last_practiced_at timestamp_ntz, deleted_at timestamp_ntz")
+
+    def updates(rows, history):
+        answers = spark.createDataFrame([(a, i, i == 10) for a in rows for i in (10, 11)], "attempt_id long, sheet_item_id long, is_correct boolean")
+        batch = new.filter(F.col("id").isin(rows))
+        return rows_of(record_attempts(batch, answers, sheets, items, stored, results, questions, history)["updates"])
+
+    history = results.select("attempt_id", "wrong_question_id", "created_at")
+    older = updates([2], None)
+    assert older == updates([2], history)
+    # Question 5 has a newer attempt, so its mastery stays; question 6 is answered wrongly for the first time.
+    assert "id=5, last_practiced_at=None" in older[0] and "wrong_count=1" in older[0]
+    assert "id=6, last_practiced_at=datetime.datetime(2024, 1, 2" in older[1] and "wrong_count=2" in older[1]
+    assert any("mastered'" in row for row in updates([3], None))
